@@ -57,3 +57,158 @@ def q_active_alerts(spark, sf_dir):
 @query("alert_feed")
 def q_alert_feed(spark, sf_dir):
     return A.alert_feed(Ctx(spark, sf_dir).alerts, limit=25)
+
+
+# ---------------------------------------------------------------------------
+# Current state: rollups, scoped single values, top-k tables, alert panels.
+from sitewatt.operators import rollups as R  # noqa: E402
+from sitewatt.operators import topk as K  # noqa: E402
+
+# Scope used by the scoped variants (a room, a rack inside it, a server inside that).
+SCOPE_ROOM = "EUROPE"
+SCOPE_RACK = "NATION_3"
+
+
+@query("rack_rollup")
+def q_rack_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.rack_rollup(c.latest, c.assets)
+
+
+@query("room_rollup")
+def q_room_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.room_rollup(c.latest, c.assets)
+
+
+@query("site_summary")
+def q_site_summary(spark, sf_dir):
+    return R.site_summary(Ctx(spark, sf_dir).latest)
+
+
+def _stat(column, fn, digits, **scope_args):
+    def run(spark, sf_dir):
+        c = Ctx(spark, sf_dir)
+        return R.scoped_stat(c.latest, c.assets, column, fn, digits, as_of=c.as_of, **scope_args)
+    return run
+
+
+QUERIES["site_power"] = _stat("power_w", "sum", 1)
+QUERIES["avg_cpu"] = _stat("cpu_usage", "avg", 1)
+QUERIES["avg_inlet"] = _stat("inlet_temp_c", "avg", 1)
+QUERIES["current_co2"] = _stat("carbon_kg", "sum", 3)
+QUERIES["peak_outlet"] = _stat("outlet_temp_c", "max", 1)
+QUERIES["avg_emission_factor"] = _stat("emission_factor_kg_per_kwh", "avg", 3)
+QUERIES["site_power_room_scope"] = _stat("power_w", "sum", 1, room=SCOPE_ROOM)
+QUERIES["avg_cpu_rack_scope"] = _stat("cpu_usage", "avg", 1, room=SCOPE_ROOM, rack=SCOPE_RACK)
+
+
+@query("rack_power")
+def q_rack_power(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.rack_power(c.latest, c.assets)
+
+
+@query("rack_power_room_scope")
+def q_rack_power_room(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.rack_power(c.latest, c.assets, room=SCOPE_ROOM)
+
+
+@query("rack_stress")
+def q_rack_stress(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.rack_stress(c.latest, c.assets)
+
+
+@query("rack_carbon")
+def q_rack_carbon(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.rack_carbon(c.latest, c.assets)
+
+
+@query("footprint")
+def q_footprint(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.footprint(c.latest, c.assets)
+
+
+@query("assets_in_scope")
+def q_assets_in_scope(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.assets_in_scope(c.assets, as_of=c.as_of)
+
+
+@query("assets_in_room_scope")
+def q_assets_in_room(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.assets_in_scope(c.assets, room=SCOPE_ROOM, as_of=c.as_of)
+
+
+@query("high_carbon_assets")
+def q_high_carbon(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return R.high_carbon_count(c.latest, c.assets, 0.018, as_of=c.as_of)
+
+
+@query("alert_count")
+def q_alert_count(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.alert_count(c.alerts, as_of=c.as_of)
+
+
+@query("alert_pressure")
+def q_alert_pressure(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.alert_pressure(c.alerts, as_of=c.as_of)
+
+
+@query("alert_pressure_room_scope")
+def q_alert_pressure_room(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.alert_pressure(c.alerts, room=SCOPE_ROOM, as_of=c.as_of)
+
+
+FEED_SHORT = ["ts", "asset_name", "severity", "rule_name", "message"]
+FEED_CARBON = ["ts", "room_name", "rack_name", "asset_name", "severity", "message"]
+CARBON_RULES = ["Power spike", "Thermal envelope", "Operational state"]
+
+
+@query("analytics_alert_feed")
+def q_analytics_feed(spark, sf_dir):
+    return A.alert_feed(Ctx(spark, sf_dir).alerts, limit=20, columns=FEED_SHORT)
+
+
+@query("carbon_alert_watch")
+def q_carbon_watch(spark, sf_dir):
+    return A.alert_feed(Ctx(spark, sf_dir).alerts, rules=CARBON_RULES, limit=20, columns=FEED_CARBON)
+
+
+@query("hottest_assets")
+def q_hottest(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return K.hottest_assets(c.latest, c.assets, 15)
+
+
+@query("top_power_assets")
+def q_top_power(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return K.top_power_assets(c.latest, c.assets, 20)
+
+
+@query("top_carbon_assets")
+def q_top_carbon(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return K.top_carbon_assets(c.latest, c.assets, 20)
+
+
+@query("live_status")
+def q_live_status(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return K.live_status(c.latest, c.assets, 25)
+
+
+@query("live_status_room_scope")
+def q_live_status_room(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return K.live_status(c.latest, c.assets, 25, room=SCOPE_ROOM)

@@ -9,7 +9,7 @@ from sitewatt.operators.sinks import last_wins
 
 
 def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
-                   method: str = "max_by") -> DataFrame:
+                   method: str = "semi") -> DataFrame:
     """Newest row per key (``DISTINCT ON (key) ... ORDER BY key, ts DESC``).
 
     ``max_by``: one pass, partial aggregation per map task, so only one row per
@@ -23,7 +23,11 @@ def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
         return last_wins(df, keys, order)
     if method == "semi":
         newest = df.groupBy(*keys).agg(F.max(order).alias(order))
-        return df.join(newest, keys + [order], "left_semi")
+        # No key's newest row is older than the oldest of them: rows before that
+        # bound cannot qualify, and on date-partitioned facts the bound prunes
+        # partitions before the semi join.
+        bound = newest.agg(F.min(order)).scalar()
+        return df.where(F.col(order) >= bound).join(newest, keys + [order], "left_semi")
     raise ValueError(f"unknown method {method!r}")
 
 

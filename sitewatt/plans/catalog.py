@@ -22,26 +22,47 @@ def query(name: str):
     return deco
 
 
+_VIEWS: dict = {}
+
+
 class Ctx:
-    """Per-call views shared by the operators of one query."""
+    """Views shared by the operators of a query. The lazy fixture DataFrames are
+    built once per session and directory (DataFrames are immutable plans; a
+    dashboard refresh reuses them instead of re-resolving them)."""
+
+    LATEST_METHOD = "semi"
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        key = (id(spark), sf_dir)
+        if key not in _VIEWS:
+            self = super().__new__(cls)
+            self.fx = Fixture(spark, sf_dir)
+            self.tm = self.fx.telemetry
+            self.assets = self.fx.assets
+            self._memo = {}
+            _VIEWS[key] = self
+        return _VIEWS[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.fx = Fixture(spark, sf_dir)
-        self.tm = self.fx.telemetry
-        self.assets = self.fx.assets
+        pass
+
+    def _once(self, name, build):
+        if name not in self._memo:
+            self._memo[name] = build()
+        return self._memo[name]
 
     @property
     def latest(self) -> DataFrame:
-        return latest_per_key(self.tm, ["asset_id"], "ts")
+        return self._once("latest", lambda: latest_per_key(self.tm, ["asset_id"], "ts", self.LATEST_METHOD))
 
     @property
     def as_of(self):
         """Newest telemetry timestamp as a scalar subquery (stands in for NOW())."""
-        return self.tm.agg(F.max("ts")).scalar()
+        return self._once("as_of", lambda: self.fx.newest_ts.scalar())
 
     @property
     def alerts(self) -> DataFrame:
-        return A.active_alerts(self.latest, self.assets)
+        return self._once("alerts", lambda: A.active_alerts(self.latest, self.assets))
 
 
 @query("latest_asset_metrics")

@@ -158,6 +158,13 @@ class Fixture:
     def telemetry(self) -> DataFrame:
         return telemetry_from(self.table("events"))
 
+    @property
+    def newest_ts(self) -> DataFrame:
+        """One row: the newest telemetry timestamp. Equal to ``max(ts)`` of the
+        de-duplicated facts, read from one column of the raw events."""
+        return self.table("events").agg(
+            F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("ts"))
+
     @property
     def sources(self) -> DataFrame:
         return sources_from(self.table("supplier"), self.table("nation"))

@@ -233,3 +233,146 @@ def q_live_status(spark, sf_dir):
 def q_live_status_room(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return K.live_status(c.latest, c.assets, 25, room=SCOPE_ROOM)
+
+
+# ---------------------------------------------------------------------------
+# Trends, forecast, KPI pipeline and its readers.
+from sitewatt.operators import timeseries as TS  # noqa: E402
+from sitewatt.operators import kpi as KPI  # noqa: E402
+from sitewatt.operators.latest import latest_row  # noqa: E402
+
+
+def _series(series, scoped=True, **scope_args):
+    def run(spark, sf_dir):
+        c = Ctx(spark, sf_dir)
+        return TS.bucket_series(c.tm, c.assets if scoped else None, series, **scope_args)
+    return run
+
+
+QUERIES["power_trend"] = _series([("Power Draw", "power_w", "sum", 1)])
+QUERIES["power_trend_room_scope"] = _series([("Power Draw", "power_w", "sum", 1)], room=SCOPE_ROOM)
+QUERIES["observed_power_trend"] = _series([("Observed Power", "power_w", "sum", 1)])
+QUERIES["cpu_trend"] = _series([("Average CPU", "cpu_usage", "avg", 1)])
+QUERIES["carbon_trend"] = _series([("CO2 Estimate", "carbon_kg", "sum", 3)])
+QUERIES["thermal_envelope"] = _series([("Inlet Temp", "inlet_temp_c", "avg", 1),
+                                       ("Outlet Temp", "outlet_temp_c", "avg", 1)])
+QUERIES["cpu_thermal_drift"] = _series([("CPU %", "cpu_usage", "avg", 1), ("Outlet Temp", "outlet_temp_c", "avg", 1)])
+QUERIES["grid_mix_thermal"] = _series([("Emission Factor", "emission_factor_kg_per_kwh", "avg", 3),
+                                       ("Outlet Temp", "outlet_temp_c", "avg", 1)])
+QUERIES["thermal_envelope_rack_scope"] = _series([("Inlet Temp", "inlet_temp_c", "avg", 1),
+                                                  ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+                                                 room=SCOPE_ROOM, rack=SCOPE_RACK)
+
+
+@query("thermal_envelope_wide")
+def q_thermal_wide(spark, sf_dir):
+    long = QUERIES["thermal_envelope"](spark, sf_dir)
+    return TS.to_wide(long, ["Inlet Temp", "Outlet Temp"], ["inlet_temp", "outlet_temp"])
+
+
+@query("power_trend_per_snapshot")
+def q_power_per_snapshot(spark, sf_dir):
+    return TS.per_snapshot_bucket(Ctx(spark, sf_dir).tm, "power_w", 1, label="Power Draw")
+
+
+@query("actual_vs_predicted")
+def q_actual_vs_predicted(spark, sf_dir):
+    return TS.actual_vs_predicted(Ctx(spark, sf_dir).tm, "Extended XGBoost")
+
+
+@query("actual_vs_predicted_lstm")
+def q_actual_vs_predicted_lstm(spark, sf_dir):
+    return TS.actual_vs_predicted(Ctx(spark, sf_dir).tm, "LSTM")
+
+
+@query("forecast_15m")
+def q_forecast_15m(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.forecast(c.tm, c.assets, c.as_of, "15 minutes")
+
+
+@query("forecast_6h")
+def q_forecast_6h(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.forecast(c.tm, c.assets, c.as_of, "6 hours")
+
+
+@query("forecast_6h_room_scope")
+def q_forecast_6h_room(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.forecast(c.tm, c.assets, c.as_of, "6 hours", room=SCOPE_ROOM)
+
+
+def _kpi(c: Ctx) -> DataFrame:
+    return c._once("kpi", lambda: KPI.kpi_snapshots(c.tm))
+
+
+def _latest_kpi(c: Ctx) -> DataFrame:
+    return c._once("latest_kpi", lambda: latest_row(_kpi(c)))
+
+
+@query("kpi_snapshots")
+def q_kpi_snapshots(spark, sf_dir):
+    return KPI.as_double(_kpi(Ctx(spark, sf_dir)))
+
+
+@query("kpi_inputs")
+def q_kpi_inputs(spark, sf_dir):
+    return R.kpi_inputs(Ctx(spark, sf_dir).tm).select(
+        "ts", F.col("it_power_w").cast("double").alias("it_power_w"), "avg_inlet", "avg_outlet", "avg_ef",
+        "warning_pressure", F.col("sum_cpu").cast("double").alias("sum_cpu"), "rows")
+
+
+for _col in ["pue", "ref", "erf", "cef", "co2_savings_kg", "ppw", "cue"]:
+    QUERIES[f"latest_{_col}"] = (lambda col: lambda spark, sf_dir: KPI.latest_kpi(_kpi(Ctx(spark, sf_dir)), col))(_col)
+
+
+def _kpi_series(label, column, digits):
+    def run(spark, sf_dir):
+        return TS.bucket_series(_kpi(Ctx(spark, sf_dir)).withColumn("asset_id", F.lit(None)), None,
+                                [(label, column, "avg", digits)])
+    return run
+
+
+QUERIES["pue_trend"] = _kpi_series("PUE", "pue", 3)
+QUERIES["co2_trend"] = _kpi_series("CO2 Emissions", "total_co2_kg", 3)
+QUERIES["ref_trend"] = _kpi_series("REF", "ref", 3)
+QUERIES["co2_savings_trend"] = _kpi_series("CO2 Savings", "co2_savings_kg", 3)
+
+
+@query("baseline_vs_current_co2")
+def q_baseline_vs_current(spark, sf_dir):
+    return KPI.baseline_vs_current(_latest_kpi(Ctx(spark, sf_dir)))
+
+
+@query("advanced_kpis")
+def q_advanced(spark, sf_dir):
+    return KPI.advanced_kpis(_latest_kpi(Ctx(spark, sf_dir)))
+
+
+@query("kpi_metric_export")
+def q_kpi_export(spark, sf_dir):
+    from sitewatt.operators.sinks import export_metrics
+    return export_metrics(KPI.kpi_long(_latest_kpi(Ctx(spark, sf_dir))))
+
+
+def _range_avg(column, digits):
+    def run(spark, sf_dir):
+        c = Ctx(spark, sf_dir)
+        return R.range_avg(_kpi(c), column, digits, as_of=c.as_of)
+    return run
+
+
+QUERIES["avg_facility_power"] = _range_avg("total_facility_power_w", 1)
+QUERIES["avg_co2"] = _range_avg("total_co2_kg", 3)
+QUERIES["avg_ppw"] = _range_avg("ppw", 3)
+
+
+@query("average_metrics")
+def q_average_metrics(spark, sf_dir):
+    return R.range_avgs_long(_kpi(Ctx(spark, sf_dir)))
+
+
+@query("average_metrics_detail")
+def q_average_metrics_detail(spark, sf_dir):
+    return R.range_avgs_wide(_kpi(Ctx(spark, sf_dir)))

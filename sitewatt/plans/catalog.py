@@ -376,3 +376,124 @@ def q_average_metrics(spark, sf_dir):
 @query("average_metrics_detail")
 def q_average_metrics_detail(spark, sf_dir):
     return R.range_avgs_wide(_kpi(Ctx(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Sources registry, options, workflow stages, bands, model scoring, data quality.
+from sitewatt.operators import registry as REG  # noqa: E402
+from sitewatt.operators import models as MOD  # noqa: E402
+from sitewatt.operators import quality as DQ  # noqa: E402
+from sitewatt.operators.sinks import fact_stats  # noqa: E402
+from sitewatt.functions.bands import band  # noqa: E402
+from sitewatt.sources.fixture import raw_samples  # noqa: E402
+
+SELECTED_SOURCE = "Supplier#000000001"
+
+
+def _freshness(c: Ctx) -> DataFrame:
+    return c._once("freshness", lambda: REG.source_freshness(c.fx.sources, c.latest))
+
+
+@query("source_freshness")
+def q_source_freshness(spark, sf_dir):
+    return _freshness(Ctx(spark, sf_dir))
+
+
+@query("selected_source_status")
+def q_selected_source(spark, sf_dir):
+    return REG.source_status(_freshness(Ctx(spark, sf_dir)), SELECTED_SOURCE)
+
+
+@query("last_sync_epoch")
+def q_last_sync(spark, sf_dir):
+    return REG.last_sync_epoch(_freshness(Ctx(spark, sf_dir)), SELECTED_SOURCE)
+
+
+@query("visible_sources")
+def q_visible_sources(spark, sf_dir):
+    return REG.list_sources(Ctx(spark, sf_dir).fx.sources, "user_visible")
+
+
+@query("user_added_sources")
+def q_user_added(spark, sf_dir):
+    return REG.list_sources(Ctx(spark, sf_dir).fx.sources, "user_added")
+
+
+@query("room_options")
+def q_room_options(spark, sf_dir):
+    return REG.room_options(Ctx(spark, sf_dir).fx.rooms)
+
+
+@query("rack_options")
+def q_rack_options(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return REG.rack_options(c.fx.racks, c.fx.rooms)
+
+
+@query("rack_options_room_scope")
+def q_rack_options_room(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return REG.rack_options(c.fx.racks, c.fx.rooms, SCOPE_ROOM)
+
+
+@query("asset_options_rack_scope")
+def q_asset_options(spark, sf_dir):
+    return REG.asset_options(Ctx(spark, sf_dir).assets, SCOPE_ROOM, SCOPE_RACK)
+
+
+@query("asset_options")
+def q_asset_options_all(spark, sf_dir):
+    return REG.asset_options(Ctx(spark, sf_dir).assets)
+
+
+@query("source_options")
+def q_source_options(spark, sf_dir):
+    return REG.source_options(Ctx(spark, sf_dir).fx.sources)
+
+
+@query("source_ip")
+def q_source_ip(spark, sf_dir):
+    return REG.source_ip(Ctx(spark, sf_dir).fx.sources, SELECTED_SOURCE)
+
+
+@query("workflow_stage_status")
+def q_stage_status(spark, sf_dir):
+    return REG.stage_status(Ctx(spark, sf_dir).fx.runs)
+
+
+@query("rack_power_bands")
+def q_rack_power_bands(spark, sf_dir):
+    return q_rack_power(spark, sf_dir).withColumn("colour", band("value", "rack_power_w"))
+
+
+@query("power_predictions")
+def q_power_predictions(spark, sf_dir):
+    p = MOD.predict_all_models(Ctx(spark, sf_dir).tm)
+    return p.withColumn("predicted_power_w", F.col("predicted_power_w").cast("double"))
+
+
+@query("fact_stats")
+def q_fact_stats(spark, sf_dir):
+    return fact_stats(Ctx(spark, sf_dir).tm)
+
+
+@query("dq_telemetry_nulls")
+def q_dq_nulls(spark, sf_dir):
+    return DQ.check_not_null(Ctx(spark, sf_dir).tm)
+
+
+@query("dq_duplicate_samples")
+def q_dq_duplicates(spark, sf_dir):
+    return DQ.check_unique(raw_samples(Ctx(spark, sf_dir).fx.table("events")), ["ts", "asset_id"])
+
+
+@query("dq_orphan_telemetry")
+def q_dq_orphans(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return DQ.check_fk(c.tm, c.assets, ["asset_id"])
+
+
+@query("dq_orphan_assets")
+def q_dq_orphan_assets(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return DQ.check_fk(c.assets, c.fx.racks, ["rack_id"])

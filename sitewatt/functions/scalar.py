@@ -84,9 +84,11 @@ def emission_factor(ts) -> Column:
     """Grid emission factor (kg CO2/kWh) from the time of day, UTC."""
     t = _col(ts)
     hour = F.hour(t) + F.minute(t) / F.lit(60.0)
+    # Evaluated left to right as ``(h - 6) / 24 * 2 * pi`` so every bit matches.
+    pi = F.lit(math.pi)
     renewable = F.lit(EF_BASE) + F.lit(EF_DAILY_AMPLITUDE) * F.sin(
-        (hour - F.lit(EF_DAILY_SHIFT_H)) / F.lit(24.0) * F.lit(2 * math.pi))
-    balancing = F.lit(EF_BALANCING_AMPLITUDE) * F.sin((hour * 3) / F.lit(24.0) * F.lit(2 * math.pi))
+        (hour - F.lit(EF_DAILY_SHIFT_H)) / F.lit(24.0) * F.lit(2.0) * pi)
+    balancing = F.lit(EF_BALANCING_AMPLITUDE) * F.sin((hour * F.lit(3.0)) / F.lit(24.0) * F.lit(2.0) * pi)
     return clamp(renewable + balancing, EF_MIN, EF_MAX)
 
 

@@ -27,7 +27,8 @@ def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
         # bound cannot qualify, and on date-partitioned facts the bound prunes
         # partitions before the semi join.
         bound = newest.agg(F.min(order)).scalar()
-        return df.where(F.col(order) >= bound).join(newest, keys + [order], "left_semi")
+        return (df.where(F.col(order) >= bound).join(newest, keys + [order], "left_semi")
+                .select(*df.columns))
     raise ValueError(f"unknown method {method!r}")
 
 

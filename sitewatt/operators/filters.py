@@ -47,13 +47,19 @@ def _ts_lit(v) -> Column:
     return F.lit(v).cast("timestamp_ntz") if isinstance(v, str) else F.lit(v)
 
 
-def time_range(df: DataFrame, start=None, end=None, ts: str = "ts") -> DataFrame:
-    """Inclusive ``[start, end]`` time filter; ``None`` leaves that side open."""
+def time_range(df: DataFrame, start=None, end=None, ts: str = "ts",
+               partition_col: str | None = None) -> DataFrame:
+    """Inclusive ``[start, end]`` time filter; ``None`` leaves that side open.
+    With ``partition_col`` (the date of ``ts``) the same bounds prune partitions."""
     c = F.col(ts)
     if start is not None:
         df = df.where(c >= _ts_lit(start))
+        if partition_col:
+            df = df.where(F.col(partition_col) >= F.to_date(_ts_lit(start)))
     if end is not None:
         df = df.where(c <= _ts_lit(end))
+        if partition_col:
+            df = df.where(F.col(partition_col) <= F.to_date(_ts_lit(end)))
     return df
 
 

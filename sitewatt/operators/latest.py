@@ -9,7 +9,7 @@ from sitewatt.operators.sinks import last_wins
 
 
 def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
-                   method: str = "semi") -> DataFrame:
+                   method: str = "semi", partition_col: str | None = None) -> DataFrame:
     """Newest row per key (``DISTINCT ON (key) ... ORDER BY key, ts DESC``).
 
     ``max_by``: one pass, partial aggregation per map task, so only one row per
@@ -27,8 +27,10 @@ def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
         # bound cannot qualify, and on date-partitioned facts the bound prunes
         # partitions before the semi join.
         bound = newest.agg(F.min(order)).scalar()
-        return (df.where(F.col(order) >= bound).join(newest, keys + [order], "left_semi")
-                .select(*df.columns))
+        recent = df.where(F.col(order) >= bound)
+        if partition_col:
+            recent = recent.where(F.col(partition_col) >= F.to_date(bound))
+        return recent.join(newest, keys + [order], "left_semi").select(*df.columns)
     raise ValueError(f"unknown method {method!r}")
 
 

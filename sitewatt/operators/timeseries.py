@@ -154,7 +154,8 @@ def actual_vs_predicted(tm: DataFrame, model: str, width: str = "5 minutes", sta
 
 
 def forecast(tm: DataFrame, assets: DataFrame | None, as_of=None, horizon: str = "15 minutes",
-             room: str = ALL, rack: str = ALL, server: str = ALL, level: str = "asset") -> DataFrame:
+             room: str = ALL, rack: str = ALL, server: str = ALL, level: str = "asset",
+             partition_col: str | None = None) -> DataFrame:
     """Linear extrapolation of two adjacent window means:
     ``cur + (cur - prev)``, falling back to ``cur``, then 0.
 
@@ -166,7 +167,10 @@ def forecast(tm: DataFrame, assets: DataFrame | None, as_of=None, horizon: str =
     now = as_of_column(as_of)
     h = F.expr(f"INTERVAL {horizon}")
     t = F.col("ts")
-    df = tm.where(t >= now - h - h).select("ts", "asset_id", "power_w")
+    df = tm.where(t >= now - h - h)
+    if partition_col:  # the same bound on the date partition column skips old partitions
+        df = df.where(F.col(partition_col) >= F.to_date(now - h - h))
+    df = df.select("ts", "asset_id", "power_w")
     cur_w, prev_w = t >= now - h, (t >= now - h - h) & (t < now - h)
     if level == "site":
         df = scoped_group_agg(df, assets, {"ts": t}, [("power_w", "power_w", "sum")], room, rack, server) \

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sitewatt.operators import alerts as A
 from sitewatt.operators.latest import latest_per_key
-from sitewatt.sources.fixture import Fixture
+from sitewatt.session import checkpoint_dir
+from sitewatt.sources.fixture import Fixture, materialize_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,8 +38,10 @@ class Ctx:
         if key not in _VIEWS:
             self = super().__new__(cls)
             self.fx = Fixture(spark, sf_dir)
-            self.tm = self.fx.telemetry
-            self.assets = self.fx.assets
+            stored = materialize_model(spark, sf_dir, checkpoint_dir(spark))
+            self.tm_stored = stored["telemetry_metrics"]       # with the date partition column dt
+            self.tm = self.tm_stored.drop("dt")
+            self.assets = stored["assets"]
             self._memo = {}
             _VIEWS[key] = self
         return _VIEWS[key]
@@ -53,12 +56,13 @@ class Ctx:
 
     @property
     def latest(self) -> DataFrame:
-        return self._once("latest", lambda: latest_per_key(self.tm, ["asset_id"], "ts", self.LATEST_METHOD))
+        return self._once("latest", lambda: latest_per_key(
+            self.tm_stored, ["asset_id"], "ts", self.LATEST_METHOD, partition_col="dt").drop("dt"))
 
     @property
     def as_of(self):
         """Newest telemetry timestamp as a scalar subquery (stands in for NOW())."""
-        return self._once("as_of", lambda: self.fx.newest_ts.scalar())
+        return self._once("as_of", lambda: self.tm.agg(F.max("ts")).scalar())
 
     @property
     def alerts(self) -> DataFrame:
@@ -288,19 +292,19 @@ def q_actual_vs_predicted_lstm(spark, sf_dir):
 @query("forecast_15m")
 def q_forecast_15m(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return TS.forecast(c.tm, c.assets, c.as_of, "15 minutes")
+    return TS.forecast(c.tm_stored, c.assets, c.as_of, "15 minutes", partition_col="dt")
 
 
 @query("forecast_6h")
 def q_forecast_6h(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return TS.forecast(c.tm, c.assets, c.as_of, "6 hours")
+    return TS.forecast(c.tm_stored, c.assets, c.as_of, "6 hours", partition_col="dt")
 
 
 @query("forecast_6h_room_scope")
 def q_forecast_6h_room(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return TS.forecast(c.tm, c.assets, c.as_of, "6 hours", room=SCOPE_ROOM)
+    return TS.forecast(c.tm_stored, c.assets, c.as_of, "6 hours", room=SCOPE_ROOM, partition_col="dt")
 
 
 def _kpi(c: Ctx) -> DataFrame:

@@ -176,3 +176,44 @@ class Fixture:
 
 def load_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return Fixture(spark, sf_dir)
+
+
+def _input_signature(spark: SparkSession, sf_dir: str, names) -> str:
+    """Content key of the input tables (file paths, sizes, modification times),
+    read through the Hadoop FileSystem so shared storage works as well."""
+    import hashlib
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for n in names:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        fs = p.getFileSystem(conf)
+        for st in fs.listStatus(p):
+            parts.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def materialize_model(spark: SparkSession, sf_dir: str, base: str) -> dict[str, DataFrame]:
+    """Write the derived telemetry (partitioned by date ``dt``, sorted by ``ts``
+    inside files so row-group statistics prune time ranges) and the asset
+    inventory once under ``base`` (a shared folder), then read them back.
+
+    This is the stored layout the operators are designed for; it also cuts the
+    derivation's lineage, so later jobs neither re-run nor re-plan it."""
+    fx = Fixture(spark, sf_dir)
+    key = _input_signature(spark, sf_dir, ["events", "customer", "nation", "region"])
+    root = f"{base.rstrip('/')}/sitewatt-model/{key}"
+    tm_path, as_path = f"{root}/telemetry_metrics", f"{root}/assets"
+    if not _exists(spark, f"{tm_path}/_SUCCESS"):
+        (fx.telemetry.withColumn("dt", F.to_date("ts"))
+         .repartition("dt").sortWithinPartitions("ts")
+         .write.mode("overwrite").partitionBy("dt").parquet(tm_path))
+    if not _exists(spark, f"{as_path}/_SUCCESS"):
+        fx.assets.write.mode("overwrite").parquet(as_path)
+    return {"telemetry_metrics": spark.read.parquet(tm_path), "assets": spark.read.parquet(as_path)}

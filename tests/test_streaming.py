@@ -1,6 +1,7 @@
 """Stream equals batch (file source, availableNow trigger, memory sink)."""
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,7 +21,13 @@ def _stage(spark, scratch):
     return c, path, spark.read.parquet(path).schema
 
 
+def _unique(name):
+    """Each test run gets its own query name, hence its own checkpoint folder."""
+    return f"{name}_{uuid.uuid4().hex[:8]}"
+
+
 def _run(df, name, mode="append"):
+    name = _unique(name)
     q = L.start_stream(df, name, output_mode=mode, trigger={"availableNow": True})
     q.awaitTermination()
     return df.sparkSession.table(name)
@@ -55,7 +62,7 @@ def test_latest_state_table_foreach_batch(spark, scratch):
     c, path, schema = _stage(spark, scratch)
     s = L.stream_telemetry(spark, path, schema, max_files_per_trigger=1)
     table = L.LatestStateTable(os.path.join(scratch, "latest_state"))
-    q = table.start(s, name="latest_state_t", trigger={"availableNow": True})
+    q = table.start(s, name=_unique("latest_state_t"), trigger={"availableNow": True})
     q.awaitTermination()
     cur = table.current(spark)
     got = sorted((r["asset_id"], r["ts"]) for r in cur.select("asset_id", "ts").collect())

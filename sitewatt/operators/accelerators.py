@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewatt.operators.joins import attach_single
+
 # ---------------------------------------------------------------------------
 # Export metric names and comparison labels.
 PLATFORM_EXPORT = [
@@ -75,12 +77,12 @@ def before_after(scenario: DataFrame, before: str, after: str, before_label: str
 def derive_platform_metrics(platforms: DataFrame, baseline: str = "CPU") -> DataFrame:
     """Derivations stated by the application: energy = power x time; improvement
     percent = (baseline - optimised) / baseline x 100; perf/W = throughput / power;
-    speed-ups = baseline latency / platform latency. The baseline row is one row,
-    attached by broadcast."""
+    speed-ups = baseline latency / platform latency. The baseline values are
+    scalar subqueries."""
     b = platforms.where(F.col("platform") == F.lit(baseline)).select(
         F.col("training_latency_ms").alias("b_train"), F.col("inference_latency_ms").alias("b_inf"),
         F.col("power_w").alias("b_power")).limit(1)
-    j = platforms.crossJoin(F.broadcast(b))
+    j = attach_single(platforms, b)
     energy = F.col("power_w") * F.col("inference_latency_ms") / F.lit(1000.0)
     b_energy = F.col("b_power") * F.col("b_inf") / F.lit(1000.0)
     return j.select(

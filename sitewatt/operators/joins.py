@@ -48,9 +48,10 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
 
 
 def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row frame (a global aggregate) to every row. The one-row side
-    is bounded by construction, so it is always broadcast."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row frame (a global aggregate) to every row.
+    Each column becomes a scalar subquery, evaluated once and inlined as a
+    constant: no join, nothing shuffled or broadcast."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def scalar_of(one_row: DataFrame, column: str | None = None) -> Column:

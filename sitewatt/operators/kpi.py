@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewatt.functions.scalar import clamp, dec, hourly_phase
+from sitewatt.operators.joins import attach_single
 from sitewatt.operators.latest import latest_row
 from sitewatt.operators.rollups import kpi_inputs
 from sitewatt.schemas import KPI_COLUMNS, KPI_CONFIG_FIELDS
@@ -64,9 +65,9 @@ def kpi_formulas(inputs: DataFrame, profile=None, ts: str = "ts") -> DataFrame:
     """Unrounded KPI columns from per-timestamp inputs."""
     profile = DEFAULT_PROFILE if profile is None else profile
     df = inputs
-    if not isinstance(profile, dict):  # one-row DataFrame of coefficients
+    if not isinstance(profile, dict):  # one-row DataFrame of coefficients: scalar subqueries
         one = profile.select(*[F.col(c).alias(f"cfg_{c}") for c in KPI_CONFIG_FIELDS]).limit(1)
-        df = df.crossJoin(F.broadcast(one))
+        df = attach_single(df, one)
     c = lambda n: _cfg(profile, n)
     phi = hourly_phase(ts)
     w = F.col("warning_pressure")

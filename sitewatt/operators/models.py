@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewatt.operators.joins import attach_single
+
 from sitewatt.operators.timeseries import DEFAULT_COEFFICIENTS, INLET_OFFSET, MODEL_COEFFICIENTS, predicted_power
 
 
@@ -41,7 +43,7 @@ def model_tradeoff(models: DataFrame) -> DataFrame:
     (2), ordered best, preferred, then accuracy descending with nulls first.
     Equal energies give a null index (``NULLIF``), not an error."""
     bounds = models.agg(F.min("energy_j").alias("min_e"), F.max("energy_j").alias("max_e"))  # one row
-    j = models.crossJoin(F.broadcast(bounds))
+    j = attach_single(models, bounds)
     idx = F.lit(100) * (F.lit(1) - F.try_divide(F.col("energy_j") - F.col("min_e"),
                                                 F.nullif(F.col("max_e") - F.col("min_e"), F.lit(0.0))))
     return (j.orderBy(F.col("best_model").desc(), F.col("preferred_family").desc(),

@@ -65,8 +65,10 @@ def num_text(c) -> Column:
 
 
 def epoch_seconds(ts) -> Column:
-    """Seconds since the epoch as double (``EXTRACT(EPOCH FROM ts)``)."""
-    return F.unix_micros(_col(ts).cast("timestamp")) / F.lit(1_000_000.0)
+    """Seconds since the epoch as double (``EXTRACT(EPOCH FROM ts)``) of a UTC
+    wall-clock timestamp; independent of the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, _col(ts).cast("timestamp_ntz")) / F.lit(1_000_000.0)
 
 
 def day_fraction(ts) -> Column:

@@ -34,7 +34,7 @@ class Ctx:
     LATEST_METHOD = "semi"
 
     def __new__(cls, spark: SparkSession, sf_dir: str):
-        key = (id(spark), sf_dir)
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
         if key not in _VIEWS:
             self = super().__new__(cls)
             self.fx = Fixture(spark, sf_dir)

@@ -92,6 +92,8 @@ from sitewatt.operators import topk as K  # noqa: E402
 # Scope used by the scoped variants (a room, a rack inside it, a server inside that).
 SCOPE_ROOM = "EUROPE"
 SCOPE_RACK = "NATION_3"
+SCOPE_SERVER = "Customer#000000010"  # in room EUROPE, rack NATION_13
+SCOPE_SERVER_RACK = "NATION_13"
 
 
 @query("rack_rollup")
@@ -524,3 +526,45 @@ def q_enriched(spark, sf_dir):
     out = enrich_telemetry(measured.drop("event_id"), c.assets)
     return out.select(*[F.col(x).cast("double").alias(x) if x not in ("ts", "asset_id", "status_level", "operational_state")
                         else F.col(x) for x in out.columns])
+
+
+# ---------------------------------------------------------------------------
+# Remaining reducers and variants.
+from sitewatt.operators.latest import last_not_null  # noqa: E402
+
+
+@query("pue_last_not_null")
+def q_pue_last_not_null(spark, sf_dir):
+    k = _kpi(Ctx(spark, sf_dir)).select("ts", F.col("pue").cast("double").alias("pue"))
+    return last_not_null(k, "pue")
+
+
+@query("power_bounds")
+def q_power_bounds(spark, sf_dir):
+    return R.min_max_bounds(Ctx(spark, sf_dir).tm, "power_w").select(
+        F.col("min_power_w").cast("double").alias("min_power_w"),
+        F.col("max_power_w").cast("double").alias("max_power_w"))
+
+
+@query("alert_feed_ranked")
+def q_alert_feed_ranked(spark, sf_dir):
+    return A.alert_feed(Ctx(spark, sf_dir).alerts, limit=25, severity_rank=True)
+
+
+@query("forecast_6h_site_level")
+def q_forecast_site(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.forecast(c.tm_stored, c.assets, c.as_of, "6 hours", level="site", partition_col="dt")
+
+
+@query("cpu_trend_server_scope")
+def q_cpu_trend_server(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.bucket_series(c.tm, c.assets, [("Average CPU", "cpu_usage", "avg", 1)],
+                            room=SCOPE_ROOM, rack=SCOPE_SERVER_RACK, server=SCOPE_SERVER)
+
+
+@query("hottest_assets_rack_scope")
+def q_hottest_rack(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return K.hottest_assets(c.latest, c.assets, 15, room=SCOPE_ROOM, rack=SCOPE_RACK)

@@ -1,9 +1,11 @@
 """Dimension joins with a checked broadcast, and one-row attachments.
 
-A dimension side is broadcast only after its row count has been bounded by a
-cheap, capped job (``limit(cap + 1).count()``): each task stops after ``cap + 1``
-rows. Beyond the cap the join stays a shuffle join (sort-merge, with AQE skew
-splitting), so nothing unbounded is ever shipped to every executor.
+A dimension side is broadcast only after its row count is proven below a cap.
+The count is one distributed pass (partial counts per task, one tiny final
+aggregate; with no filter Parquet answers it from footers) and is memoised per
+plan and input file set. Beyond the cap the join stays a shuffle join
+(sort-merge, with AQE skew splitting), so nothing unbounded is ever shipped to
+every executor.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     key = _plan_key(df)
     if key is not None and (key, max_rows) in _decisions:
         return _decisions[(key, max_rows)]
-    ok = df.limit(max_rows + 1).count() <= max_rows
+    ok = df.count() <= max_rows
     if key is not None:
         _decisions[(key, max_rows)] = ok
     return ok

@@ -32,14 +32,26 @@ def last_wins(batch: DataFrame, keys: list[str], order) -> DataFrame:
     return _extreme_per_key(batch, keys, order, F.max_by)
 
 
-def append_first_wins(target: DataFrame, batch: DataFrame, keys: list[str], order) -> DataFrame:
+def append_first_wins(target: DataFrame, batch: DataFrame, keys: list[str], order,
+                      range_key: str | None = "ts", partition_col: str | None = None) -> DataFrame:
     """Rows to append so that an existing key is never changed (``ON CONFLICT DO
     NOTHING``): de-duplicate the batch, then drop keys already in ``target``.
 
+    When ``range_key`` is part of the key, only target rows inside the batch's
+    ``[min, max]`` of it can conflict: the bounds are scalar subqueries pushed
+    into the target scan (and onto ``partition_col``, its date), so a batch is
+    checked against the matching slice of the fact, not all of it.
     Returns only the new rows; append them with ``write.mode("append")``.
     """
     fresh = first_wins(batch, keys, order)
-    return fresh.join(target.select(*keys), keys, "left_anti")
+    existing = target
+    if range_key and range_key in keys:
+        lo = batch.agg(F.min(range_key)).scalar()
+        hi = batch.agg(F.max(range_key)).scalar()
+        existing = existing.where(F.col(range_key).between(lo, hi))
+        if partition_col:
+            existing = existing.where(F.col(partition_col).between(F.to_date(lo), F.to_date(hi)))
+    return fresh.join(existing.select(*keys), keys, "left_anti")
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order=None) -> DataFrame:

@@ -211,8 +211,11 @@ def materialize_model(spark: SparkSession, sf_dir: str, base: str) -> dict[str,
     root = f"{base.rstrip('/')}/sitewatt-model/{key}"
     tm_path, as_path = f"{root}/telemetry_metrics", f"{root}/assets"
     if not _exists(spark, f"{tm_path}/_SUCCESS"):
+        # Range partitioning on ts gives every task a contiguous time slice, so
+        # each writes few, ts-sorted files, and a busy day is split over many
+        # tasks instead of landing in one (as hash partitioning by date would).
         (fx.telemetry.withColumn("dt", F.to_date("ts"))
-         .repartition("dt").sortWithinPartitions("ts")
+         .repartitionByRange("ts").sortWithinPartitions("ts")
          .write.mode("overwrite").partitionBy("dt").parquet(tm_path))
     if not _exists(spark, f"{as_path}/_SUCCESS"):
         fx.assets.write.mode("overwrite").parquet(as_path)

@@ -59,3 +59,11 @@ def test_quality_checks(spark):
     assert nulls["rows"] == 3 and nulls["cpu_usage_nulls"] == 0
     checks = DQ.check_all({"telemetry_metrics": tm, "assets": assets})
     assert set(checks) == {"unique:telemetry_metrics", "unique:assets", "fk:telemetry_metrics->assets"}
+
+
+def test_append_first_wins_bounded_by_batch_range(spark):
+    tm, _ = frames(spark, [tm_row(T0, 1), tm_row(T1, 1)], [])
+    batch, _ = frames(spark, [tm_row(T1, 1, cpu="99"), tm_row(T1, 2), tm_row(T1, 2, cpu="1")], [])
+    batch = batch.withColumn("seq", __import__("pyspark.sql.functions", fromlist=["F"]).monotonically_increasing_id())
+    new = append_first_wins(tm.withColumn("seq", tm.asset_id * 0), batch, ["ts", "asset_id"], "seq").collect()
+    assert [(r["asset_id"], str(r["cpu_usage"])) for r in new] == [(2, "50.00")]

@@ -47,3 +47,15 @@ def band(value, steps) -> Column:
     for threshold, colour in rest:  # later (higher) steps override earlier ones
         out = F.when(v >= F.lit(threshold), F.lit(colour)).otherwise(out)
     return out
+
+
+def band_by_metric(metric, value, steps_by_metric: dict | None = None, default: str | None = None) -> Column:
+    """Table-driven bands for long ``metric, value`` frames: each metric name
+    picks its own step list (a ``STEP_LISTS`` key or an explicit list); unknown
+    metrics get ``default``. Built as one CASE expression, so no join is needed."""
+    steps_by_metric = steps_by_metric or {k: k for k in STEP_LISTS}
+    m = F.col(metric) if isinstance(metric, str) else metric
+    out = F.lit(default)
+    for name, steps in steps_by_metric.items():
+        out = F.when(m == F.lit(name), band(value, steps)).otherwise(out)
+    return out

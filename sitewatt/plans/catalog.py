@@ -3,6 +3,7 @@ driver tables, composed from the library's operators."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ def query(name: str):
 
 
 _VIEWS: dict = {}
+_LOCK = threading.RLock()
 
 
 class Ctx:
@@ -35,6 +37,11 @@ class Ctx:
 
     def __new__(cls, spark: SparkSession, sf_dir: str):
         key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+        with _LOCK:  # one materialisation per key even when queries run in threads
+            return cls._get(spark, sf_dir, key)
+
+    @classmethod
+    def _get(cls, spark: SparkSession, sf_dir: str, key):
         if key not in _VIEWS:
             self = super().__new__(cls)
             self.fx = Fixture(spark, sf_dir)

@@ -72,6 +72,7 @@ def raw_samples(events: DataFrame) -> DataFrame:
     st = (e * 11 + u) % 20
     base = events.select(
         "event_id",
+        F.col("ts").alias("event_ts"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
         u.alias("asset_id"), cpu_c.alias("cpu_c"), nom.alias("nom"), inlet_c.alias("inlet_c"),
         ef_e4.alias("ef_e4"), st.alias("st"))

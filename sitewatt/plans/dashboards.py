@@ -193,6 +193,19 @@ def connect(r: Refresh, sources: DataFrame, dc_name: str) -> dict[str, DataFrame
     }
 
 
-def run_all(panels: dict[str, DataFrame]) -> dict[str, int]:
-    """Execute every panel (row counts), e.g. to warm or time a refresh."""
-    return {name: df.count() for name, df in panels.items()}
+def run_all(panels: dict[str, DataFrame], threads: int = 8, sink: str | None = None) -> dict[str, int | None]:
+    """Execute every panel of a refresh. Panels are independent queries, so they
+    are submitted concurrently from a thread pool (Spark schedules jobs from
+    several threads side by side; with the FAIR scheduler they share executors
+    fairly). ``sink=None`` returns row counts; ``sink="noop"`` only executes."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item):
+        name, df = item
+        if sink:
+            df.write.format(sink).mode("overwrite").save()
+            return name, None
+        return name, df.count()
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        return dict(pool.map(one, panels.items()))

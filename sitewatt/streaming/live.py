@@ -59,11 +59,12 @@ def enrich_stream(raw_stream: DataFrame, assets: DataFrame) -> DataFrame:
     return enrich_telemetry(raw_stream, assets)
 
 
-def trend_stream(stream: DataFrame, series, width: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
+def trend_stream(stream: DataFrame, series, width: str = "5 minutes", delay: str = "1 hour",
+                 watermarked: bool = False) -> DataFrame:
     """STR-3: windowed trend, one row per closed bucket in append mode.
     ``series`` = [(output column, column, "sum"|"avg"|"max"|"min", digits)]."""
     fns = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
-    s = event_time(stream).withWatermark("ts", delay)
+    s = stream if watermarked else event_time(stream).withWatermark("ts", delay)
     return (s.groupBy(F.window("ts", width).alias("w"))
             .agg(*[F.round(fns[fn](c), d).cast("double").alias(n) for n, c, fn, d in series])
             .select(F.col("w.start").alias("time"), *[n for n, _, _, _ in series]))
@@ -82,9 +83,10 @@ def latest_state_stream(stream: DataFrame) -> DataFrame:
     return last_wins(stream, ["asset_id"], "ts")
 
 
-def kpi_stream(stream: DataFrame, delay: str = "1 hour", profile=None) -> DataFrame:
-    """STR-7: KPI snapshot per timestamp once the watermark passes it (append)."""
-    s = event_time(stream).withWatermark("ts", delay)
+def kpi_stream(stream: DataFrame, delay: str = "1 hour", profile=None, watermarked: bool = False) -> DataFrame:
+    """STR-7: KPI snapshot per timestamp once the watermark passes it (append).
+    ``watermarked=True`` keeps the watermark an upstream operator already set."""
+    s = stream if watermarked else event_time(stream).withWatermark("ts", delay)
     f = kpi_formulas(kpi_inputs(s), profile)
     return f.select("ts", *[F.round(F.col(c), d).cast(f"decimal(18,{d})").alias(c) for c, d in KPI_COLUMNS])
 
@@ -139,11 +141,46 @@ class LatestStateTable:
 
 
 def start_stream(df: DataFrame, name: str, sink: str = "memory", output_mode: str = "append",
-                 trigger: dict | None = None, path: str | None = None):
+                 trigger: dict | None = None, path: str | None = None, partition_by: list[str] | None = None):
     """STR-8: start a query with a checkpoint under ``spark.checkpoint.dir``.
     Default cadence is the 10-second refresh; tests pass ``{"availableNow": True}``."""
     cp = os.path.join(checkpoint_dir(df.sparkSession), name)
     w = df.writeStream.outputMode(output_mode).format(sink).queryName(name).option("checkpointLocation", cp)
     if path:
         w = w.option("path", path)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
     return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+RAW_COLUMNS = ["ts", "asset_id", "cpu_usage", "power_w", "inlet_temp_c", "outlet_temp_c", "operational_state"]
+
+
+def start_live_pipeline(raw_stream: DataFrame, assets: DataFrame, out_dir: str, delay: str = "1 hour",
+                        trigger: dict | None = None, name: str = "live") -> dict:
+    """The live loop as three streaming queries (each with its own checkpoint
+    under ``spark.checkpoint.dir``):
+
+    * ``ingest``: measured samples -> first-wins de-duplication within the
+      watermark -> enrichment (emission factor, carbon, status) -> exactly-once
+      append to date-partitioned Parquet facts (``<out_dir>/telemetry_metrics``);
+    * ``latest``: the latest-state table maintained by ``foreachBatch``
+      (``<out_dir>/latest_state``), for rollups, alerts and site stats;
+    * ``kpi``: KPI snapshots per timestamp once the watermark passes it
+      (``<out_dir>/sustainability_kpi_snapshots``).
+
+    Returns the started queries and the output paths.
+    """
+    trig = trigger or {"processingTime": "10 seconds"}
+    facts_path = f"{out_dir.rstrip('/')}/telemetry_metrics"
+    kpi_path = f"{out_dir.rstrip('/')}/sustainability_kpi_snapshots"
+    clean = dedup_stream(raw_stream.select(*RAW_COLUMNS), delay)
+    facts = enrich_stream(clean, assets)
+    ingest = start_stream(facts.withColumn("dt", F.to_date("ts")), f"{name}_ingest", sink="parquet",
+                          trigger=trig, path=facts_path, partition_by=["dt"])
+    table = LatestStateTable(f"{out_dir.rstrip('/')}/latest_state")
+    latest = table.start(facts, name=f"{name}_latest", trigger=trig)
+    kpi = start_stream(kpi_stream(facts, delay, watermarked=True), f"{name}_kpi", sink="parquet", trigger=trig,
+                       path=kpi_path)
+    return {"ingest": ingest, "latest": latest, "kpi": kpi, "facts_path": facts_path, "kpi_path": kpi_path,
+            "latest_table": table}

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from sitewatt.operators.joins import attach_single
 
 # ---------------------------------------------------------------------------
-# Export metric names and comparison labels.
+# Exported metric names (after a deployment-chosen prefix).
 PLATFORM_EXPORT = [
-    ("training_latency_ms", "idt4gdc_fraud_training_latency_ms"),
-    ("inference_latency_ms", "idt4gdc_fraud_inference_latency_ms"),
-    ("speedup_training", "idt4gdc_fraud_speedup_training"),
-    ("speedup_inference", "idt4gdc_fraud_speedup_inference"),
-    ("performance_per_watt", "idt4gdc_fraud_perf_per_watt"),
+    ("training_latency_ms", "fraud_training_latency_ms"),
+    ("inference_latency_ms", "fraud_inference_latency_ms"),
+    ("speedup_training", "fraud_speedup_training"),
+    ("speedup_inference", "fraud_speedup_inference"),
+    ("performance_per_watt", "fraud_perf_per_watt"),
 ]
-IMPROVEMENT_METRIC = "idt4gdc_optimization_improvement_percent"
-SCHEDULER_METRIC = "idt4gdc_ai_scheduler_state"
+IMPROVEMENT_METRIC = "optimization_improvement_percent"
+SCHEDULER_METRIC = "ai_scheduler_state"
+DEFAULT_PREFIX = "dc_"
 PLATFORM_ORDER = ["CPU", "GPU"]
 # ---------------------------------------------------------------------------
 
@@ -42,17 +43,18 @@ def scenario_values(scenario: DataFrame) -> DataFrame:
                            "gpu_training_acceleration")
 
 
-def platform_long(platforms: DataFrame, scenario: DataFrame) -> DataFrame:
+def platform_long(platforms: DataFrame, scenario: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
     """Platform metrics unpivoted (``platform, metric_name, metric_value``) plus
     the improvement of the baseline platform and a constant 1 for the training
-    platform."""
-    pairs = [F.struct(F.lit(n).alias("metric_name"), F.col(c).cast("double").alias("metric_value"))
+    platform. Metric names are ``prefix`` + the fixed suffix."""
+    pairs = [F.struct(F.lit(prefix + n).alias("metric_name"), F.col(c).cast("double").alias("metric_value"))
              for c, n in PLATFORM_EXPORT]
     long = platforms.select("platform", F.inline(F.array(*pairs)))
     extra = scenario.select(F.inline(F.array(
-        F.struct(F.col("baseline_platform").alias("platform"), F.lit(IMPROVEMENT_METRIC).alias("metric_name"),
+        F.struct(F.col("baseline_platform").alias("platform"),
+                 F.lit(prefix + IMPROVEMENT_METRIC).alias("metric_name"),
                  F.col("energy_saving_percent").cast("double").alias("metric_value")),
-        F.struct(F.col("training_platform").alias("platform"), F.lit(SCHEDULER_METRIC).alias("metric_name"),
+        F.struct(F.col("training_platform").alias("platform"), F.lit(prefix + SCHEDULER_METRIC).alias("metric_name"),
                  F.lit(1.0).alias("metric_value")))))
     return long.unionByName(extra)
 

@@ -27,7 +27,7 @@ from sitewatt.schemas import KPI_COLUMNS, KPI_CONFIG_FIELDS
 # ---------------------------------------------------------------------------
 # The default KPI profile (coefficients of the formulas).
 DEFAULT_PROFILE = {
-    "profile_name": "d32_demo_profile",
+    "profile_name": "default",
     "facility_overhead_base": 1.26,
     "facility_overhead_wave": 0.08,
     "renewable_fraction_base": 0.46,
@@ -48,7 +48,8 @@ EXPORT_METRICS = [
     ("co2_savings_kg", "co2_savings_kg"), ("ppw", "ppw"), ("hue", "hue"), ("she", "she"),
     ("apcren", "apcren"), ("dca", "dca"),
 ]
-EXPORT_PREFIX = "idt4gdc_"
+# Metric names are exported behind a deployment-chosen prefix.
+EXPORT_PREFIX = "dc_"
 ADVANCED_KPIS = [("HUE", "hue"), ("SHE", "she"), ("APCren", "apcren"), ("DCA", "dca")]
 # ---------------------------------------------------------------------------
 

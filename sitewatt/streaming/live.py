@@ -156,7 +156,7 @@ def start_stream(df: DataFrame, name: str, sink: str = "memory", output_mode: st
 RAW_COLUMNS = ["ts", "asset_id", "cpu_usage", "power_w", "inlet_temp_c", "outlet_temp_c", "operational_state"]
 
 
-def start_live_pipeline(raw_stream: DataFrame, assets: DataFrame, out_dir: str, delay: str = "1 hour",
+def start_live_loop(raw_stream: DataFrame, assets: DataFrame, out_dir: str, delay: str = "1 hour",
                         trigger: dict | None = None, name: str = "live") -> dict:
     """The live loop as three streaming queries (each with its own checkpoint
     under ``spark.checkpoint.dir``):

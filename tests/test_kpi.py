@@ -43,5 +43,5 @@ def test_kpi_long_and_export(spark):
     from sitewatt.operators.latest import latest_row
     latest = latest_row(KPI.kpi_snapshots(c.tm))
     names = [r["metric_name"] for r in KPI.kpi_long(latest).collect()]
-    assert len(names) == 11 and "idt4gdc_cef_kgco2_per_kwh" in names
+    assert len(names) == 11 and "dc_cef_kgco2_per_kwh" in names
     assert [r["metric_name"] for r in KPI.kpi_long(latest, prefix="site_").collect()][0] == "site_pue"

@@ -88,7 +88,7 @@ def test_trend_and_kpi_stream_below_watermark(spark, scratch):
     assert k and all(b[t] == v for t, v in k.items())
 
 
-def test_live_pipeline_equals_batch(spark, scratch):
+def test_live_loop_equals_batch(spark, scratch):
     from sitewatt.operators.enrich import enrich_telemetry
     from sitewatt.operators.kpi import kpi_snapshots
     c = Ctx(spark, SF_SMALL)
@@ -96,7 +96,7 @@ def test_live_pipeline_equals_batch(spark, scratch):
     raw = c.tm.select(*L.RAW_COLUMNS)
     raw.unionByName(raw.limit(20)).repartition(3).write.parquet(raw_path)   # re-sent samples included
     s = L.stream_telemetry(spark, raw_path, spark.read.parquet(raw_path).schema)
-    out = L.start_live_pipeline(s, c.assets, os.path.join(scratch, "live"), delay="1 hour",
+    out = L.start_live_loop(s, c.assets, os.path.join(scratch, "live"), delay="1 hour",
                                 trigger={"availableNow": True}, name=_unique("live"))
     for k in ("ingest", "latest", "kpi"):
         out[k].awaitTermination()

@@ -68,8 +68,13 @@ class Ctx:
 
     @property
     def as_of(self):
-        """Newest telemetry timestamp as a scalar subquery (stands in for NOW())."""
-        return self._once("as_of", lambda: self.tm.agg(F.max("ts")).scalar())
+        """Stands in for NOW(): the newest telemetry timestamp, computed once per
+        view set (one scalar through the driver) and used as a literal, so the
+        panels of a refresh share one instant and no panel re-scans for it."""
+        def newest():
+            ts = self.tm.agg(F.max("ts")).first()[0]
+            return F.lit(ts).cast("timestamp_ntz") if ts is None else F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+        return self._once("as_of", newest)
 
     @property
     def alerts(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitewatt.functions.scalar import epoch_seconds
 from sitewatt.operators.filters import ALL, scope
-from sitewatt.operators.joins import attach_single
+from sitewatt.operators.joins import attach_single, checked_broadcast
 
 SOURCE_COLUMNS = ["dc_key", "dc_name", "location", "ip_address", "source_type", "jwt_status", "stream_status"]
 
@@ -45,7 +45,7 @@ def room_options(rooms: DataFrame) -> DataFrame:
 
 def rack_options(racks: DataFrame, rooms: DataFrame, room: str = ALL) -> DataFrame:
     """Rack names limited by the selected room (racks JOIN rooms USING room_id)."""
-    j = racks.join(F.broadcast(rooms), "room_id")  # rooms: the small side of a 1:N key join
+    j = racks.join(checked_broadcast(rooms), "room_id")
     return scope(j, room, ALL, ALL).select(F.col("rack_name").alias("text")).orderBy("text")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sitewatt.operators.alerts import as_of_column
 from sitewatt.operators.filters import ALL, is_unscoped, time_range
-from sitewatt.operators.joins import fits_broadcast
+from sitewatt.operators.joins import checked_broadcast, fits_broadcast
 from sitewatt.operators.rollups import scoped_assets
 
 
@@ -181,7 +181,7 @@ def forecast(tm: DataFrame, assets: DataFrame | None, as_of=None, horizon: str =
     else:
         ids = scoped_assets(assets, room, rack, server, ("asset_id", "asset_name", "room_name", "rack_name"))
         ids = ids.select("asset_id")
-        filtered = df.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "asset_id", "left_semi")
+        filtered = df.join(checked_broadcast(ids), "asset_id", "left_semi")
     p = F.col("power_w")
     agg = filtered.agg(
         F.try_divide(F.sum(F.when(cur_w, p)), F.count(F.when(cur_w, p)).cast("decimal(20,0)")).alias("cur"),

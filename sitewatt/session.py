@@ -21,17 +21,49 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(total_cores: int) -> dict:
+    """Settings for a large cluster scanning ~100 TB.
+
+    Input splits and shuffle partitions target ~256 MB so each task's working
+    set fits executor memory (sorts and aggregates spill beyond it rather than
+    fail); AQE coalesces small shuffle partitions and splits skewed ones;
+    broadcasts stay bounded by the threshold (and by the library's own checks);
+    the RocksDB state store keeps large streaming de-duplication state off-heap;
+    speculation and retries absorb slow or lost executors.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, 3 * total_cores)),
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.speculation": "true",
+        "spark.task.maxFailures": "8",
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "sitewatt", extra: dict | None = None) -> SparkSession:
+                app_name: str = "sitewatt", extra: dict | None = None,
+                total_cores: int | None = None) -> SparkSession:
     """Return a session with the library's base settings.
 
-    On a cluster ``master`` stays ``None`` (taken from spark-submit) and the
-    shuffle partition count is left to the cluster configuration and AQE.
+    On a cluster ``master`` stays ``None`` (taken from spark-submit); pass
+    ``total_cores`` to apply ``cluster_conf``. Local runs pass a master and a
+    shuffle partition count matched to the cores.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    for k, v in BASE_CONF.items():
+    conf = dict(BASE_CONF)
+    if total_cores:
+        conf.update(cluster_conf(total_cores))
+    for k, v in conf.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

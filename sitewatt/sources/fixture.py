@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatt.functions.scalar import status_level
+from sitewatt.operators.joins import checked_broadcast
 from sitewatt.operators.sinks import first_wins
 
 # ---------------------------------------------------------------------------
@@ -44,13 +45,11 @@ def nominal_power(key) -> F.Column:
 
 
 def assets_from(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Asset inventory with its room/rack names denormalised onto it.
-
-    nation and region are fixed 25/5-row dimensions (TPC-H), so they are broadcast.
-    """
+    """Asset inventory with its room/rack names denormalised onto it. The rack
+    and room sides are broadcast once their size is checked (25 and 5 rows here)."""
     c = customer.select("c_custkey", "c_name", "c_nationkey")
-    n = F.broadcast(nation.select("n_nationkey", "n_name", "n_regionkey"))
-    r = F.broadcast(region.select("r_regionkey", "r_name"))
+    n = checked_broadcast(nation.select("n_nationkey", "n_name", "n_regionkey"))
+    r = checked_broadcast(region.select("r_regionkey", "r_name"))
     k = F.col("c_custkey")
     return (c.join(n, c.c_nationkey == n.n_nationkey)
              .join(r, F.col("n_regionkey") == r.r_regionkey)
@@ -111,7 +110,7 @@ def telemetry_from(events: DataFrame) -> DataFrame:
 def sources_from(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """Registered data-centre sources, one per supplier (credentials never carried)."""
     k = F.col("s_suppkey")
-    n = F.broadcast(nation.select("n_nationkey", "n_name"))
+    n = checked_broadcast(nation.select("n_nationkey", "n_name"))
     return (supplier.select("s_suppkey", "s_name", "s_nationkey")
             .join(n, F.col("s_nationkey") == n.n_nationkey)
             .select(k.alias("dc_key"), F.col("s_name").alias("dc_name"), F.col("n_name").alias("location"),

@@ -82,11 +82,12 @@ def scoped_group_agg(facts: DataFrame, assets: DataFrame | None, group: dict[str
 
 def bucket_series(tm: DataFrame, assets: DataFrame | None, series: list[tuple[str, str, str, int]],
                   width: str = "5 minutes", start=None, end=None, room: str = ALL, rack: str = ALL,
-                  server: str | None = ALL, ts: str = "ts") -> DataFrame:
+                  server: str | None = ALL, ts: str = "ts", partition_col: str | None = None) -> DataFrame:
     """Long ``time, metric, value`` series: one aggregate per bucket for all
     ``series`` = [(metric label, column, fn, digits)], then unpivoted (one scan
-    instead of one per metric)."""
-    df = time_range(tm, start, end, ts)
+    instead of one per metric). ``partition_col`` (the date of ``ts``) lets the
+    time range skip whole date partitions."""
+    df = time_range(tm, start, end, ts, partition_col)
     specs = [(f"v{i}", col, fn) for i, (_, col, fn, _) in enumerate(series)]
     wide = scoped_group_agg(df, assets, {"time": bucket_start(ts, width)}, specs, room, rack, server)
     pairs = [F.struct(F.lit(label).alias("metric"), F.round(F.col(f"v{i}"), d).cast("double").alias("value"))
@@ -143,9 +144,9 @@ def predicted_power(model: str) -> Column:
 
 
 def actual_vs_predicted(tm: DataFrame, model: str, width: str = "5 minutes", start=None, end=None,
-                        ts: str = "ts") -> DataFrame:
+                        ts: str = "ts", partition_col: str | None = None) -> DataFrame:
     """Site-wide actual and model-predicted power per bucket (no scope, no join)."""
-    df = time_range(tm, start, end, ts).select(ts, "power_w", predicted_power(model).alias("predicted_w"))
+    df = time_range(tm, start, end, ts, partition_col).select(ts, "power_w", predicted_power(model).alias("predicted_w"))
     wide = df.groupBy(bucket_start(ts, width).alias("time")).agg(
         F.sum("power_w").alias("a"), F.sum("predicted_w").alias("p"))
     pairs = [F.struct(F.lit("Actual Power").alias("metric"), F.round("a", 1).cast("double").alias("value")),

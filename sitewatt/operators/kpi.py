@@ -13,8 +13,6 @@ because 2-digit watts / 1000 at 4 digits sits exactly on rounding ties.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

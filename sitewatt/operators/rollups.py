@@ -56,8 +56,8 @@ def with_assets(facts: DataFrame, assets: DataFrame, room: str = ALL, rack: str
     return join_dimension(facts, scoped_assets(assets, room, rack, server, cols), "asset_id")
 
 
-def _measures(prefix_cols, latest_joined: DataFrame, group: list[str], power_name: str,
-              carbon_name: str, outlet: bool = True) -> DataFrame:
+def _measures(latest_joined: DataFrame, group: list[str], power_name: str, carbon_name: str,
+              outlet: bool = True) -> DataFrame:
     s = F.col("status_level")
     aggs = [F.max("ts").alias("ts"),
             rounded(avg_exact("cpu_usage"), 2).alias("avg_cpu_usage"),
@@ -74,19 +74,18 @@ def _measures(prefix_cols, latest_joined: DataFrame, group: list[str], power_nam
 def rack_rollup(latest: DataFrame, assets: DataFrame) -> DataFrame:
     """Per rack (room id/name, rack id/name): newest ts, averages, sums, status counts."""
     j = with_assets(latest, assets)
-    return _measures(None, j, ["room_id", "room_name", "rack_id", "rack_name"], "rack_power_w",
-                     "rack_carbon_kg")
+    return _measures(j, ["room_id", "room_name", "rack_id", "rack_name"], "rack_power_w", "rack_carbon_kg")
 
 
 def room_rollup(latest: DataFrame, assets: DataFrame) -> DataFrame:
     """Per room, same measures as the rack rollup."""
     j = with_assets(latest, assets)
-    return _measures(None, j, ["room_id", "room_name"], "room_power_w", "room_carbon_kg")
+    return _measures(j, ["room_id", "room_name"], "room_power_w", "room_carbon_kg")
 
 
 def site_summary(latest: DataFrame) -> DataFrame:
     """Whole site, no join and no outlet average; always exactly one row."""
-    return _measures(None, latest, [], "current_power_w", "current_carbon_kg", outlet=False).select(
+    return _measures(latest, [], "current_power_w", "current_carbon_kg", outlet=False).select(
         "ts", "current_power_w", "avg_cpu_usage", "avg_inlet_temp_c", "current_carbon_kg",
         "critical_assets", "warning_assets")
 
@@ -95,7 +94,8 @@ def scoped_stat(latest: DataFrame, assets: DataFrame, column: str, fn: str, digi
                 room: str = ALL, rack: str = ALL, server: str = ALL, as_of=None,
                 default=0) -> DataFrame:
     """One scoped statistic of the latest state, ``round(coalesce(fn(col), 0), n)``."""
-    j = with_assets(latest.select("asset_id", column), assets, room, rack, server, ("asset_id", "asset_name", "room_name", "rack_name"))
+    j = with_assets(latest.select("asset_id", column), assets, room, rack, server,
+                    ("asset_id", "asset_name", "room_name", "rack_name"))
     v = agg_expr(fn, column)
     if default is not None:
         v = F.coalesce(v, F.lit(default))

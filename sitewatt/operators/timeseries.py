@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewatt.operators.alerts import as_of_column
-from sitewatt.operators.filters import ALL, is_unscoped, time_range
+from sitewatt.operators.filters import ALL, time_range
 from sitewatt.operators.joins import checked_broadcast, fits_broadcast
 from sitewatt.operators.rollups import scoped_assets
 

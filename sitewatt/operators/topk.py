@@ -14,7 +14,7 @@ from sitewatt.operators.filters import ALL
 from sitewatt.operators.rollups import with_assets
 
 
-def _display(df: DataFrame, spec) -> list:
+def _display(spec) -> list:
     out = []
     for name, src, digits in spec:
         c = F.col(src)
@@ -29,7 +29,7 @@ def top_assets(latest: DataFrame, assets: DataFrame, order_col: str, k: int, spe
     """Top ``k`` assets by the unrounded ``order_col`` descending."""
     j = with_assets(latest, assets, room, rack, server)
     top = j.orderBy(F.col(order_col).desc(), F.col("asset_id")).limit(k)
-    return top.select(*_display(top, spec))
+    return top.select(*_display(spec))
 
 
 HOTTEST_SPEC = [("server", "asset_name", None), ("room", "room_name", None), ("rack", "rack_name", None),
@@ -66,4 +66,4 @@ def live_status(latest: DataFrame, assets: DataFrame, k: int = 25, room: str = A
     rank = (F.when(F.col("status_level") == "critical", 1)
              .when(F.col("status_level") == "warning", 2).otherwise(3))
     top = j.orderBy(rank, F.col("cpu_usage").desc(), F.col("asset_id")).limit(k)
-    return top.select(*_display(top, STATUS_SPEC))
+    return top.select(*_display(STATUS_SPEC))

@@ -9,7 +9,6 @@ from conftest import SF_SMALL
 
 from sitewatt.operators.latest import latest_per_key
 from sitewatt.plans.catalog import Ctx
-from sitewatt.schemas import KPI_COLUMNS
 from sitewatt.streaming import live as L
 
 

@@ -66,10 +66,13 @@ def source_ip(sources: DataFrame, dc_name: str) -> DataFrame:
             .select(F.col("ip_address").alias("text")))
 
 
-def model_options(models: DataFrame) -> DataFrame:
-    """Model names, best first, then preferred family, then name."""
-    return (models.orderBy(F.col("best_model").desc(), F.col("preferred_family").desc(), "model_name")
-            .select(F.col("model_name").alias("text")))
+def model_options(models: DataFrame, alphabetical: bool = False) -> DataFrame:
+    """Model names, best first, then preferred family, then name; with
+    ``alphabetical=True`` plain name order (what a selector that re-sorts its
+    options displays)."""
+    order = ["model_name"] if alphabetical else [F.col("best_model").desc(), F.col("preferred_family").desc(),
+                                                  "model_name"]
+    return models.orderBy(*order).select(F.col("model_name").alias("text"))
 
 
 # ---------------------------------------------------------------------------

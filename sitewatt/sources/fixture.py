@@ -25,6 +25,10 @@ from sitewatt.operators.sinks import first_wins
 PHASES = ["baseline", "running", "scheduler", "gpu_training", "fpga_inference", "optimised"]
 # ---------------------------------------------------------------------------
 
+# Bump when the derivation or the stored layout changes: stored copies are keyed
+# on it and on the input files, so an older copy is never reused.
+MODEL_VERSION = 3
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -207,7 +211,7 @@ def materialize_model(spark: SparkSession, sf_dir: str, base: str) -> dict[str,
     This is the stored layout the operators are designed for; it also cuts the
     derivation's lineage, so later jobs neither re-run nor re-plan it."""
     fx = Fixture(spark, sf_dir)
-    key = _input_signature(spark, sf_dir, ["events", "customer", "nation", "region"])
+    key = f"v{MODEL_VERSION}-" + _input_signature(spark, sf_dir, ["events", "customer", "nation", "region"])
     root = f"{base.rstrip('/')}/sitewatt-model/{key}"
     tm_path, as_path = f"{root}/telemetry_metrics", f"{root}/assets"
     if not _exists(spark, f"{tm_path}/_SUCCESS"):

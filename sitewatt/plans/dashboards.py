@@ -35,11 +35,13 @@ class Refresh:
     latest state is released afterwards."""
 
     def __init__(self, telemetry: DataFrame, assets: DataFrame, as_of=None, kpi: DataFrame | None = None,
-                 persist: bool = True):
+                 persist: bool = True, latest: DataFrame | None = None):
+        """``latest`` may be a latest-state table kept by the streaming job
+        (``LatestStateTable.current``); otherwise it is derived here."""
         self.tm = telemetry
         self.assets = assets
         self.as_of = as_of
-        self.latest = latest_per_key(telemetry)
+        self.latest = latest if latest is not None else latest_per_key(telemetry)
         if persist:
             self.latest = self.latest.persist(StorageLevel.MEMORY_AND_DISK)
         self._persisted = persist

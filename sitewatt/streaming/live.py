@@ -63,7 +63,8 @@ def trend_stream(stream: DataFrame, series, width: str = "5 minutes", delay: str
                  watermarked: bool = False) -> DataFrame:
     """STR-3: windowed trend, one row per closed bucket in append mode.
     ``series`` = [(output column, column, "sum"|"avg"|"max"|"min", digits)]."""
-    fns = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
+    fns = {"sum": F.sum, "max": F.max, "min": F.min,
+           "avg": lambda c: F.try_divide(F.sum(c), F.count(c).cast("decimal(20,0)"))}  # exact, as in batch
     s = stream if watermarked else event_time(stream).withWatermark("ts", delay)
     return (s.groupBy(F.window("ts", width).alias("w"))
             .agg(*[F.round(fns[fn](c), d).cast("double").alias(n) for n, c, fn, d in series])

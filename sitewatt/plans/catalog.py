@@ -29,9 +29,10 @@ _LOCK = threading.RLock()
 
 
 class Ctx:
-    """Views shared by the operators of a query. The lazy fixture DataFrames are
-    built once per session and directory (DataFrames are immutable plans; a
-    dashboard refresh reuses them instead of re-resolving them)."""
+    """Views shared by the operators of the registered queries, once per session
+    and directory: the derived telemetry and assets are written once under
+    ``spark.checkpoint.dir`` (date-partitioned, see ``materialize_model``) and
+    read back; other fixture tables stay lazy projections of the driver tables."""
 
     LATEST_METHOD = "semi"
 
@@ -579,3 +580,16 @@ def q_cpu_trend_server(spark, sf_dir):
 def q_hottest_rack(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return K.hottest_assets(c.latest, c.assets, 15, room=SCOPE_ROOM, rack=SCOPE_RACK)
+
+
+@query("latest_kpi_bands")
+def q_latest_kpi_bands(spark, sf_dir):
+    """Newest KPI values with the colour of each metric's own step list."""
+    from sitewatt.functions.bands import band_by_metric
+    newest = _latest_kpi(Ctx(spark, sf_dir))
+    long = KPI.kpi_long(newest, [(c, c) for c in BAND_KPIS], prefix="")
+    return long.select("metric_name", F.round("metric_value", 3).alias("value")).select(
+        "metric_name", "value", band_by_metric("metric_name", "value", {c: c for c in BAND_KPIS}).alias("colour"))
+
+
+BAND_KPIS = ["pue", "ref", "erf", "cef", "co2_savings_kg", "ppw", "cue"]

@@ -593,3 +593,34 @@ def q_latest_kpi_bands(spark, sf_dir):
 
 
 BAND_KPIS = ["pue", "ref", "erf", "cef", "co2_savings_kg", "ppw", "cue"]
+
+
+# ---------------------------------------------------------------------------
+# Trends served from the stored bucket rollup (derived once from the facts).
+def _rollup(c: Ctx) -> DataFrame:
+    def build():
+        from sitewatt.sources.fixture import materialize_derived
+        return materialize_derived(c.tm.sparkSession, c.fx.sf_dir, checkpoint_dir(c.tm.sparkSession),
+                                   "bucket_rollup_5m", lambda: TS.bucket_partials(c.tm, "5 minutes"))
+    return c._once("rollup", build)
+
+
+@query("power_trend_from_rollup")
+def q_power_trend_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.series_from_partials(_rollup(c), c.assets, [("Power Draw", "power_w", "sum", 1)])
+
+
+@query("thermal_envelope_from_rollup_room_scope")
+def q_thermal_rollup_room(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.series_from_partials(_rollup(c), c.assets, [("Inlet Temp", "inlet_temp_c", "avg", 1),
+                                                          ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+                                   room=SCOPE_ROOM)
+
+
+@query("peak_outlet_trend_from_rollup")
+def q_peak_outlet_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return TS.series_from_partials(_rollup(c), c.assets, [("Peak Outlet", "outlet_temp_c", "max", 1),
+                                                          ("Lowest Inlet", "inlet_temp_c", "min", 1)])

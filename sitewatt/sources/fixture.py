@@ -224,3 +224,13 @@ def materialize_model(spark: SparkSession, sf_dir: str, base: str) -> dict[str,
     if not _exists(spark, f"{as_path}/_SUCCESS"):
         fx.assets.write.mode("overwrite").parquet(as_path)
     return {"telemetry_metrics": spark.read.parquet(tm_path), "assets": spark.read.parquet(as_path)}
+
+
+def materialize_derived(spark: SparkSession, sf_dir: str, base: str, name: str, build) -> DataFrame:
+    """Write a table Spark derives from the stored model once (keyed like the
+    model) and read it back; ``build`` returns the DataFrame to store."""
+    key = f"v{MODEL_VERSION}-" + _input_signature(spark, sf_dir, ["events", "customer", "nation", "region"])
+    path = f"{base.rstrip('/')}/sitewatt-model/{key}/{name}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

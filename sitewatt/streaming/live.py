@@ -168,7 +168,9 @@ def start_live_loop(raw_stream: DataFrame, assets: DataFrame, out_dir: str, dela
     * ``latest``: the latest-state table maintained by ``foreachBatch``
       (``<out_dir>/latest_state``), for rollups, alerts and site stats;
     * ``kpi``: KPI snapshots per timestamp once the watermark passes it
-      (``<out_dir>/sustainability_kpi_snapshots``).
+      (``<out_dir>/sustainability_kpi_snapshots``);
+    * ``rollup``: 5-minute per-asset partial aggregates for trend panels
+      (``<out_dir>/bucket_rollup_5m``, date-partitioned).
 
     Returns the started queries and the output paths.
     """
@@ -183,5 +185,19 @@ def start_live_loop(raw_stream: DataFrame, assets: DataFrame, out_dir: str, dela
     latest = table.start(facts, name=f"{name}_latest", trigger=trig)
     kpi = start_stream(kpi_stream(facts, delay, watermarked=True), f"{name}_kpi", sink="parquet", trigger=trig,
                        path=kpi_path)
-    return {"ingest": ingest, "latest": latest, "kpi": kpi, "facts_path": facts_path, "kpi_path": kpi_path,
-            "latest_table": table}
+    rollup_path = f"{out_dir.rstrip('/')}/bucket_rollup_5m"
+    rollup = start_stream(rollup_stream(facts, "5 minutes", delay, watermarked=True)
+                          .withColumn("dt", F.to_date("time")), f"{name}_rollup", sink="parquet", trigger=trig,
+                          path=rollup_path, partition_by=["dt"])
+    return {"ingest": ingest, "latest": latest, "kpi": kpi, "rollup": rollup, "facts_path": facts_path,
+            "kpi_path": kpi_path, "rollup_path": rollup_path, "latest_table": table}
+
+
+def rollup_stream(stream: DataFrame, width: str = "5 minutes", delay: str = "1 hour",
+                  watermarked: bool = False, measures=None) -> DataFrame:
+    """Bucket rollup maintained live: per (bucket, asset) partials, emitted in
+    append mode once the watermark closes the bucket; write it to a
+    date-partitioned table and serve trends with ``series_from_partials``."""
+    from sitewatt.operators.timeseries import bucket_partials
+    s = stream if watermarked else event_time(stream).withWatermark("ts", delay)
+    return bucket_partials(s, width, measures)

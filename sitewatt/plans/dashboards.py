@@ -35,9 +35,12 @@ class Refresh:
     latest state is released afterwards."""
 
     def __init__(self, telemetry: DataFrame, assets: DataFrame, as_of=None, kpi: DataFrame | None = None,
-                 persist: bool = True, latest: DataFrame | None = None):
+                 persist: bool = True, latest: DataFrame | None = None, rollup: DataFrame | None = None):
         """``latest`` may be a latest-state table kept by the streaming job
-        (``LatestStateTable.current``); otherwise it is derived here."""
+        (``LatestStateTable.current``); otherwise it is derived here. With a
+        5-minute ``rollup`` (``bucket_partials``) the trend panels combine its
+        partials instead of scanning raw samples."""
+        self.rollup = rollup
         self.tm = telemetry
         self.assets = assets
         self.as_of = as_of
@@ -54,6 +57,13 @@ class Refresh:
             self._kpi = KPI.kpi_snapshots(self.tm)
         return self._kpi
 
+    def trend(self, series, start=None, end=None, room=ALL, rack=ALL, server=ALL) -> DataFrame:
+        """A 5-minute trend panel, from the rollup when there is one."""
+        if self.rollup is not None:
+            return TS.series_from_partials(self.rollup, self.assets, series, start, end, room, rack, server)
+        return TS.bucket_series(self.tm, self.assets, series, start=start, end=end, room=room, rack=rack,
+                                server=server)
+
     def close(self):
         if self._persisted:
             self.latest.unpersist()
@@ -76,10 +86,10 @@ def overview(r: Refresh, room=ALL, rack=ALL, server=ALL, start=None, end=None) -
         "active_alerts": A.alert_count(r.alerts, as_of=now, **s),
         "current_co2": R.scoped_stat(lat, a, "carbon_kg", "sum", 3, as_of=now, **s),
         "assets_in_scope": R.assets_in_scope(a, as_of=now, **s),
-        "power_trend": TS.bucket_series(r.tm, a, [("Power Draw", "power_w", "sum", 1)], **trend),
-        "cpu_utilisation_trend": TS.bucket_series(r.tm, a, [("Average CPU", "cpu_usage", "avg", 1)], **trend),
-        "thermal_envelope": TS.bucket_series(r.tm, a, [("Inlet Temp", "inlet_temp_c", "avg", 1),
-                                                       ("Outlet Temp", "outlet_temp_c", "avg", 1)], **trend),
+        "power_trend": r.trend([("Power Draw", "power_w", "sum", 1)], **trend),
+        "cpu_utilisation_trend": r.trend([("Average CPU", "cpu_usage", "avg", 1)], **trend),
+        "thermal_envelope": r.trend([("Inlet Temp", "inlet_temp_c", "avg", 1), ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+                                    **trend),
         "rack_power_contribution": R.rack_power(lat, a, room, rack),
         "active_alert_feed": A.alert_feed(r.alerts, limit=25, **s),
         "live_asset_status": K.live_status(lat, a, 25, **s),
@@ -99,9 +109,9 @@ def analytics(r: Refresh, room=ALL, rack=ALL, server=ALL, start=None, end=None,
         "forecast": TS.forecast(r.tm, a, now, horizon, **s),
         "peak_outlet_temp": R.scoped_stat(lat, a, "outlet_temp_c", "max", 1, as_of=now, **s),
         "alert_pressure": A.alert_pressure(r.alerts, as_of=now, **s),
-        "power_and_forecast_context": TS.bucket_series(r.tm, a, [("Observed Power", "power_w", "sum", 1)], **trend),
-        "cpu_and_thermal_drift": TS.bucket_series(r.tm, a, [("CPU %", "cpu_usage", "avg", 1),
-                                                            ("Outlet Temp", "outlet_temp_c", "avg", 1)], **trend),
+        "power_and_forecast_context": r.trend([("Observed Power", "power_w", "sum", 1)], **trend),
+        "cpu_and_thermal_drift": r.trend([("CPU %", "cpu_usage", "avg", 1), ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+                                         **trend),
         "rack_stress_score": R.rack_stress(lat, a, room, rack),
         "hottest_servers": K.hottest_assets(lat, a, 15, **s),
         "top_power_servers": K.top_power_assets(lat, a, 20, **s),
@@ -119,10 +129,10 @@ def carbon(r: Refresh, room=ALL, rack=ALL, server=ALL, start=None, end=None) ->
         "emission_factor": R.scoped_stat(lat, a, "emission_factor_kg_per_kwh", "avg", 3, as_of=now, **s),
         "current_power": R.scoped_stat(lat, a, "power_w", "sum", 1, as_of=now, **s),
         "high_carbon_assets": R.high_carbon_count(lat, a, 0.018, as_of=now, **s),
-        "estimated_carbon_trend": TS.bucket_series(r.tm, a, [("CO2 Estimate", "carbon_kg", "sum", 3)], **trend),
-        "grid_mix_and_thermal_context": TS.bucket_series(
-            r.tm, a, [("Emission Factor", "emission_factor_kg_per_kwh", "avg", 3),
-                      ("Outlet Temp", "outlet_temp_c", "avg", 1)], **trend),
+        "estimated_carbon_trend": r.trend([("CO2 Estimate", "carbon_kg", "sum", 3)], **trend),
+        "grid_mix_and_thermal_context": r.trend(
+            [("Emission Factor", "emission_factor_kg_per_kwh", "avg", 3), ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+            **trend),
         "rack_carbon_contribution": R.rack_carbon(lat, a, room, rack),
         "top_emitting_assets": K.top_carbon_assets(lat, a, 20, **s),
         "carbon_alert_watch": A.alert_feed(r.alerts, rules=CARBON_WATCH_RULES, limit=20,

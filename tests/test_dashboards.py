@@ -38,3 +38,16 @@ def test_sustainability_and_connect(spark):
         assert _rows(cn["last_sync"]) == _rows(QUERIES["last_sync_epoch"](spark, SF_SMALL))
         ai = DB.ai_optimisation(r)
         assert _rows(ai["actual_vs_predicted_power"]) == _rows(QUERIES["actual_vs_predicted"](spark, SF_SMALL))
+
+
+def test_refresh_from_rollup_equals_raw(spark):
+    from sitewatt.operators.timeseries import bucket_partials
+    c = Ctx(spark, SF_SMALL)
+    rollup = bucket_partials(c.tm)
+    with DB.Refresh(c.tm, c.assets, as_of=c.as_of) as raw, DB.Refresh(c.tm, c.assets, as_of=c.as_of,
+                                                                       rollup=rollup) as rolled:
+        for page in (DB.overview, DB.carbon):
+            a, b = page(raw, room="EUROPE"), page(rolled, room="EUROPE")
+            for name in a:
+                if "trend" in name or "envelope" in name or "context" in name:
+                    assert _rows(a[name]) == _rows(b[name]), name

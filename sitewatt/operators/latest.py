@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 from sitewatt.operators.sinks import last_wins
 
 
+# Inputs with at least this many files use the pruning plan ("semi"); smaller
+# ones take the single pass ("max_by"), whose fewer jobs win on small data.
+AUTO_SEMI_MIN_FILES = 256
+
+
+def choose_method(df: DataFrame) -> str:
+    """Size-based plan choice from the file listing Spark already holds for the
+    scan (no job): large file-backed facts -> ``semi``, small ones -> ``max_by``."""
+    try:
+        n = len(df.inputFiles())
+    except Exception:  # pragma: no cover - sources without a file listing
+        n = 0
+    return "semi" if n >= AUTO_SEMI_MIN_FILES else "max_by"
+
+
 def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
-                   method: str = "semi", partition_col: str | None = None) -> DataFrame:
+                   method: str = "auto", partition_col: str | None = None) -> DataFrame:
     """Newest row per key (``DISTINCT ON (key) ... ORDER BY key, ts DESC``).
 
     ``max_by``: one pass, partial aggregation per map task, so only one row per
@@ -19,6 +34,8 @@ def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
     sorts it. Both need ``(key, ts)`` to be unique, as the fact's key guarantees.
     """
     keys = list(keys)
+    if method == "auto":
+        method = choose_method(df)
     if method == "max_by":
         return last_wins(df, keys, order)
     if method == "semi":

@@ -171,3 +171,16 @@ def test_critical_status_implies_critical_alert(spark):
     crit = {r["asset_id"] for r in c.latest.where(F.col("status_level") == "critical").collect()}
     alerted = {r["asset_id"] for r in c.alerts.where(F.col("severity") == "critical").collect()}
     assert crit and crit <= alerted
+
+
+def test_auto_method_by_input_size(spark, scratch):
+    from sitewatt.operators.latest import AUTO_SEMI_MIN_FILES, choose_method
+    rows = [tm_row(T0, i % 40, cpu=str(i % 90)) for i in range(400)] + [tm_row(T1, i, cpu="1") for i in range(40)]
+    tm, _ = frames(spark, rows, [])
+    assert choose_method(tm) == "max_by"  # not file-backed
+    tm.repartition(AUTO_SEMI_MIN_FILES + 4).write.parquet(scratch + "/many")
+    many = spark.read.parquet(scratch + "/many")
+    assert choose_method(many) == "semi"
+    a = sorted(tuple(r) for r in latest_per_key(many).collect())
+    b = sorted(tuple(r) for r in latest_per_key(many, method="max_by").collect())
+    assert a == b and len(a) == 40 and all(r[0] == T1 for r in a)

@@ -178,7 +178,8 @@ def test_auto_method_by_input_size(spark, scratch):
     rows = [tm_row(T0, i % 40, cpu=str(i % 90)) for i in range(400)] + [tm_row(T1, i, cpu="1") for i in range(40)]
     tm, _ = frames(spark, rows, [])
     assert choose_method(tm) == "max_by"  # not file-backed
-    tm.repartition(AUTO_SEMI_MIN_FILES + 4).write.parquet(scratch + "/many")
+    tm.write.option("maxRecordsPerFile", 1).parquet(scratch + "/many")  # one file per row
+    assert len(spark.read.parquet(scratch + "/many").inputFiles()) >= AUTO_SEMI_MIN_FILES
     many = spark.read.parquet(scratch + "/many")
     assert choose_method(many) == "semi"
     a = sorted(tuple(r) for r in latest_per_key(many).collect())

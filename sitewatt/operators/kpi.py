@@ -49,6 +49,18 @@ EXPORT_METRICS = [
 # Metric names are exported behind a deployment-chosen prefix.
 EXPORT_PREFIX = "dc_"
 ADVANCED_KPIS = [("HUE", "hue"), ("SHE", "she"), ("APCren", "apcren"), ("DCA", "dca")]
+# Clamp ranges of the bounded KPIs (lower, upper).
+KPI_CLAMPS = {
+    "pue": (1.12, 1.68),
+    "ref": (0.18, 0.88),
+    "erf": (0.04, 0.36),
+    "hue": (0.45, 1.05),
+    "she": (0.35, 1.0),
+    "apcren": (0.30, 1.0),
+    "dca": (0.30, 1.0),
+}
+# The numeric coefficients written inside ``kpi_formulas`` (phase shifts,
+# weights, thresholds such as 31 C and 0.30 kg/kWh) are fixed values as well.
 # ---------------------------------------------------------------------------
 
 
@@ -73,11 +85,11 @@ def kpi_formulas(inputs: DataFrame, profile=None, ts: str = "ts") -> DataFrame:
     outlet, inlet, ef = F.col("avg_outlet"), F.col("avg_inlet"), F.col("avg_ef")
     it_power = F.col("it_power_w").cast("double")
     pue = clamp(c("facility_overhead_base") + c("facility_overhead_wave") * F.sin(phi - F.lit(0.7))
-                + F.lit(0.012) * F.greatest(outlet - F.lit(31.0), F.lit(0.0)) + F.lit(0.045) * w, 1.12, 1.68)
+                + F.lit(0.012) * F.greatest(outlet - F.lit(31.0), F.lit(0.0)) + F.lit(0.045) * w, *KPI_CLAMPS["pue"])
     ref = clamp(c("renewable_fraction_base") + c("renewable_fraction_wave") * F.sin(phi - F.lit(1.1))
-                - F.lit(0.24) * F.greatest(ef - F.lit(0.30), F.lit(0.0)), 0.18, 0.88)
+                - F.lit(0.24) * F.greatest(ef - F.lit(0.30), F.lit(0.0)), *KPI_CLAMPS["ref"])
     erf = clamp(c("reused_energy_fraction_base") + c("reused_energy_fraction_wave") * F.cos(phi + F.lit(0.35))
-                + F.lit(0.012) * F.greatest(outlet - inlet - F.lit(6.0), F.lit(0.0)), 0.04, 0.36)
+                + F.lit(0.012) * F.greatest(outlet - inlet - F.lit(6.0), F.lit(0.0)), *KPI_CLAMPS["erf"])
     df = df.select("*", pue.alias("pue"), ref.alias("ref"), erf.alias("erf"))
     pue, ref, erf = F.col("pue"), F.col("ref"), F.col("erf")
     facility = it_power * pue
@@ -96,13 +108,14 @@ def kpi_formulas(inputs: DataFrame, profile=None, ts: str = "ts") -> DataFrame:
         "cue": co2 / F.greatest((it_power / F.lit(1000.0)) * c("cue_it_energy_share"), F.lit(0.001)),
         "cef": co2 / F.greatest(energy, F.lit(0.001)),
         "hue": clamp(c("hue_base") + F.lit(0.52) * erf + F.lit(0.04) * F.sin(phi + F.lit(0.9))
-                     - F.lit(0.03) * w, 0.45, 1.05),
+                     - F.lit(0.03) * w, *KPI_CLAMPS["hue"]),
         "she": clamp(c("she_base") + F.lit(0.38) * ref + F.lit(0.24) * erf + F.lit(0.03) * F.cos(phi - F.lit(0.4)),
-                     0.35, 1.0),
+                     *KPI_CLAMPS["she"]),
         "apcren": clamp(c("apcren_base") + F.lit(0.44) * ref - F.lit(0.08) * w
-                        + F.lit(0.03) * F.sin(phi * F.lit(2.0)), 0.30, 1.0),
+                        + F.lit(0.03) * F.sin(phi * F.lit(2.0)), *KPI_CLAMPS["apcren"]),
         "dca": clamp(c("dca_base") + F.lit(0.24) * ref + F.lit(0.10) * erf
-                     + F.lit(0.16) * clamp((F.lit(1.55) - pue) / F.lit(0.45), 0.0, 1.0) - F.lit(0.08) * w, 0.30, 1.0),
+                     + F.lit(0.16) * clamp((F.lit(1.55) - pue) / F.lit(0.45), 0.0, 1.0) - F.lit(0.08) * w,
+                     *KPI_CLAMPS["dca"]),
         "it_energy_kwh": F.col("it_power_w") * dec("0.001", 4, 3),
     }
     return df.select("*", *[v.alias(k) for k, v in out.items()])

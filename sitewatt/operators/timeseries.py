@@ -21,6 +21,31 @@ from sitewatt.operators.joins import checked_broadcast, fits_broadcast
 from sitewatt.operators.rollups import scoped_assets
 
 
+# ---------------------------------------------------------------------------
+# Series of the trend panels, (metric label, column, aggregate,
+# digits), in panel order.
+SERIES = {
+    "power_draw": ("Power Draw", "power_w", "sum", 1),
+    "average_cpu": ("Average CPU", "cpu_usage", "avg", 1),
+    "inlet_temp": ("Inlet Temp", "inlet_temp_c", "avg", 1),
+    "outlet_temp": ("Outlet Temp", "outlet_temp_c", "avg", 1),
+    "observed_power": ("Observed Power", "power_w", "sum", 1),
+    "cpu_percent": ("CPU %", "cpu_usage", "avg", 1),
+    "co2_estimate": ("CO2 Estimate", "carbon_kg", "sum", 3),
+    "emission_factor": ("Emission Factor", "emission_factor_kg_per_kwh", "avg", 3),
+    "pue": ("PUE", "pue", "avg", 3),
+    "co2_emissions": ("CO2 Emissions", "total_co2_kg", "avg", 3),
+    "ref": ("REF", "ref", "avg", 3),
+    "co2_savings": ("CO2 Savings", "co2_savings_kg", "avg", 3),
+}
+# ---------------------------------------------------------------------------
+
+
+def series(*names: str) -> list[tuple[str, str, str, int]]:
+    """Series specs by name, e.g. ``series("inlet_temp", "outlet_temp")``."""
+    return [SERIES[n] for n in names]
+
+
 def bucket_start(ts, width: str = "5 minutes") -> Column:
     """Epoch-aligned tumbling bucket start (same type as ``ts``)."""
     c = F.col(ts) if isinstance(ts, str) else ts

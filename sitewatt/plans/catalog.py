@@ -268,18 +268,15 @@ def _series(series, scoped=True, **scope_args):
     return run
 
 
-QUERIES["power_trend"] = _series([("Power Draw", "power_w", "sum", 1)])
-QUERIES["power_trend_room_scope"] = _series([("Power Draw", "power_w", "sum", 1)], room=SCOPE_ROOM)
-QUERIES["observed_power_trend"] = _series([("Observed Power", "power_w", "sum", 1)])
-QUERIES["cpu_trend"] = _series([("Average CPU", "cpu_usage", "avg", 1)])
-QUERIES["carbon_trend"] = _series([("CO2 Estimate", "carbon_kg", "sum", 3)])
-QUERIES["thermal_envelope"] = _series([("Inlet Temp", "inlet_temp_c", "avg", 1),
-                                       ("Outlet Temp", "outlet_temp_c", "avg", 1)])
-QUERIES["cpu_thermal_drift"] = _series([("CPU %", "cpu_usage", "avg", 1), ("Outlet Temp", "outlet_temp_c", "avg", 1)])
-QUERIES["grid_mix_thermal"] = _series([("Emission Factor", "emission_factor_kg_per_kwh", "avg", 3),
-                                       ("Outlet Temp", "outlet_temp_c", "avg", 1)])
-QUERIES["thermal_envelope_rack_scope"] = _series([("Inlet Temp", "inlet_temp_c", "avg", 1),
-                                                  ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+QUERIES["power_trend"] = _series(TS.series("power_draw"))
+QUERIES["power_trend_room_scope"] = _series(TS.series("power_draw"), room=SCOPE_ROOM)
+QUERIES["observed_power_trend"] = _series(TS.series("observed_power"))
+QUERIES["cpu_trend"] = _series(TS.series("average_cpu"))
+QUERIES["carbon_trend"] = _series(TS.series("co2_estimate"))
+QUERIES["thermal_envelope"] = _series(TS.series("inlet_temp", "outlet_temp"))
+QUERIES["cpu_thermal_drift"] = _series(TS.series("cpu_percent", "outlet_temp"))
+QUERIES["grid_mix_thermal"] = _series(TS.series("emission_factor", "outlet_temp"))
+QUERIES["thermal_envelope_rack_scope"] = _series(TS.series("inlet_temp", "outlet_temp"),
                                                  room=SCOPE_ROOM, rack=SCOPE_RACK)
 
 
@@ -346,17 +343,17 @@ for _col in ["pue", "ref", "erf", "cef", "co2_savings_kg", "ppw", "cue"]:
     QUERIES[f"latest_{_col}"] = (lambda col: lambda spark, sf_dir: KPI.latest_kpi(_kpi(Ctx(spark, sf_dir)), col))(_col)
 
 
-def _kpi_series(label, column, digits):
+def _kpi_series(name):
     def run(spark, sf_dir):
         return TS.bucket_series(_kpi(Ctx(spark, sf_dir)).withColumn("asset_id", F.lit(None)), None,
-                                [(label, column, "avg", digits)])
+                                TS.series(name))
     return run
 
 
-QUERIES["pue_trend"] = _kpi_series("PUE", "pue", 3)
-QUERIES["co2_trend"] = _kpi_series("CO2 Emissions", "total_co2_kg", 3)
-QUERIES["ref_trend"] = _kpi_series("REF", "ref", 3)
-QUERIES["co2_savings_trend"] = _kpi_series("CO2 Savings", "co2_savings_kg", 3)
+QUERIES["pue_trend"] = _kpi_series("pue")
+QUERIES["co2_trend"] = _kpi_series("co2_emissions")
+QUERIES["ref_trend"] = _kpi_series("ref")
+QUERIES["co2_savings_trend"] = _kpi_series("co2_savings")
 
 
 @query("baseline_vs_current_co2")
@@ -572,7 +569,7 @@ def q_forecast_site(spark, sf_dir):
 @query("cpu_trend_server_scope")
 def q_cpu_trend_server(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return TS.bucket_series(c.tm, c.assets, [("Average CPU", "cpu_usage", "avg", 1)],
+    return TS.bucket_series(c.tm, c.assets, TS.series("average_cpu"),
                             room=SCOPE_ROOM, rack=SCOPE_SERVER_RACK, server=SCOPE_SERVER)
 
 
@@ -608,14 +605,13 @@ def _rollup(c: Ctx) -> DataFrame:
 @query("power_trend_from_rollup")
 def q_power_trend_rollup(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return TS.series_from_partials(_rollup(c), c.assets, [("Power Draw", "power_w", "sum", 1)])
+    return TS.series_from_partials(_rollup(c), c.assets, TS.series("power_draw"))
 
 
 @query("thermal_envelope_from_rollup_room_scope")
 def q_thermal_rollup_room(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return TS.series_from_partials(_rollup(c), c.assets, [("Inlet Temp", "inlet_temp_c", "avg", 1),
-                                                          ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+    return TS.series_from_partials(_rollup(c), c.assets, TS.series("inlet_temp", "outlet_temp"),
                                    room=SCOPE_ROOM)
 
 

@@ -86,9 +86,9 @@ def overview(r: Refresh, room=ALL, rack=ALL, server=ALL, start=None, end=None) -
         "active_alerts": A.alert_count(r.alerts, as_of=now, **s),
         "current_co2": R.scoped_stat(lat, a, "carbon_kg", "sum", 3, as_of=now, **s),
         "assets_in_scope": R.assets_in_scope(a, as_of=now, **s),
-        "power_trend": r.trend([("Power Draw", "power_w", "sum", 1)], **trend),
-        "cpu_utilisation_trend": r.trend([("Average CPU", "cpu_usage", "avg", 1)], **trend),
-        "thermal_envelope": r.trend([("Inlet Temp", "inlet_temp_c", "avg", 1), ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+        "power_trend": r.trend(TS.series("power_draw"), **trend),
+        "cpu_utilisation_trend": r.trend(TS.series("average_cpu"), **trend),
+        "thermal_envelope": r.trend(TS.series("inlet_temp", "outlet_temp"),
                                     **trend),
         "rack_power_contribution": R.rack_power(lat, a, room, rack),
         "active_alert_feed": A.alert_feed(r.alerts, limit=25, **s),
@@ -109,8 +109,8 @@ def analytics(r: Refresh, room=ALL, rack=ALL, server=ALL, start=None, end=None,
         "forecast": TS.forecast(r.tm, a, now, horizon, **s),
         "peak_outlet_temp": R.scoped_stat(lat, a, "outlet_temp_c", "max", 1, as_of=now, **s),
         "alert_pressure": A.alert_pressure(r.alerts, as_of=now, **s),
-        "power_and_forecast_context": r.trend([("Observed Power", "power_w", "sum", 1)], **trend),
-        "cpu_and_thermal_drift": r.trend([("CPU %", "cpu_usage", "avg", 1), ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+        "power_and_forecast_context": r.trend(TS.series("observed_power"), **trend),
+        "cpu_and_thermal_drift": r.trend(TS.series("cpu_percent", "outlet_temp"),
                                          **trend),
         "rack_stress_score": R.rack_stress(lat, a, room, rack),
         "hottest_servers": K.hottest_assets(lat, a, 15, **s),
@@ -129,9 +129,9 @@ def carbon(r: Refresh, room=ALL, rack=ALL, server=ALL, start=None, end=None) ->
         "emission_factor": R.scoped_stat(lat, a, "emission_factor_kg_per_kwh", "avg", 3, as_of=now, **s),
         "current_power": R.scoped_stat(lat, a, "power_w", "sum", 1, as_of=now, **s),
         "high_carbon_assets": R.high_carbon_count(lat, a, 0.018, as_of=now, **s),
-        "estimated_carbon_trend": r.trend([("CO2 Estimate", "carbon_kg", "sum", 3)], **trend),
+        "estimated_carbon_trend": r.trend(TS.series("co2_estimate"), **trend),
         "grid_mix_and_thermal_context": r.trend(
-            [("Emission Factor", "emission_factor_kg_per_kwh", "avg", 3), ("Outlet Temp", "outlet_temp_c", "avg", 1)],
+            TS.series("emission_factor", "outlet_temp"),
             **trend),
         "rack_carbon_contribution": R.rack_carbon(lat, a, room, rack),
         "top_emitting_assets": K.top_carbon_assets(lat, a, 20, **s),
@@ -149,10 +149,10 @@ def sustainability(r: Refresh, start=None, end=None, meta: DataFrame | None = No
     nul = k.withColumn("asset_id", F.lit(None))
     panels = {f"latest_{c}": KPI.latest_kpi(k, c) for c in ["pue", "ref", "erf", "cef", "co2_savings_kg", "ppw", "cue"]}
     panels.update({
-        "pue_trend": TS.bucket_series(nul, None, [("PUE", "pue", "avg", 3)], **trend),
-        "co2_trend": TS.bucket_series(nul, None, [("CO2 Emissions", "total_co2_kg", "avg", 3)], **trend),
-        "ref_trend": TS.bucket_series(nul, None, [("REF", "ref", "avg", 3)], **trend),
-        "co2_savings_trend": TS.bucket_series(nul, None, [("CO2 Savings", "co2_savings_kg", "avg", 3)], **trend),
+        "pue_trend": TS.bucket_series(nul, None, TS.series("pue"), **trend),
+        "co2_trend": TS.bucket_series(nul, None, TS.series("co2_emissions"), **trend),
+        "ref_trend": TS.bucket_series(nul, None, TS.series("ref"), **trend),
+        "co2_savings_trend": TS.bucket_series(nul, None, TS.series("co2_savings"), **trend),
         "baseline_vs_current_co2": KPI.baseline_vs_current(newest),
         "advanced_kpi_section": KPI.advanced_kpis(newest),
         "metric_export": KPI.kpi_long(newest).select(

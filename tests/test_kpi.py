@@ -8,8 +8,7 @@ from sitewatt.operators import kpi as KPI
 from sitewatt.plans.catalog import Ctx
 from sitewatt.schemas import KPI_CONFIG
 
-CLAMPS = {"pue": (1.12, 1.68), "ref": (0.18, 0.88), "erf": (0.04, 0.36), "hue": (0.45, 1.05),
-          "she": (0.35, 1.0), "apcren": (0.30, 1.0), "dca": (0.30, 1.0)}
+CLAMPS = KPI.KPI_CLAMPS
 
 
 def test_kpi_clamps(spark):

@@ -185,3 +185,22 @@ def test_auto_method_by_input_size(spark, scratch):
     a = sorted(tuple(r) for r in latest_per_key(many).collect())
     b = sorted(tuple(r) for r in latest_per_key(many, method="max_by").collect())
     assert a == b and len(a) == 40 and all(r[0] == T1 for r in a)
+
+
+def test_unknown_model_uses_default_coefficients(spark):
+    from decimal import Decimal
+    from sitewatt.operators.models import predict_power
+    tm, _ = frames(spark, [tm_row(T1, 1, cpu="50", power="400", inlet="22", outlet="30")], [])
+    got = {m: predict_power(tm, m).first()["predicted_power_w"] for m in ["No Such Model", "XGBoost", "LSTM"]}
+    default = Decimal("400") * Decimal("0.998") + Decimal("50") * Decimal("0.84") + Decimal("8") * Decimal("1.35") \
+        + (Decimal("22") - Decimal("1.6")) * Decimal("0.48")
+    assert got["No Such Model"] == got["XGBoost"] == default
+    assert got["LSTM"] != default
+
+
+def test_single_asset_single_row(spark):
+    tm, assets = frames(spark, [tm_row(T1, 1, cpu="91.25")], [asset_row(1, "only")])
+    lat = latest_per_key(tm)
+    assert R.rack_rollup(lat, assets).first()["avg_cpu_usage"] == 91.25
+    feed = A.alert_feed(A.active_alerts(lat, assets)).collect()
+    assert [r["message"] for r in feed] == ["only CPU at 91.3%"]

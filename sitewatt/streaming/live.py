@@ -125,13 +125,27 @@ class LatestStateTable:
         vs = self._versions(spark)
         return spark.read.parquet(f"{self.path}/v{vs[-1]}") if vs else None
 
-    def merge(self, batch: DataFrame, epoch_id: int) -> None:
+    def merge(self, batch: DataFrame, epoch_id: int, keys=("asset_id",), ts: str = "ts") -> None:
+        """Last-wins merge of one micro-batch into the stored state.
+
+        The batch's own latest rows are small, so they (and the stored rows of
+        the same keys) go through checked broadcasts: the stored state is
+        scanned once and kept unless the batch has a newer row for its key; it
+        is never shuffled. An unexpectedly large batch falls back to shuffle joins.
+        """
         spark = batch.sparkSession
-        fresh = latest_per_key(batch, ["asset_id"], "ts", method="max_by")
+        keys = list(keys)
+        fresh = latest_per_key(batch, keys, ts, method="max_by")
         prev = [v for v in self._versions(spark) if v < epoch_id]
         if prev:
             old = spark.read.parquet(f"{self.path}/v{prev[-1]}")
-            fresh = last_wins(old.unionByName(fresh), ["asset_id"], "ts")
+            fresh_ts = checked_broadcast(fresh.select(*keys, F.col(ts).alias("_new_ts")))
+            kept_old = (old.join(fresh_ts, keys, "left")
+                        .where(F.col("_new_ts").isNull() | (F.col(ts) > F.col("_new_ts"))).drop("_new_ts"))
+            old_ts = old.join(fresh_ts.select(*keys), keys, "left_semi").select(*keys, F.col(ts).alias("_old_ts"))
+            newer = (fresh.join(checked_broadcast(old_ts), keys, "left")
+                     .where(F.col("_old_ts").isNull() | (F.col(ts) >= F.col("_old_ts"))).drop("_old_ts"))
+            fresh = kept_old.unionByName(newer.select(*old.columns))
         fresh.write.mode("overwrite").parquet(f"{self.path}/v{epoch_id}")
 
     def start(self, stream: DataFrame, name: str = "latest_state", trigger: dict | None = None):

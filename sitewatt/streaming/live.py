@@ -215,3 +215,30 @@ def rollup_stream(stream: DataFrame, width: str = "5 minutes", delay: str = "1 h
     from sitewatt.operators.timeseries import bucket_partials
     s = stream if watermarked else event_time(stream).withWatermark("ts", delay)
     return bucket_partials(s, width, measures)
+
+
+def backfill(facts: DataFrame, out_dir: str, force: bool = False) -> dict:
+    """Batch backfill in the live loop's layout, only into an empty target
+    (the backfill guard): date-partitioned facts, KPI snapshots, the 5-minute
+    rollup and version 0 of the latest-state table. Returns what was written;
+    an existing non-empty fact table is left untouched unless ``force``."""
+    from sitewatt.operators.kpi import kpi_snapshots
+    from sitewatt.operators.timeseries import bucket_partials
+    spark = facts.sparkSession
+    root = out_dir.rstrip("/")
+    facts_path = f"{root}/telemetry_metrics"
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(f"{facts_path}/_SUCCESS")
+    exists = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+    if exists and not force and not spark.read.parquet(facts_path).isEmpty():
+        return {"written": False, "facts_path": facts_path}
+    (facts.withColumn("dt", F.to_date("ts")).repartitionByRange("ts").sortWithinPartitions("ts")
+     .write.mode("overwrite").partitionBy("dt").parquet(facts_path))
+    stored = spark.read.parquet(facts_path).drop("dt")
+    kpi_snapshots(stored).write.mode("overwrite").parquet(f"{root}/sustainability_kpi_snapshots")
+    (bucket_partials(stored, "5 minutes").withColumn("dt", F.to_date("time"))
+     .write.mode("overwrite").partitionBy("dt").parquet(f"{root}/bucket_rollup_5m"))
+    table = LatestStateTable(f"{root}/latest_state")
+    table.merge(stored, 0)
+    return {"written": True, "facts_path": facts_path, "kpi_path": f"{root}/sustainability_kpi_snapshots",
+            "rollup_path": f"{root}/bucket_rollup_5m", "latest_table": table}

@@ -134,3 +134,17 @@ def test_latest_state_merge_out_of_order(spark, scratch):
     assert got == {1: (t1, "10.00"), 2: (t2, "22.00"), 3: (t0, "30.00")}
     table.merge(b2, 2)  # a replayed epoch rewrites the same version: idempotent
     assert {r["asset_id"]: r["ts"] for r in table.current(spark).collect()} == {1: t1, 2: t2, 3: t0}
+
+
+def test_backfill_only_into_empty_target(spark, scratch):
+    from sitewatt.operators.kpi import kpi_snapshots
+    c = Ctx(spark, SF_SMALL)
+    out = os.path.join(scratch, "store")
+    first = L.backfill(c.tm, out)
+    assert first["written"]
+    facts = spark.read.parquet(first["facts_path"]).drop("dt")
+    assert facts.count() == c.tm.count()
+    assert spark.read.parquet(first["kpi_path"]).count() == kpi_snapshots(c.tm).count()
+    assert first["latest_table"].current(spark).count() == c.tm.select("asset_id").distinct().count()
+    again = L.backfill(c.tm.limit(3), out)   # target not empty: left untouched
+    assert not again["written"] and spark.read.parquet(first["facts_path"]).count() == c.tm.count()

@@ -31,7 +31,12 @@ def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
     key and input partition crosses the shuffle; safe under hot keys.
     ``semi``: ``max(ts)`` per key (hash aggregate over two columns), then a
     left-semi join of the fact on ``(key, ts)``; reads the fact twice but never
-    sorts it. Both need ``(key, ts)`` to be unique, as the fact's key guarantees.
+    sorts it; the oldest per-key maximum bounds the second read (a pushed Parquet
+    filter, and with ``partition_col``, the date of ``order``, a partition
+    filter), so full rows are read only from recent data. Both need
+    ``(key, ts)`` to be unique, as the fact's key guarantees, and return the
+    input's columns. ``auto`` (default) picks ``semi`` for file-backed inputs of
+    at least ``AUTO_SEMI_MIN_FILES`` files and ``max_by`` otherwise.
     """
     keys = list(keys)
     if method == "auto":

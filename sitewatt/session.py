@@ -80,14 +80,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set (shared storage). Only when it is unset, as in
     local tests, a scratch folder is created and registered.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        d = sc.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: executors and a restarted "
                                "driver must see checkpoints and derived tables")
         d = tempfile.mkdtemp(prefix="sitewatt-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():  # DataFrame.checkpoint() writes under the context's folder
+        sc.setCheckpointDir(d)
     return d

@@ -1,4 +1,4 @@
-"""Every registered query equals its independent DuckDB SQL (sf0.001)."""
+"""Every registered query equals its independent DuckDB SQL exactly (sf0.001)."""
 
 import pytest
 
@@ -21,7 +21,9 @@ def test_every_query_has_oracle():
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_oracle(spark, duck, name):
+def test_query_matches_oracle(spark, duck, name, monkeypatch):
+    from sitewatt.plans import verify
+    monkeypatch.setattr(verify, "STRICT", True)  # exact values, floats bit for bit
     r = compare(spark, duck, name, queries()[name], oracle_sql()[name], SF_SMALL)
     assert r["cols"], (r["spark_cols"], r["oracle_cols"])
     assert r["rows"], (r["n"], r["n_oracle"])

@@ -25,14 +25,20 @@ def main(argv=None):
     ap.add_argument("--rack", default="All")
     ap.add_argument("--server", default="All")
     ap.add_argument("--rows", type=int, default=10)
+    ap.add_argument("--start", default=None, help="time range start, e.g. '2024-01-30 00:00:00'")
+    ap.add_argument("--end", default=None, help="time range end (inclusive)")
+    ap.add_argument("--horizon", default="15 minutes", help="forecast window (analytics page)")
     a = ap.parse_args(argv)
     spark = get_session(a.master, 8)
     c = Ctx(spark, a.sf)
     with DB.Refresh(c.tm, c.assets, as_of=c.as_of) as r:
+        rng = dict(start=a.start, end=a.end)
         if a.page == "sustainability":
-            panels = DB.sustainability(r)
+            panels = DB.sustainability(r, **rng)
+        elif a.page == "analytics":
+            panels = DB.analytics(r, room=a.room, rack=a.rack, server=a.server, horizon=a.horizon, **rng)
         else:
-            panels = PAGES[a.page](r, room=a.room, rack=a.rack, server=a.server)
+            panels = PAGES[a.page](r, room=a.room, rack=a.rack, server=a.server, **rng)
         for name, df in panels.items():
             print(f"== {name}")
             df.show(a.rows, truncate=False)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sitewatt.llm import quality_rules
+from sitewatt.llm import quality_rules, secret_scan, substring_dedup, suffix_dedup
 
-QUERIES = {"op1_quality_rules": quality_rules.op1}
+QUERIES = {
+    "op1_quality_rules": quality_rules.op1,
+    "op2_substring_dedup": substring_dedup.op2,
+    "op3_secret_scan": secret_scan.op3,
+    "op8_suffix_dedup": suffix_dedup.op8,
+}
 ORACLE = {"op1_quality_rules": quality_rules.SQL}

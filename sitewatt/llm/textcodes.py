@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 15  # keeps the arrays of a chunk in the processor cache
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -102,47 +102,54 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (upper * np.uint8(32)).astype(np.uint8)
 
 
+def gram_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Mixed hashes of all ranges [i, i + k)."""
+    return mix((prefix[k:] - prefix[:-k]) * _power_table(len(prefix), 1)[:len(prefix) - k] + np.uint64(k))
+
+
+def minimisers(grams: np.ndarray, count: int) -> np.ndarray:
+    """For each i the position of the leftmost least of grams[i:i + count]."""
+    low = grams & np.uint64(0xFFFFFFFF80000000)  # 33 bits of hash, then the position
+    low |= np.arange(len(grams), dtype=np.uint64)
+    span = 1
+    while span * 2 <= count:  # least of each run of `span`, by doubling
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if count > span:
+        low = np.minimum(low[:len(low) - (count - span)], low[count - span:])
+    return (low & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
 def units(prefix: np.ndarray, offsets: np.ndarray, window: int, k: int):
     """All windows of ``window`` symbols inside rows, grouped by their minimiser.
 
     A window's minimiser is its leftmost ``k``-symbol string of least hash: it
     depends on the window alone, so equal windows have equal minimisers wherever
     they stand. Consecutive windows with the same minimiser position form a unit.
-    Returns row, start of the first window, number of windows, minimiser hash and
-    hash of the unit's symbols [start, start + windows - 1 + window).
+    Returns row, start of the first window, number of windows, distance from there
+    to the minimiser, hash of the minimiser and hash of the unit's symbols
+    [start, start + windows - 1 + window).
     """
     n = len(prefix) - 1
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if n < window:
-        return empty
-    at = np.arange(n - k + 1, dtype=np.int64)
-    grams = range_hash(prefix, at, at + k)
-    low = (grams & np.uint64(0xFFFFFFFF80000000)) | at.astype(np.uint64)  # 33 bits of hash, then the position
-    span, left = 1, window - k + 1
-    while span * 2 <= left:  # least of each run of `span` strings, by doubling
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if left > span:
-        low = np.minimum(low[:len(low) - (left - span)], low[left - span:])
-    where = (low & np.uint64(0x7FFFFFFF)).astype(np.int64)  # minimiser position of the window at i
-    inside = np.zeros(len(where) + 1, np.int64)  # +1 where windows inside a row begin, -1 where they end
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    grams = gram_hashes(prefix, k)
+    where = minimisers(grams, window - k + 1)
     lengths = np.diff(offsets)
     ok = lengths >= window
-    np.add.at(inside, offsets[:-1][ok], 1)
-    np.add.at(inside, offsets[1:][ok] - window + 1, -1)
-    inside = np.cumsum(inside[:-1]) > 0
-    new = inside.copy()
-    new[1:] &= (where[1:] != where[:-1]) | ~inside[:-1]
-    row_start = np.zeros(len(where), bool)
-    row_start[offsets[:-1][ok]] = True
-    new |= row_start
+    first, past = offsets[:-1][ok], offsets[1:][ok] - window + 1  # windows of each row
+    new = np.empty(len(where), bool)
+    new[:1] = True
+    np.not_equal(where[1:], where[:-1], out=new[1:])
+    new[first] = True
+    new[past[past < len(new)]] = True
     starts = np.flatnonzero(new)
-    if not len(starts):
-        return empty
-    count = np.add.reduceat(inside.astype(np.int64), starts)
+    ends = np.append(starts[1:], len(where))
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return (rows, starts - offsets[rows], count, grams[where[starts]],
-            range_hash(prefix, starts, starts + count - 1 + window))
+    inside = starts + window <= offsets[rows + 1]
+    starts, ends, rows = starts[inside], ends[inside], rows[inside]
+    return (rows, starts - offsets[rows], ends - starts, where[starts] - starts, grams[where[starts]],
+            range_hash(prefix, starts, ends - 1 + window))
 
 
 def signed(h: np.ndarray) -> pa.Array:

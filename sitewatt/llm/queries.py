@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sitewatt.llm import ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from sitewatt.llm import ngram_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_substring_dedup": substring_dedup.op2,
     "op3_secret_scan": secret_scan.op3,
     "op5_ngram_join": ngram_join.op5,
+    "op7_packing": packing.op7,
     "op8_suffix_dedup": suffix_dedup.op8,
 }
 ORACLE = {"op1_quality_rules": quality_rules.SQL}

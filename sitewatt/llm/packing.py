@@ -35,7 +35,8 @@ from sitewatt.llm.common import materialize
 
 WINDOW = 1024
 END_ID = 0
-SALTS = 64
+SALTS = 64              # at least; more where a task would order over SALT_ROWS pieces
+SALT_ROWS = 200_000
 CACHE_CHUNKS = 500_000  # a generation of a worker's cache; two are held (under 200 MB)
 
 _encoders: dict = {}
@@ -215,14 +216,14 @@ RESULT = PIECE + ", sequence_id long, offset long"
 RESULT_NAMES = [f.split()[0] for f in RESULT.split(", ")]
 
 
-def _ranks(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def _ranks(df: DataFrame, by: list[str], order: list[str], salts: int) -> DataFrame:
     """Adds ``rank`` (from 0) within ``by``: a rank within a salt plus the salts before."""
-    df = df.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    df = df.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     sizes = df.groupBy(*by, "salt").agg(F.count("*").alias("n"))
     w = Window.orderBy("salt") if not by else Window.partitionBy(*by).orderBy("salt")
-    sizes = sizes.select(*by, "salt", (F.sum("n").over(w) - F.col("n")).alias("before"))  # at most SALTS rows a group
+    sizes = sizes.select(*by, "salt", (F.sum("n").over(w) - F.col("n")).alias("before"))  # one row a salt
     own = F.row_number().over(Window.partitionBy(*by, "salt").orderBy(*order)) - 1
-    return (df.withColumn("own", own).join(F.broadcast(sizes), [*by, "salt"])  # at most WINDOW * SALTS rows
+    return (df.withColumn("own", own).join(sizes, [*by, "salt"])
             .withColumn("rank", (F.col("own") + F.col("before")).cast("long")).drop("own", "before", "salt"))
 
 
@@ -231,11 +232,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = materialize(rows.mapInArrow(_pieces(path or tokenizer_path(), window), PIECE), "pieces")
     order = ["doc_id", "start", "ids_crc32"]
-    full = _ranks(pieces.filter(F.col("length") == window), [], order)
-    full = full.select(*RESULT_NAMES[:5], F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
     base = counts.pop(window, 0)
-    rest = _ranks(pieces.filter(F.col("length") < window), ["length"], order)
+    salts = max(SALTS, max([base, *counts.values()]) // SALT_ROWS)
+    full = _ranks(pieces.filter(F.col("length") == window), [], order, salts)
+    full = full.select(*RESULT_NAMES[:5], F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = _ranks(pieces.filter(F.col("length") < window), ["length"], order, salts)
     placed = rest.select(*RESULT_NAMES[:5], "rank").mapInArrow(_place(_slots(plan(counts, window)), base), RESULT)
     return full.select([F.col(f.name) for f in T._parse_datatype_string(RESULT).fields]).union(placed)
 

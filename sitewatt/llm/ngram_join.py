@@ -15,8 +15,9 @@ set walks the trie with the overlap so far, shared by all sets below a branch;
 a branch is left when its lengths cannot fit or when the overlap plus what can still
 follow (on either side) cannot reach the threshold. Sets already connected are not
 compared again, so a group of near copies costs a row of links, not all pairs.
-Groups of more than BLOCK nodes are joined in salted blocks, then by one
-representative per piece; only pieces still apart are compared across blocks.
+Groups of more than BLOCK nodes are joined in salted blocks, each with the group's
+PIVOTS pivot nodes, which tie the blocks together; only pieces still apart are
+compared across blocks.
 
 Defined cases: null text or text without words has an empty set, linked with
 nothing; fewer words than n: the whole word sequence is the one element; rows sharing
@@ -37,6 +38,7 @@ from sitewatt.llm.common import materialize
 from sitewatt.llm.components import components
 
 BLOCK = 256
+PIVOTS = 8
 NO_ID = -(1 << 63)
 
 
@@ -246,12 +248,12 @@ def _join_group(percent: int, labelled: bool):
     return work
 
 
-def _in_blocks(sets: DataFrame, percent: int) -> DataFrame:
-    """Links within salted blocks of each candidate group."""
-    size = sets.groupBy("cand").agg(F.count("*").alias("size"))
-    return (sets.join(size, "cand")
-            .withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-            .select("cand", "salt", "node", "elements")
+def _in_blocks(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links within salted blocks of each candidate group; its pivots are in every block."""
+    x = sets.join(sizes, "cand").withColumn("k", F.ceil(F.col("size") / BLOCK))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("k")))
+    salts = F.when((F.col("k") > 1) & F.array_contains("pivots", F.col("node")), F.expr("sequence(0L, k - 1)")).otherwise(own)
+    return (x.select("cand", F.explode(salts).alias("salt"), "node", "elements")
             .groupBy("cand", "salt").applyInArrow(_join_group(percent, False), "u long, v long"))
 
 
@@ -299,13 +301,13 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
             .select("doc", "cand", "text").mapInArrow(_set_rows(n), "node long, cand long, elements binary"))
     sets = materialize(sets, "ngram-sets")
 
-    links = materialize(_in_blocks(sets, percent), "ngram-links")
-    large = sets.groupBy("cand").agg(F.count("*").alias("c")).filter(f"c > {BLOCK}").select("cand")
-    large = materialize(large, "ngram-large")
+    sizes = sets.groupBy("cand").agg(F.count("*").alias("size"), F.array_compact(F.array(*[
+        F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)])).alias("pivots"))
+    sizes = materialize(sizes, "ngram-groups")
+    links = materialize(_in_blocks(sets, sizes, percent), "ngram-links")
+    large = sizes.filter(F.col("size") > BLOCK).select("cand")
     if not large.isEmpty():  # else every group was one block: all its links are found
         big = sets.join(large, "cand", "left_semi")
-        first = _labels(big, links).filter("label = node")
-        links = materialize(links.union(_in_blocks(first.select("node", "cand", "elements"), percent)), "ngram-links")
         links = materialize(links.union(_across(_labels(big, links), percent)), "ngram-links")
 
     nodes = rows.filter("size > 0").join(reps, ["h1", "h2"])

@@ -68,11 +68,17 @@ class Vocabulary:
         self.hashes, self.ids = h[order], ids[order]
         weight = -np.array([sp.get_score(i) for i in self.ids.tolist()]) if len(ids) else np.zeros(0)
         self.weight = -np.log(np.maximum(weight, 0) + RANK_SHIFT)
+        self.seen = np.zeros(1 << 20, bool)  # by the hash's upper bits: most strings are no piece
+        self.seen[self.hashes >> np.uint64(44)] = True
 
     def find(self, h: np.ndarray):
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        ok = self.hashes[at] == h
-        return np.where(ok, self.ids[at], -1), np.where(ok, self.weight[at], -np.inf)
+        ids, weight = np.full(len(h), -1), np.full(len(h), -np.inf)
+        some = np.flatnonzero(self.seen[h >> np.uint64(44)])
+        own = h[some]
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        ok = self.hashes[at] == own
+        ids[some[ok]], weight[some[ok]] = self.ids[at[ok]], self.weight[at[ok]]
+        return ids, weight
 
 
 def vocabulary(path: str) -> Vocabulary:

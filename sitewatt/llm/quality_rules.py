@@ -12,7 +12,7 @@ a language with few documents that of the corpus.
 Defined cases: null text is the empty text (no words, fails the base rules);
 null language or source is a group of its own; repeated rows are judged each;
 an empty table gives an empty result; columns named like a feature are replaced
-by the feature, all other columns are carried along.
+by the feature, all other columns but the text are carried along.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts of the whole text, beside the columns of ``docs``."""
     t = F.coalesce(F.col("__text"), F.lit(""))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    carried = [c for c in docs.columns if c.lower() not in names]
+    carried = [c for c in docs.columns if c.lower() not in names and c.lower() != text.lower()]
     df = docs.select(*carried, F.col(text).alias("__text"))
     df = df.withColumns({
         "__words": F.array_remove(F.split(t, SPACES), ""),

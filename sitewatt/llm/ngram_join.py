@@ -70,7 +70,8 @@ def _signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int):
     """(row, part hash) such that rows that link share at least one."""
     ends = _size_classes(int(size.max(initial=1)) + 1)
     top = np.append(ends[1:], ends[-1] * 2) - 1  # largest smaller set of each class
-    parts = (top + top * 100 // percent) * (100 - percent) // (100 + percent) + 1
+    differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
+    parts = differ + 3 + differ // 12  # one more than may differ, and some for parts that get no element
     own = np.searchsorted(ends, size, "right") - 1
     low = -(-size * percent // 100)  # smallest set that can link with this one
     rows, sigs = [], []

@@ -7,10 +7,12 @@ stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sitewatt.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup
-from sitewatt.llm.common import documents, materialize
+from sitewatt.llm.common import documents, drop_folders, materialize, tables_of
 
 STAGES = [
     ("quality_rules", quality_rules.stage),    # rejected documents go

@@ -28,13 +28,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def tables_of(df: DataFrame) -> set[str]:
+    """Folders of ``materialize`` that the plan of ``df`` reads."""
+    return {p for p in (f.rsplit("/", 1)[0] for f in df.inputFiles()) if p.rsplit("/", 1)[1].startswith("llm-")}
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table written by ``materialize`` that no later step reads."""
-    sc = df.sparkSession.sparkContext
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+    drop_folders(df.sparkSession, tables_of(df))
+
+
+def drop_folders(spark: SparkSession, folders: set[str]) -> None:
+    sc = spark.sparkContext
+    for f in folders:
         path = sc._jvm.org.apache.hadoop.fs.Path(f)
-        if path.getName().startswith("llm-"):
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewatt.llm import textcodes as tc
@@ -135,17 +135,22 @@ def _sig_rows(n: int, percent: int):
     return work
 
 
-def _set_rows(n: int):
+def _with_sets(docs: DataFrame, dealt: DataFrame, n: int) -> DataFrame:
+    """``dealt`` (node and any long columns) with the elements of each node's texts."""
+    keys = [c for c in dealt.columns if c != "node"]
+
     def work(batches):
         for b in batches:
-            for first, data, offsets in tc.chunks(b.column(2)):
+            *given, texts = b.columns
+            for first, data, offsets in tc.chunks(texts):
                 row, h = shingle_sets(data, offsets, n)
                 ends = np.searchsorted(row, np.arange(len(offsets)))
-                k = len(offsets) - 1
                 sets = [h[i:j].astype(">u8").tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k), b.column(1).slice(first, k),
-                                                  pa.array(sets, pa.binary())], names=["node", "cand", "elements"])
-    return work
+                yield pa.RecordBatch.from_arrays([*[g.slice(first, len(sets)) for g in given], pa.array(sets, pa.binary())],
+                                                 names=["node", *keys, "elements"])
+
+    rows = docs.join(dealt.withColumnRenamed("node", "doc").hint("shuffle_hash"), "doc").select("doc", *keys, "text")
+    return rows.mapInArrow(work, ", ".join(f"{c} long" for c in ["node", *keys]) + ", elements binary")
 
 
 class _Trie:
@@ -249,41 +254,38 @@ def _join_group(percent: int, labelled: bool):
     return work
 
 
-def _in_blocks(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links within salted blocks of each candidate group; its pivots are in every block."""
-    x = sets.join(sizes, "cand").withColumn("k", F.ceil(F.col("size") / BLOCK))
+def _in_blocks(member: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of each candidate group by salted block; its pivots are in every block."""
+    x = member.join(sizes, "cand").withColumn("k", F.ceil(F.col("size") / BLOCK))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("k")))
     salts = F.when((F.col("k") > 1) & F.array_contains("pivots", F.col("node")), F.expr("sequence(0L, k - 1)")).otherwise(own)
-    return (x.select("cand", F.explode(salts).alias("salt"), "node", "elements")
-            .groupBy("cand", "salt").applyInArrow(_join_group(percent, False), "u long, v long"))
+    return x.select("node", "cand", F.explode(salts).alias("salt"))
 
 
-def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(member: DataFrame, links: DataFrame) -> DataFrame:
     label = components(links, "pieces")
-    return sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return member.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between pieces of one candidate group that stand in different blocks.
+def _across(member: DataFrame) -> DataFrame:
+    """Cells that bring together pieces of one candidate group from different blocks.
 
     The group's largest piece is dealt to blocks, and so are the others; each block
     of the others meets each block of the largest and of the others once.
     """
-    pieces = sets.groupBy("cand", "label").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("cand")
+    pieces = member.groupBy("cand", "label").agg(F.count("*").alias("n"))
     main = pieces.groupBy("cand").agg(F.max(F.struct("n", F.col("label"))).alias("m"), F.sum("n").alias("size"))
     main = main.select("cand", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mk"),
                        F.ceil((F.col("size") - F.col("m.n")) / BLOCK).alias("ok")).filter("ok > 0")
-    x = sets.join(main, "cand").withColumn("is_main", F.col("label") == F.col("main"))
+    x = member.join(main, "cand").withColumn("is_main", F.col("label") == F.col("main"))
     x = x.withColumn("salt", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mk")).otherwise(F.col("ok"))))
     others = F.expr("sequence(0L, ok - 1)")
     cells = (F.when(F.col("is_main"), F.transform(others, lambda o: F.struct(o.alias("o"), (-1 - F.col("salt")).alias("p"))))
              .otherwise(F.concat(
                  F.transform(F.expr("sequence(0L, mk - 1)"), lambda m: F.struct(F.col("salt").alias("o"), (-1 - m).alias("p"))),
                  F.transform(others, lambda o: F.struct(F.greatest("salt", o).alias("o"), F.least("salt", o).alias("p"))))))
-    return (x.select("cand", F.explode(cells).alias("cell"), "node", "label", "elements")
-            .select("cand", "cell.o", "cell.p", "node", "label", "elements")
-            .groupBy("cand", "o", "p").applyInArrow(_join_group(percent, True), "u long, v long"))
+    return (x.select("node", "cand", "label", F.explode(cells).alias("cell"))
+            .select("node", "cand", "label", "cell.o", "cell.p"))
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -298,18 +300,19 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     pairs = (sigs.join(shared, "sig").filter("set <> low").select(F.col("low").alias("u"), F.col("set").alias("v")).distinct())
     cand = components(pairs, "ngram-cand")
     member = reps.join(cand.select(F.col("node").alias("h1"), F.col("label").alias("cand")), "h1").select("node", "cand")
-    sets = (keyed.join(member.distinct().withColumnRenamed("node", "doc").hint("shuffle_hash"), "doc")
-            .select("doc", "cand", "text").mapInArrow(_set_rows(n), "node long, cand long, elements binary"))
-    sets = materialize(sets, "ngram-sets")
-
-    sizes = sets.groupBy("cand").agg(F.count("*").alias("size"), F.array_compact(F.array(*[
+    member = materialize(member.distinct(), "ngram-members")
+    sizes = member.groupBy("cand").agg(F.count("*").alias("size"), F.array_compact(F.array(*[
         F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)])).alias("pivots"))
     sizes = materialize(sizes, "ngram-groups")
-    links = materialize(_in_blocks(sets, sizes, percent), "ngram-links")
+    links = (_with_sets(keyed, _in_blocks(member, sizes), n).groupBy("cand", "salt")
+             .applyInArrow(_join_group(percent, False), "u long, v long"))
+    links = materialize(links, "ngram-links")
     large = sizes.filter(F.col("size") > BLOCK).select("cand")
     if not large.isEmpty():  # else every group was one block: all its links are found
-        big = sets.join(large, "cand", "left_semi")
-        links = materialize(links.union(_across(_labels(big, links), percent)), "ngram-links")
+        big = _labels(member.join(large, "cand", "left_semi"), links)
+        far = (_with_sets(keyed, _across(big), n).groupBy("cand", "o", "p")
+               .applyInArrow(_join_group(percent, True), "u long, v long"))
+        links = materialize(links.union(far), "ngram-links")
 
     nodes = rows.filter("size > 0").join(reps, ["h1", "h2"])
     several = nodes.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u < w").select("doc", "u")

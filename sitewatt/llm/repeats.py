@@ -165,9 +165,13 @@ def repeated_ranges(docs: DataFrame, spec: Spec, matcher: Callable, tag: str) ->
     ranges = [_later(rows, unit, ["anchor", "unit"], spec)]
 
     several = unit.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    todo = (unit.join(several, "anchor", "left_semi")
-            .select("first.doc", "first.th", (F.shiftleft(F.col("first.base"), 16) + F.col("shape")).alias("pos"))
-            .groupBy("doc", "th").agg(F.collect_list("pos").alias("list")))  # bounded by the text's length
+    todo = unit.join(several, "anchor", "left_semi")
+    if spec.by_document:  # every occurrence in the first document: none of them is a repeat yet
+        todo = rows.join(todo.select("anchor", "unit", "first"), ["anchor", "unit"]).filter(F.col("doc") == F.col("first.doc"))
+        todo = todo.select("doc", "th", "pos")
+    else:
+        todo = todo.select("first.doc", "first.th", (F.shiftleft(F.col("first.base"), 16) + F.col("shape")).alias("pos"))
+    todo = (todo.groupBy("doc", "th").agg(F.collect_list("pos").alias("list")))  # bounded by the text's length
     parts = (docs.join(todo.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "list")
              .mapInArrow(_part_rows(spec), PART_SCHEMA))
     parts = materialize(parts, f"{tag}-parts")
@@ -176,7 +180,11 @@ def repeated_ranges(docs: DataFrame, spec: Spec, matcher: Callable, tag: str) ->
     ranges.append(_later(parts, part, ["key", "sid"], spec))
 
     sizes = part.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    part = part.join(sizes, "key").select("key", "first", "x.*", "c")
+    part = part.join(sizes, "key").select("key", "sid", "first", "x.*", "c")
+    if spec.by_document:
+        own = parts.select("key", "sid", F.struct("doc", "base", "th").alias("own"))
+        part = (part.join(own, ["key", "sid"]).filter(F.col("own.doc") == F.col("first.doc")).drop("first")
+                .withColumnRenamed("own", "first"))
     buckets = max(1, part.count() // BUCKET_ROWS)
     out = "doc long, th int, a long, b long"
     ranges.append(part.filter(F.col("c") <= HOT).withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets)))

@@ -52,6 +52,12 @@ def bucket_start(ts, width: str = "5 minutes") -> Column:
     return F.window(c, width).start
 
 
+def _mean(total: Column, count: Column) -> Column:
+    """Exact mean, the same digits on every path: ``total`` must have the type of a direct
+    sum (a sum of partial sums is wider, and its quotient would keep fewer digits)."""
+    return F.try_divide(total, count.cast("decimal(20,0)"))
+
+
 def _partials(fn: str, col: str, i: int) -> list[Column]:
     c = F.col(col)
     if fn == "sum":
@@ -65,11 +71,12 @@ def _partials(fn: str, col: str, i: int) -> list[Column]:
     raise ValueError(fn)
 
 
-def _combine(fn: str, i: int) -> Column:
+def _combine(fn: str, i: int, kind) -> Column:
+    """``kind``: type of the partial sums, the one a direct sum has."""
     if fn == "sum":
         return F.sum(f"s{i}")
     if fn == "avg":
-        return F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}").cast("decimal(20,0)"))
+        return _mean(F.sum(f"s{i}").cast(kind), F.sum(f"n{i}"))
     if fn == "max":
         return F.max(f"x{i}")
     return F.min(f"x{i}")
@@ -78,7 +85,7 @@ def _combine(fn: str, i: int) -> Column:
 def _direct(fn: str, col: str) -> Column:
     c = F.col(col)
     if fn == "avg":
-        return F.try_divide(F.sum(c), F.count(c).cast("decimal(20,0)"))
+        return _mean(F.sum(c), F.count(c))
     return {"sum": F.sum, "max": F.max, "min": F.min}[fn](c)
 
 
@@ -102,7 +109,8 @@ def scoped_group_agg(facts: DataFrame, assets: DataFrame | None, group: dict[str
     parts = keyed.groupBy(*gnames, "asset_id").agg(
         *[p for i, (_, c, fn) in enumerate(specs) for p in _partials(fn, c, i)])
     kept = parts.join(ids, "asset_id", "left_semi")
-    return kept.groupBy(*gnames).agg(*[_combine(fn, i).alias(n) for i, (n, _, fn) in enumerate(specs)])
+    return kept.groupBy(*gnames).agg(*[
+        _combine(fn, i, parts.schema[f"s{i}"].dataType if fn == "avg" else None).alias(n) for i, (n, _, fn) in enumerate(specs)])
 
 
 def bucket_series(tm: DataFrame, assets: DataFrame | None, series: list[tuple[str, str, str, int]],
@@ -131,8 +139,9 @@ def per_snapshot_bucket(tm: DataFrame, column: str, digits: int, width: str = "5
     snapshot totals per bucket (independent of the sampling rate)."""
     df = time_range(tm, start, end, ts)
     snaps = df.groupBy(ts).agg(F.sum(column).alias("total"))
+    mean = _mean(F.sum("total").cast(snaps.schema["total"].dataType), F.count("total"))
     return (snaps.groupBy(bucket_start(ts, width).alias("time"))
-            .agg(F.round(F.try_divide(F.sum("total"), F.count("total").cast("decimal(20,0)")), digits)
+            .agg(F.round(mean, digits)
                  .cast("double").alias("value"))
             .select("time", F.lit(label).alias("metric"), "value"))
 
@@ -242,11 +251,11 @@ def bucket_partials(tm: DataFrame, width: str = "5 minutes", measures=None, ts:
             .select(F.col("w.start").alias("time"), "asset_id", *names))
 
 
-def _from_partials(fn: str, m: str) -> Column:
+def _from_partials(fn: str, m: str, kind) -> Column:
     if fn == "sum":
         return F.sum(f"sum_{m}")
     if fn == "avg":
-        return F.try_divide(F.sum(f"sum_{m}"), F.sum(f"n_{m}").cast("decimal(20,0)"))
+        return _mean(F.sum(f"sum_{m}").cast(kind), F.sum(f"n_{m}"))
     if fn == "max":
         return F.max(f"max_{m}")
     if fn == "min":
@@ -264,7 +273,7 @@ def series_from_partials(partials: DataFrame, assets: DataFrame | None, series:
         ids = scoped_assets(assets, room, rack, server, ("asset_id", "asset_name", "room_name", "rack_name")) \
             .select("asset_id")
         df = df.join(checked_broadcast(ids), "asset_id", "left_semi")
-    wide = df.groupBy("time").agg(*[_from_partials(fn, col).alias(f"v{i}")
+    wide = df.groupBy("time").agg(*[_from_partials(fn, col, df.schema[f"sum_{col}"].dataType).alias(f"v{i}")
                                     for i, (_, col, fn, _) in enumerate(series)])
     pairs = [F.struct(F.lit(label).alias("metric"), F.round(F.col(f"v{i}"), d).cast("double").alias("value"))
              for i, (label, _, _, d) in enumerate(series)]

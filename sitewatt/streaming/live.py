@@ -92,32 +92,36 @@ def kpi_stream(stream: DataFrame, delay: str = "1 hour", profile=None, watermark
     return f.select("ts", *[F.round(F.col(c), d).cast(f"decimal(18,{d})").alias(c) for c, d in KPI_COLUMNS])
 
 
+def _listed(spark: SparkSession, path: str) -> list:
+    """Entries of a folder through the Hadoop FileSystem (any shared storage); none if it is missing."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath() for st in fs.listStatus(hpath)] if fs.exists(hpath) else []
+
+
 class LatestStateTable:
     """STR-6: maintain the latest-per-asset table with ``foreachBatch`` and run
     batch operators (rollups, active alerts, site summary) on it.
 
-    Each micro-batch is reduced to its own latest rows, merged last-wins with
-    the stored state and written as a new version folder ``v<epoch>``; the
-    version being read is never overwritten, and a replayed epoch rewrites the
-    same folder, so the sink is idempotent.
+    Each micro-batch is reduced to its own latest rows, merged last-wins with the
+    newest committed version and written as a version of its own. Versions are
+    numbered by what is stored, not by the stream's epochs, so a backfilled state, a new
+    checkpoint or another stream never replace what is there. Merging a replayed
+    epoch again changes nothing, so the sink is idempotent. The last ``KEEP``
+    versions stay for readers that have opened them.
     """
 
+    KEEP = 3
+
     def __init__(self, path: str):
         self.path = path.rstrip("/")
 
-    def _versions(self, spark: SparkSession) -> list[int]:
-        """Committed versions (folders with ``_SUCCESS``), listed through the
-        Hadoop FileSystem of the path, so shared storage works as well."""
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hpath):
-            return []
+    def _versions(self, spark: SparkSession, committed: bool = True) -> list[int]:
         out = []
-        for st in fs.listStatus(hpath):
-            name = st.getPath().getName()
-            if (st.isDirectory() and name.startswith("v") and name[1:].isdigit()
-                    and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
+        for p in _listed(spark, self.path):
+            name = p.getName()
+            if name.startswith("v") and name[1:].isdigit() and (not committed or any(
+                    f.getName() == "_SUCCESS" for f in _listed(spark, p.toString()))):
                 out.append(int(name[1:]))
         return sorted(out)
 
@@ -125,28 +129,42 @@ class LatestStateTable:
         vs = self._versions(spark)
         return spark.read.parquet(f"{self.path}/v{vs[-1]}") if vs else None
 
-    def merge(self, batch: DataFrame, epoch_id: int, keys=("asset_id",), ts: str = "ts") -> None:
-        """Last-wins merge of one micro-batch into the stored state.
+    def _commit(self, state: DataFrame) -> None:
+        spark = state.sparkSession
+        state.write.parquet(f"{self.path}/v{max(self._versions(spark, committed=False), default=-1) + 1}")
+        for v in self._versions(spark)[:-self.KEEP]:
+            hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
+            hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+    def replace(self, facts: DataFrame, keys=("asset_id",), ts: str = "ts") -> None:
+        """A new version made of ``facts`` alone."""
+        self._commit(latest_per_key(facts, list(keys), ts, method="max_by"))
+
+    def merge(self, batch: DataFrame, epoch_id: int | None = None, keys=("asset_id",), ts: str = "ts") -> None:
+        """Last-wins merge of one micro-batch into the newest committed version.
 
-        The batch's own latest rows are small, so they (and the stored rows of
-        the same keys) go through checked broadcasts: the stored state is
-        scanned once and kept unless the batch has a newer row for its key; it
-        is never shuffled. An unexpectedly large batch falls back to shuffle joins.
+        The batch's own latest rows are computed once (persisted for the merge); they
+        and the stored rows of the same keys go through checked broadcasts: the
+        stored state is scanned once and kept unless the batch has a newer row for its
+        key; it is never shuffled. An unexpectedly large batch falls back to shuffle joins.
         """
         spark = batch.sparkSession
         keys = list(keys)
-        fresh = latest_per_key(batch, keys, ts, method="max_by")
-        prev = [v for v in self._versions(spark) if v < epoch_id]
-        if prev:
-            old = spark.read.parquet(f"{self.path}/v{prev[-1]}")
+        fresh = latest_per_key(batch, keys, ts, method="max_by").persist()
+        try:
+            old = self.current(spark)
+            if old is None:
+                self._commit(fresh)
+                return
             fresh_ts = checked_broadcast(fresh.select(*keys, F.col(ts).alias("_new_ts")))
             kept_old = (old.join(fresh_ts, keys, "left")
                         .where(F.col("_new_ts").isNull() | (F.col(ts) > F.col("_new_ts"))).drop("_new_ts"))
             old_ts = old.join(fresh_ts.select(*keys), keys, "left_semi").select(*keys, F.col(ts).alias("_old_ts"))
             newer = (fresh.join(checked_broadcast(old_ts), keys, "left")
                      .where(F.col("_old_ts").isNull() | (F.col(ts) >= F.col("_old_ts"))).drop("_old_ts"))
-            fresh = kept_old.unionByName(newer.select(*old.columns))
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v{epoch_id}")
+            self._commit(kept_old.unionByName(newer.select(*old.columns)))
+        finally:
+            fresh.unpersist()
 
     def start(self, stream: DataFrame, name: str = "latest_state", trigger: dict | None = None):
         cp = os.path.join(checkpoint_dir(stream.sparkSession), name)
@@ -168,6 +186,50 @@ def start_stream(df: DataFrame, name: str, sink: str = "memory", output_mode: st
     return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+FACTS, KPIS, ROLLUP = "telemetry_metrics", "sustainability_kpi_snapshots", "bucket_rollup_5m"
+
+
+def _table_path(out_dir: str, part: str, table: str) -> str:
+    return f"{out_dir.rstrip('/')}/{part}/{table}"
+
+
+def read_store(spark: SparkSession, out_dir: str, table: str = FACTS) -> DataFrame | None:
+    """History and all live runs of a stored table as one (None where nothing has been written).
+
+    Wall-clock and instant columns meet as instants (the session's zone is UTC). Facts
+    of a key that several parts hold (a sample re-sent later) count once, the first part wins.
+    """
+    runs = sorted(p.toString() for p in _listed(spark, _table_path(out_dir, "live", table)) if p.getName().startswith("run="))
+    keys = {FACTS: ["ts", "asset_id"], KPIS: ["ts"]}.get(table)
+    whole = None
+    for path in [_table_path(out_dir, "history", table), *runs]:
+        if not any(not p.getName().startswith(("_", ".")) for p in _listed(spark, path)):
+            continue
+        df = spark.read.parquet(path)  # a run's folder: what its sink has committed
+        df = df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+        if whole is None:
+            whole = df
+        else:
+            fresh = df.join(whole.select(*keys), keys, "left_anti") if keys else df
+            whole = whole.unionByName(fresh, allowMissingColumns=True)
+    return whole
+
+
+def start_live_sink(df: DataFrame, out_dir: str, table: str, name: str, trigger: dict | None = None,
+                    partition_by: list[str] | None = None):
+    """Exactly-once append to a run's own folder ``<out_dir>/live/<table>/run=<name>-<k>``.
+
+    A file sink skips epochs that its folder's log already holds, so a new
+    checkpoint gets a new run; a restart from its checkpoint goes on in the same one.
+    """
+    spark = df.sparkSession
+    base = _table_path(out_dir, "live", table)
+    runs = [int(p.getName().rpartition("-")[2]) for p in _listed(spark, base) if p.getName().startswith(f"run={name}-")]
+    resumed = bool(runs) and bool(_listed(spark, os.path.join(checkpoint_dir(spark), name)))
+    k = max(runs, default=0) + (not resumed)
+    return start_stream(df, name, sink="parquet", trigger=trigger, path=f"{base}/run={name}-{k}", partition_by=partition_by)
+
+
 RAW_COLUMNS = ["ts", "asset_id", "cpu_usage", "power_w", "inlet_temp_c", "outlet_temp_c", "operational_state"]
 
 
@@ -178,31 +240,28 @@ def start_live_loop(raw_stream: DataFrame, assets: DataFrame, out_dir: str, dela
 
     * ``ingest``: measured samples -> first-wins de-duplication within the
       watermark -> enrichment (emission factor, carbon, status) -> exactly-once
-      append to date-partitioned Parquet facts (``<out_dir>/telemetry_metrics``);
+      append to date-partitioned Parquet facts (``<out_dir>/live/telemetry_metrics``);
     * ``latest``: the latest-state table maintained by ``foreachBatch``
       (``<out_dir>/latest_state``), for rollups, alerts and site stats;
     * ``kpi``: KPI snapshots per timestamp once the watermark passes it
-      (``<out_dir>/sustainability_kpi_snapshots``);
+      (``<out_dir>/live/sustainability_kpi_snapshots``);
     * ``rollup``: 5-minute per-asset partial aggregates for trend panels
-      (``<out_dir>/bucket_rollup_5m``, date-partitioned).
+      (``<out_dir>/live/bucket_rollup_5m``, date-partitioned).
 
+    Backfilled history stands under ``<out_dir>/history``: the streaming file sink
+    reads its own log only, so the two never share a folder. ``read_store`` gives both.
     Returns the started queries and the output paths.
     """
     trig = trigger or {"processingTime": "10 seconds"}
-    facts_path = f"{out_dir.rstrip('/')}/telemetry_metrics"
-    kpi_path = f"{out_dir.rstrip('/')}/sustainability_kpi_snapshots"
+    facts_path, kpi_path, rollup_path = (_table_path(out_dir, "live", t) for t in (FACTS, KPIS, ROLLUP))
     clean = dedup_stream(raw_stream.select(*RAW_COLUMNS), delay)
     facts = enrich_stream(clean, assets)
-    ingest = start_stream(facts.withColumn("dt", F.to_date("ts")), f"{name}_ingest", sink="parquet",
-                          trigger=trig, path=facts_path, partition_by=["dt"])
+    ingest = start_live_sink(facts.withColumn("dt", F.to_date("ts")), out_dir, FACTS, f"{name}_ingest", trig, ["dt"])
     table = LatestStateTable(f"{out_dir.rstrip('/')}/latest_state")
     latest = table.start(facts, name=f"{name}_latest", trigger=trig)
-    kpi = start_stream(kpi_stream(facts, delay, watermarked=True), f"{name}_kpi", sink="parquet", trigger=trig,
-                       path=kpi_path)
-    rollup_path = f"{out_dir.rstrip('/')}/bucket_rollup_5m"
-    rollup = start_stream(rollup_stream(facts, "5 minutes", delay, watermarked=True)
-                          .withColumn("dt", F.to_date("time")), f"{name}_rollup", sink="parquet", trigger=trig,
-                          path=rollup_path, partition_by=["dt"])
+    kpi = start_live_sink(kpi_stream(facts, delay, watermarked=True), out_dir, KPIS, f"{name}_kpi", trig)
+    rollup = start_live_sink(rollup_stream(facts, "5 minutes", delay, watermarked=True).withColumn("dt", F.to_date("time")),
+                             out_dir, ROLLUP, f"{name}_rollup", trig, ["dt"])
     return {"ingest": ingest, "latest": latest, "kpi": kpi, "rollup": rollup, "facts_path": facts_path,
             "kpi_path": kpi_path, "rollup_path": rollup_path, "latest_table": table}
 
@@ -218,27 +277,29 @@ def rollup_stream(stream: DataFrame, width: str = "5 minutes", delay: str = "1 h
 
 
 def backfill(facts: DataFrame, out_dir: str, force: bool = False) -> dict:
-    """Batch backfill in the live loop's layout, only into an empty target
-    (the backfill guard): date-partitioned facts, KPI snapshots, the 5-minute
-    rollup and version 0 of the latest-state table. Returns what was written;
-    an existing non-empty fact table is left untouched unless ``force``."""
+    """Batch backfill beside the live loop, only into an empty store (the backfill
+    guard looks at the data of both parts): date-partitioned facts, KPI snapshots and the
+    5-minute rollup under ``<out_dir>/history``, and a new version of the latest state.
+    ``force`` replaces the history, never live rows; the latest state is then made
+    of the new history and the live facts."""
     from sitewatt.operators.kpi import kpi_snapshots
+    from sitewatt.operators.sinks import is_empty
     from sitewatt.operators.timeseries import bucket_partials
     spark = facts.sparkSession
-    root = out_dir.rstrip("/")
-    facts_path = f"{root}/telemetry_metrics"
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(f"{facts_path}/_SUCCESS")
-    exists = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
-    if exists and not force and not spark.read.parquet(facts_path).isEmpty():
+    facts_path, kpi_path, rollup_path = (_table_path(out_dir, "history", t) for t in (FACTS, KPIS, ROLLUP))
+    stored = read_store(spark, out_dir)
+    if not force and stored is not None and not is_empty(stored):
         return {"written": False, "facts_path": facts_path}
-    (facts.withColumn("dt", F.to_date("ts")).repartitionByRange("ts").sortWithinPartitions("ts")
-     .write.mode("overwrite").partitionBy("dt").parquet(facts_path))
-    stored = spark.read.parquet(facts_path).drop("dt")
-    kpi_snapshots(stored).write.mode("overwrite").parquet(f"{root}/sustainability_kpi_snapshots")
-    (bucket_partials(stored, "5 minutes").withColumn("dt", F.to_date("time"))
-     .write.mode("overwrite").partitionBy("dt").parquet(f"{root}/bucket_rollup_5m"))
-    table = LatestStateTable(f"{root}/latest_state")
-    table.merge(stored, 0)
-    return {"written": True, "facts_path": facts_path, "kpi_path": f"{root}/sustainability_kpi_snapshots",
-            "rollup_path": f"{root}/bucket_rollup_5m", "latest_table": table}
+
+    def write(df: DataFrame, path: str, partitioned: bool = True) -> None:
+        w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")  # old days go, whatever the session says
+        (w.partitionBy("dt") if partitioned else w).parquet(path)
+
+    write(facts.withColumn("dt", F.to_date("ts")).repartitionByRange("ts", "asset_id").sortWithinPartitions("ts", "asset_id"),
+          facts_path)
+    history = spark.read.parquet(facts_path).drop("dt")
+    write(kpi_snapshots(history), kpi_path, partitioned=False)
+    write(bucket_partials(history, "5 minutes").withColumn("dt", F.to_date("time")), rollup_path)
+    table = LatestStateTable(f"{out_dir.rstrip('/')}/latest_state")
+    table.replace(read_store(spark, out_dir).drop("dt"))
+    return {"written": True, "facts_path": facts_path, "kpi_path": kpi_path, "rollup_path": rollup_path, "latest_table": table}

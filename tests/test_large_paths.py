@@ -44,3 +44,20 @@ def test_large_input_plans_match_oracle(spark, large_paths):
         if not (r["cols"] and r["rows"] and r["values"]):
             bad.append((n, r["diff"][:2]))
     assert bad == []
+
+
+def test_mean_has_the_same_digits_on_every_path(spark, monkeypatch):
+    """30,000 samples of 0.05 but one 0.04: the exact mean rounds to 0.0."""
+    import datetime as dt
+    from sitewatt.operators import joins, timeseries as TS
+    facts = spark.range(30_000).selectExpr(
+        "timestamp'2024-01-01 00:00:00' as ts", "id % 3 as asset_id",
+        "cast(case when id = 0 then 0.04 else 0.05 end as decimal(18,2)) as cpu_usage")
+    assets = spark.createDataFrame([(i, f"a{i}", "R", "K") for i in range(3)],
+                                   "asset_id long, asset_name string, room_name string, rack_name string")
+    specs = [("cpu", "cpu_usage", "avg", 1)]
+    small = TS.bucket_series(facts, assets, specs).collect()
+    monkeypatch.setattr(TS, "fits_broadcast", lambda *a, **k: False)
+    large = TS.bucket_series(facts, assets, specs).collect()
+    rolled = TS.series_from_partials(TS.bucket_partials(facts, "5 minutes", ["cpu_usage"]), None, specs).collect()
+    assert [r["value"] for r in small] == [r["value"] for r in large] == [r["value"] for r in rolled] == [0.0]

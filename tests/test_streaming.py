@@ -148,3 +148,57 @@ def test_backfill_only_into_empty_target(spark, scratch):
     assert first["latest_table"].current(spark).count() == c.tm.select("asset_id").distinct().count()
     again = L.backfill(c.tm.limit(3), out)   # target not empty: left untouched
     assert not again["written"] and spark.read.parquet(first["facts_path"]).count() == c.tm.count()
+
+
+def _sample(hour, asset, cpu="10"):
+    import datetime as dt
+    from frames import tm_row
+    return tm_row(dt.datetime(2024, 1, hour, 1), asset, cpu=cpu)
+
+
+def _live(spark, rows, out, scratch):
+    from frames import frames
+    src = os.path.join(scratch, _unique("src"))
+    facts, _ = frames(spark, rows, [])
+    facts.write.parquet(src)
+    s = L.stream_telemetry(spark, src, spark.read.parquet(src).schema)
+    ingest = L.start_live_sink(L.event_time(s).withColumn("dt", F.to_date("ts")), out, L.FACTS, _unique("ingest"),
+                               {"availableNow": True}, ["dt"])
+    ingest.awaitTermination()
+    q = L.LatestStateTable(f"{out}/latest_state").start(L.event_time(s), name=_unique("state"), trigger={"availableNow": True})
+    q.awaitTermination()
+
+
+def _assets(df):
+    return sorted(r["asset_id"] for r in df.select("asset_id").collect())
+
+
+def test_history_survives_going_live(spark, scratch):
+    from frames import frames
+    out = os.path.join(scratch, "store")
+    history, _ = frames(spark, [_sample(1, 1), _sample(1, 2), _sample(1, 3)], [])
+    assert L.backfill(history, out)["written"]
+    _live(spark, [_sample(2, 1, "77")], out, scratch)
+    assert _assets(L.read_store(spark, out)) == [1, 1, 2, 3]
+    state = L.LatestStateTable(f"{out}/latest_state").current(spark)
+    assert {r["asset_id"]: str(r["cpu_usage"]) for r in state.collect()} == {1: "77.00", 2: "10.00", 3: "10.00"}
+    _live(spark, [_sample(3, 4)], out, scratch)  # a new checkpoint starts at epoch 0 again
+    assert _assets(L.LatestStateTable(f"{out}/latest_state").current(spark)) == [1, 2, 3, 4]
+    assert not L.backfill(history, out)["written"] and _assets(L.read_store(spark, out)) == [1, 1, 2, 3, 4]
+
+
+def test_backfill_refused_on_live_data_and_forced_replaces_history_only(spark, scratch):
+    from frames import frames
+    out = os.path.join(scratch, "store")
+    _live(spark, [_sample(2, 1)], out, scratch)
+    first, _ = frames(spark, [_sample(1, 2), _sample(5, 2)], [])
+    assert not L.backfill(first, out)["written"] and _assets(L.read_store(spark, out)) == [1]
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        assert L.backfill(first, out, force=True)["written"]
+        second, _ = frames(spark, [_sample(3, 7)], [])
+        assert L.backfill(second, out, force=True)["written"]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert _assets(L.read_store(spark, out)) == [1, 7]
+    assert _assets(L.LatestStateTable(f"{out}/latest_state").current(spark)) == [1, 7]

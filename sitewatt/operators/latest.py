@@ -5,55 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewatt.operators.sinks import last_wins
-
-
-# Inputs with at least this many files use the pruning plan ("semi"); smaller
-# ones take the single pass ("max_by"), whose fewer jobs win on small data.
-AUTO_SEMI_MIN_FILES = 256
-
-
-def choose_method(df: DataFrame) -> str:
-    """Size-based plan choice from the file listing Spark already holds for the
-    scan (no job): large file-backed facts -> ``semi``, small ones -> ``max_by``."""
-    try:
-        n = len(df.inputFiles())
-    except Exception:  # pragma: no cover - sources without a file listing
-        n = 0
-    return "semi" if n >= AUTO_SEMI_MIN_FILES else "max_by"
-
 
 def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
-                   method: str = "auto", partition_col: str | None = None) -> DataFrame:
+                   method: str = "max_by", partition_col: str | None = None) -> DataFrame:
     """Newest row per key (``DISTINCT ON (key) ... ORDER BY key, ts DESC``).
 
-    ``max_by``: one pass, partial aggregation per map task, so only one row per
-    key and input partition crosses the shuffle; safe under hot keys.
-    ``semi``: ``max(ts)`` per key (hash aggregate over two columns), then a
-    left-semi join of the fact on ``(key, ts)``; reads the fact twice but never
-    sorts it; the oldest per-key maximum bounds the second read (a pushed Parquet
+    One contract for both plans: one row per key, a null key is a key, a null
+    ``order`` comes before all others, rows that tie on ``order`` are decided by their
+    largest column values in the input's column order. The plan is the caller's choice
+    and never changes the result.
+
+    ``max_by`` (default): one pass, partial aggregation per map task, so only one row
+    per key and input partition crosses the shuffle; safe under hot keys.
+    ``semi``: ``max(order)`` per key (hash aggregate over two columns), then a
+    left-semi join of the fact on key and order, and the same selection among the few
+    rows left; the oldest per-key maximum bounds the second read (a pushed Parquet
     filter, and with ``partition_col``, the date of ``order``, a partition
-    filter), so full rows are read only from recent data. Both need
-    ``(key, ts)`` to be unique, as the fact's key guarantees, and return the
-    input's columns. ``auto`` (default) picks ``semi`` for file-backed inputs of
-    at least ``AUTO_SEMI_MIN_FILES`` files and ``max_by`` otherwise.
+    filter), so full rows are read only from recent data.
     """
     keys = list(keys)
-    if method == "auto":
-        method = choose_method(df)
-    if method == "max_by":
-        return last_wins(df, keys, order)
+    if method not in ("max_by", "semi"):
+        raise ValueError(f"unknown method {method!r}")
+    rows = df
     if method == "semi":
-        newest = df.groupBy(*keys).agg(F.max(order).alias(order))
+        newest = df.groupBy(*keys).agg(F.max(order).alias("_newest"))
+        newest = newest.select("_newest", *[F.col(k).alias(f"_key_{k}") for k in keys])
         # No key's newest row is older than the oldest of them: rows before that
         # bound cannot qualify, and on date-partitioned facts the bound prunes
         # partitions before the semi join.
-        bound = newest.agg(F.min(order)).scalar()
-        recent = df.where(F.col(order) >= bound)
+        bound = newest.agg(F.min("_newest")).scalar()
+        rows = df.where((F.col(order) >= bound) | F.col(order).isNull())
         if partition_col:
-            recent = recent.where(F.col(partition_col) >= F.to_date(bound))
-        return recent.join(newest, keys + [order], "left_semi").select(*df.columns)
-    raise ValueError(f"unknown method {method!r}")
+            rows = rows.where((F.col(partition_col) >= F.to_date(bound)) | F.col(partition_col).isNull())
+        on = F.col(order).eqNullSafe(F.col("_newest"))
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        rows = rows.join(newest, on, "left_semi")
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    packed = F.struct(F.col(order), *[F.col(c) for c in rest])
+    return (rows.groupBy(*keys).agg(F.max(packed).alias("_row"))
+            .select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]))
 
 
 def latest_row(df: DataFrame, order: str = "ts") -> DataFrame:

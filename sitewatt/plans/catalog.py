@@ -34,7 +34,7 @@ class Ctx:
     ``spark.checkpoint.dir`` (date-partitioned, see ``materialize_model``) and
     read back; other fixture tables stay lazy projections of the driver tables."""
 
-    LATEST_METHOD = "auto"
+    LATEST_METHOD = "max_by"
 
     def __new__(cls, spark: SparkSession, sf_dir: str):
         key = (id(spark), spark.sparkContext.applicationId, sf_dir)

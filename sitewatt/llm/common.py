@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitewatt.session import checkpoint_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,12 +17,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor repeats the reading of files, not the
-    work before. Shuffle files of the finished step are given free by letting
-    the driver collect its garbage.
+    work before. The step's shuffle files go when it is written (nothing runs its
+    plan again), the rest when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

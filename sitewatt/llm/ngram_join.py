@@ -7,8 +7,10 @@ global order). Documents link when 100 * intersection >= percent * union.
 at most d = (a + b)(100 - percent) / (100 + percent) elements. Dealing elements to
 d + 1 parts by hash leaves at least one part equal in both, so linked sets share
 the hash of a part (part counts depend on a size class; a set near a class's lower
-end also takes part in the class below). Nodes that share a part hash form
-candidate groups; everything else is out without being compared.
+end also takes part in the class below). A candidate group belongs to the smallest
+node of some part hash and holds every node that shares such a part with it, so all
+nodes of a part are in one group and no group grows by chains of parts. Everything
+else is out without being compared.
 
 *Join.* Within a candidate group sets are stored in a trie (common prefixes once). Each
 set walks the trie with the overlap so far, shared by all sets below a branch;
@@ -16,7 +18,7 @@ a branch is left when its lengths cannot fit or when the overlap plus what can s
 follow (on either side) cannot reach the threshold. Sets already connected are not
 compared again, so a group of near copies costs a row of links, not all pairs.
 Groups of more than BLOCK nodes are joined in salted blocks, each with the group's
-PIVOTS pivot nodes, which tie the blocks together; only pieces still apart are
+smallest node and PIVOTS others, which tie the blocks together; only pieces still apart are
 compared across blocks.
 
 Defined cases: null text or text without words has an empty set, linked with
@@ -135,22 +137,14 @@ def _sig_rows(n: int, percent: int):
     return work
 
 
-def _with_sets(docs: DataFrame, dealt: DataFrame, n: int) -> DataFrame:
-    """``dealt`` (node and any long columns) with the elements of each node's texts."""
-    keys = [c for c in dealt.columns if c != "node"]
+def _with_texts(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``dealt`` (node and any long columns) with the texts of each node.
 
-    def work(batches):
-        for b in batches:
-            *given, texts = b.columns
-            for first, data, offsets in tc.chunks(texts):
-                row, h = shingle_sets(data, offsets, n)
-                ends = np.searchsorted(row, np.arange(len(offsets)))
-                sets = [h[i:j].astype(">u8").tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*[g.slice(first, len(sets)) for g in given], pa.array(sets, pa.binary())],
-                                                 names=["node", *keys, "elements"])
-
-    rows = docs.join(dealt.withColumnRenamed("node", "doc").hint("shuffle_hash"), "doc").select("doc", *keys, "text")
-    return rows.mapInArrow(work, ", ".join(f"{c} long" for c in ["node", *keys]) + ", elements binary")
+    Groups receive texts, not sets: a text is smaller than its elements.
+    """
+    keys = [c for c in dealt.columns if c != "node"]
+    rows = docs.join(dealt.withColumnRenamed("node", "doc").hint("shuffle_hash"), "doc")
+    return rows.select(F.col("doc").alias("node"), *keys, "text")
 
 
 class _Trie:
@@ -246,9 +240,12 @@ def trie_join(ids: list, sets: list[np.ndarray], percent: int, same: list | None
     return links
 
 
-def _join_group(percent: int, labelled: bool):
+def _join_group(n: int, percent: int, labelled: bool):
     def work(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(s, ">u8").astype(np.uint64) for s in table["elements"].to_pylist()]
+        sets = []
+        for _, data, offsets in tc.chunks(table["text"]):
+            row, h = shingle_sets(data, offsets, n)
+            sets += np.split(h, np.searchsorted(row, np.arange(1, len(offsets) - 1)))
         links = trie_join(table["node"].to_pylist(), sets, percent, table["label"].to_pylist() if labelled else None)
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
     return work
@@ -297,21 +294,21 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     sigs = keyed.select("text").mapInArrow(_sig_rows(n, percent), "sig long, set long")
     shared = sigs.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high")
     shared = materialize(shared.select("sig", "low"), "ngram-shared")
-    pairs = (sigs.join(shared, "sig").filter("set <> low").select(F.col("low").alias("u"), F.col("set").alias("v")).distinct())
-    cand = components(pairs, "ngram-cand")
-    member = reps.join(cand.select(F.col("node").alias("h1"), F.col("label").alias("cand")), "h1").select("node", "cand")
-    member = materialize(member.distinct(), "ngram-members")
-    sizes = member.groupBy("cand").agg(F.count("*").alias("size"), F.array_compact(F.array(*[
-        F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)])).alias("pivots"))
+    star = sigs.join(shared, "sig").select(F.col("low").alias("cand"), F.col("set").alias("h1")).distinct()
+    member = materialize(reps.join(star, "h1").select("node", "cand", (F.col("h1") == F.col("cand")).alias("low")), "ngram-members")
+    sizes = member.groupBy("cand").agg(F.count("*").alias("size"), F.array_distinct(F.array_compact(F.array(
+        F.min(F.when(F.col("low"), F.col("node"))),
+        *[F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)]))).alias("pivots"))
     sizes = materialize(sizes, "ngram-groups")
-    links = (_with_sets(keyed, _in_blocks(member, sizes), n).groupBy("cand", "salt")
-             .applyInArrow(_join_group(percent, False), "u long, v long"))
+    member = member.drop("low")
+    links = (_with_texts(keyed, _in_blocks(member, sizes)).groupBy("cand", "salt")
+             .applyInArrow(_join_group(n, percent, False), "u long, v long"))
     links = materialize(links, "ngram-links")
     large = sizes.filter(F.col("size") > BLOCK).select("cand")
     if not large.isEmpty():  # else every group was one block: all its links are found
         big = _labels(member.join(large, "cand", "left_semi"), links)
-        far = (_with_sets(keyed, _across(big), n).groupBy("cand", "o", "p")
-               .applyInArrow(_join_group(percent, True), "u long, v long"))
+        far = (_with_texts(keyed, _across(big)).groupBy("cand", "o", "p")
+               .applyInArrow(_join_group(n, percent, True), "u long, v long"))
         links = materialize(links.union(far), "ngram-links")
 
     nodes = rows.filter("size > 0").join(reps, ["h1", "h2"])

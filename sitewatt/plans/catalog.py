@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sitewatt.operators import alerts as A
 from sitewatt.operators.latest import latest_per_key
 from sitewatt.session import checkpoint_dir
-from sitewatt.sources.fixture import Fixture, materialize_model
+from sitewatt.sources.fixture import MODEL_TABLES, Fixture, input_signature, materialize_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,8 +37,10 @@ class Ctx:
     LATEST_METHOD = "max_by"
 
     def __new__(cls, spark: SparkSession, sf_dir: str):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, input_signature(spark, sf_dir, MODEL_TABLES))
         with _LOCK:  # one materialisation per key even when queries run in threads
+            for old in [k for k in _VIEWS if k[:3] == key[:3] and k != key]:
+                del _VIEWS[old]  # a replaced table: views, as_of and memo go together
             return cls._get(spark, sf_dir, key)
 
     @classmethod
@@ -64,8 +66,14 @@ class Ctx:
 
     @property
     def latest(self) -> DataFrame:
-        return self._once("latest", lambda: latest_per_key(
-            self.tm_stored, ["asset_id"], "ts", self.LATEST_METHOD, partition_col="dt").drop("dt"))
+        return self.latest_of(*[c for c in self.tm.columns if c not in ("ts", "asset_id")])
+
+    def latest_of(self, *columns: str) -> DataFrame:
+        """Latest row per asset with only the ``columns`` a panel needs: the
+        aggregate's struct would otherwise keep the scan from being pruned."""
+        facts = self.tm_stored.select("ts", "asset_id", *columns, "dt")
+        return self._once(("latest", columns), lambda: latest_per_key(
+            facts, ["asset_id"], "ts", self.LATEST_METHOD, partition_col="dt").drop("dt"))
 
     @property
     def as_of(self):
@@ -129,7 +137,7 @@ def q_site_summary(spark, sf_dir):
 def _stat(column, fn, digits, **scope_args):
     def run(spark, sf_dir):
         c = Ctx(spark, sf_dir)
-        return R.scoped_stat(c.latest, c.assets, column, fn, digits, as_of=c.as_of, **scope_args)
+        return R.scoped_stat(c.latest_of(column), c.assets, column, fn, digits, as_of=c.as_of, **scope_args)
     return run
 
 
@@ -146,31 +154,31 @@ QUERIES["avg_cpu_rack_scope"] = _stat("cpu_usage", "avg", 1, room=SCOPE_ROOM, ra
 @query("rack_power")
 def q_rack_power(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.rack_power(c.latest, c.assets)
+    return R.rack_power(c.latest_of("power_w"), c.assets)
 
 
 @query("rack_power_room_scope")
 def q_rack_power_room(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.rack_power(c.latest, c.assets, room=SCOPE_ROOM)
+    return R.rack_power(c.latest_of("power_w"), c.assets, room=SCOPE_ROOM)
 
 
 @query("rack_stress")
 def q_rack_stress(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.rack_stress(c.latest, c.assets)
+    return R.rack_stress(c.latest_of("cpu_usage", "outlet_temp_c"), c.assets)
 
 
 @query("rack_carbon")
 def q_rack_carbon(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.rack_carbon(c.latest, c.assets)
+    return R.rack_carbon(c.latest_of("carbon_kg"), c.assets)
 
 
 @query("footprint")
 def q_footprint(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.footprint(c.latest, c.assets)
+    return R.footprint(c.latest_of("power_w", "carbon_kg"), c.assets)
 
 
 @query("assets_in_scope")
@@ -188,7 +196,7 @@ def q_assets_in_room(spark, sf_dir):
 @query("high_carbon_assets")
 def q_high_carbon(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return R.high_carbon_count(c.latest, c.assets, 0.018, as_of=c.as_of)
+    return R.high_carbon_count(c.latest_of("carbon_kg"), c.assets, 0.018, as_of=c.as_of)
 
 
 @query("alert_count")
@@ -319,8 +327,19 @@ def q_forecast_6h_room(spark, sf_dir):
     return TS.forecast(c.tm_stored, c.assets, c.as_of, "6 hours", room=SCOPE_ROOM, partition_col="dt")
 
 
+def _kpi_stored(c: Ctx) -> DataFrame:
+    """The KPI snapshot table, written once per content of the inputs: its readers
+    never scan the facts."""
+    def build():
+        from sitewatt.sources.fixture import materialize_derived
+        spark = c.tm.sparkSession
+        return materialize_derived(spark, c.fx.sf_dir, checkpoint_dir(spark), "sustainability_kpi_snapshots",
+                                   lambda: KPI.kpi_snapshots(c.tm).withColumn("dt", F.to_date("ts")), "dt")
+    return c._once("kpi", build)
+
+
 def _kpi(c: Ctx) -> DataFrame:
-    return c._once("kpi", lambda: KPI.kpi_snapshots(c.tm))
+    return _kpi_stored(c).drop("dt")
 
 
 def _latest_kpi(c: Ctx) -> DataFrame:
@@ -407,7 +426,7 @@ SELECTED_SOURCE = "Supplier#000000001"
 
 
 def _freshness(c: Ctx) -> DataFrame:
-    return c._once("freshness", lambda: REG.source_freshness(c.fx.sources, c.latest))
+    return c._once("freshness", lambda: REG.source_freshness(c.fx.sources, c.tm.select("ts")))
 
 
 @query("source_freshness")

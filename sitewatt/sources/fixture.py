@@ -27,7 +27,10 @@ PHASES = ["baseline", "running", "scheduler", "gpu_training", "fpga_inference",
 
 # Bump when the derivation or the stored layout changes: stored copies are keyed
 # on it and on the input files, so an older copy is never reused.
-MODEL_VERSION = 4
+MODEL_VERSION = 5
+
+#: Tables the registered views are derived from; their content keys stored copies and views.
+MODEL_TABLES = ["events", "customer", "nation", "region"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,7 +185,7 @@ def load_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return Fixture(spark, sf_dir)
 
 
-def _input_signature(spark: SparkSession, sf_dir: str, names) -> str:
+def input_signature(spark: SparkSession, sf_dir: str, names) -> str:
     """Content key of the input tables (file paths, sizes, modification times),
     read through the Hadoop FileSystem so shared storage works as well."""
     import hashlib
@@ -211,29 +214,36 @@ def materialize_model(spark: SparkSession, sf_dir: str, base: str) -> dict[str,
     This is the stored layout the operators are designed for; it also cuts the
     derivation's lineage, so later jobs neither re-run nor re-plan it."""
     fx = Fixture(spark, sf_dir)
-    key = f"v{MODEL_VERSION}-" + _input_signature(spark, sf_dir, ["events", "customer", "nation", "region"])
+    key = f"v{MODEL_VERSION}-" + input_signature(spark, sf_dir, MODEL_TABLES)
     root = f"{base.rstrip('/')}/sitewatt-model/{key}"
     tm_path, as_path = f"{root}/telemetry_metrics", f"{root}/assets"
     if not _exists(spark, f"{tm_path}/_SUCCESS"):
         # Range partitioning on ts gives every task a contiguous time slice, so
         # each writes few, ts-sorted files, and a busy day is split over many
-        # tasks instead of landing in one (as hash partitioning by date would).
+        # tasks instead of landing in one (as hash partitioning by date would);
+        # the asset splits a timestamp that a whole fleet shares.
         # The derivation is checkpointed (reliably, under spark.checkpoint.dir)
         # first: range partitioning samples its input, which would otherwise
         # recompute the whole derivation, de-duplication shuffle included.
         derived = fx.telemetry.withColumn("dt", F.to_date("ts")).checkpoint(eager=True)
-        (derived.repartitionByRange("ts").sortWithinPartitions("ts")
+        (derived.repartitionByRange("ts", "asset_id").sortWithinPartitions("ts")
          .write.mode("overwrite").partitionBy("dt").parquet(tm_path))
     if not _exists(spark, f"{as_path}/_SUCCESS"):
         fx.assets.write.mode("overwrite").parquet(as_path)
     return {"telemetry_metrics": spark.read.parquet(tm_path), "assets": spark.read.parquet(as_path)}
 
 
-def materialize_derived(spark: SparkSession, sf_dir: str, base: str, name: str, build) -> DataFrame:
+def materialize_derived(spark: SparkSession, sf_dir: str, base: str, name: str, build,
+                        partition_col: str | None = None) -> DataFrame:
     """Write a table Spark derives from the stored model once (keyed like the
     model) and read it back; ``build`` returns the DataFrame to store."""
-    key = f"v{MODEL_VERSION}-" + _input_signature(spark, sf_dir, ["events", "customer", "nation", "region"])
+    key = f"v{MODEL_VERSION}-" + input_signature(spark, sf_dir, MODEL_TABLES)
     path = f"{base.rstrip('/')}/sitewatt-model/{key}/{name}"
     if not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        rows = build()
+        if partition_col:  # equal dates meet, so each day has few files
+            rows = rows.repartition(partition_col)
+            rows.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewatt.operators.joins import checked_broadcast
 from sitewatt.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 
 
@@ -31,18 +30,15 @@ def check_fk(child: DataFrame, parent: DataFrame, child_cols, parent_cols=None)
     """Child rows whose reference has no parent row (null references excluded,
     as SQL foreign keys allow them).
 
-    Orphan *keys* are found first over distinct child keys (partial
-    aggregation, so a key holding a large share of the rows costs one row per
-    task), then the orphan rows are fetched by a semi join; the orphan-key side
-    is broadcast only when its size is proven small."""
+    One anti join against the distinct parent keys: the child is read once, and
+    Spark broadcasts the key side by its size or splits a skewed join."""
     child_cols = list(child_cols)
     parent_cols = list(parent_cols or child_cols)
     c = child
     for cc in child_cols:
         c = c.where(F.col(cc).isNotNull())
     p = parent.select(*[F.col(pc).alias(cc) for pc, cc in zip(parent_cols, child_cols)]).distinct()
-    orphan_keys = c.select(*child_cols).distinct().join(p, child_cols, "left_anti")
-    return c.join(checked_broadcast(orphan_keys), child_cols, "left_semi")
+    return c.join(p, child_cols, "left_anti")
 
 
 def check_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

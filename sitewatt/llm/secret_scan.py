@@ -1,8 +1,10 @@
 """Secret scans: base patterns and dictionary-primed zstandard novelty.
 
-Base spans are fixed patterns. The method adds ``novel`` spans: every long token
-in a sensitive context (a keyword shortly before it) is measured by its marginal
-compressed size. The compressor is primed with a raw dictionary made of the
+Base spans are fixed patterns. The method adds ``novel`` spans: every token of
+MIN_TOKEN or more in a sensitive context (a keyword within SURROUND code points on
+either side, or in a run of adjacent long tokens one of which has such a keyword: the
+lines of a key, dotted or wrapped parts) is measured, whatever its characters, by its
+marginal compressed size; what base spans cover of a token is left out. The compressor is primed with a raw dictionary made of the
 identifier dictionary and the code around the candidate; the marginal size is
 what the frame grows by when the candidate is added to an empty one. Names,
 words and repeated code cost little, random strings cost nearly all their
@@ -36,9 +38,10 @@ MIN_ASSIGN, MIN_HEX = 6, 24
 CONTEXT = re.compile(r"(?:passw|secret|token|api_?key|credential|private|auth|bearer|signature|access_?key|client_?id)", re.I | re.A)
 CONTEXT_HINTS = ASSIGN_HINTS + (b"credential", b"private", b"auth", b"bearer", b"signature", b"accesskey", b"access_key",
                                 b"clientid", b"client_id")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH = 48          # code points between a keyword and its token
-SURROUND = 400      # code points of code on either side that prime the compressor
+MIN_TOKEN = 16
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
+GAP = re.compile(r"(?:\\[nrt]|[\W_])*")  # between tokens of one run: line ends, dots, quotes, operators
+SURROUND = 400      # code points on either side: they hold the keyword and prime the compressor
 MIN_RATIO = 0.62    # marginal compressed bytes per byte of the candidate
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key client_id client_secret private_key public_key authorization "
@@ -69,24 +72,37 @@ def novelty(candidate: bytes, before: bytes, after: bytes, level: int = 3) -> fl
     return (len(z.compress(candidate + tail)) - len(z.compress(tail))) / max(1, len(candidate))
 
 
-def _novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    found = []
-    words = [m.end() for m in CONTEXT.finditer(text)]
+def _candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Long tokens, without the base spans in them, that a keyword or their run makes suspicious."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
     if not words:
-        return found
-    at = np.array(words)
-    for m in TOKEN.finditer(text):
-        s, e = m.span()
-        k = int(np.searchsorted(at, s, "right")) - 1
-        if k < 0 or s - at[k] > REACH or any(a < e and s < b for a, b in taken):
-            continue
-        token = m.group()
-        if not (re.search(r"\d", token) and re.search(r"[A-Za-z]", token)):
+        return []
+    starts, ends = np.array(words).T
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    near = [bool(np.searchsorted(ends, e + SURROUND, "right") > np.searchsorted(starts, s - SURROUND)) for s, e in tokens]
+    run = [0] * len(tokens)
+    for i in range(1, len(tokens)):
+        run[i] = run[i - 1] + (not GAP.fullmatch(text, tokens[i - 1][1], tokens[i][0]))
+    sensitive = {r for r, x in zip(run, near) if x}
+    out, taken, k = [], sorted(taken), 0
+    for (s, e), r in zip(tokens, run):
+        if r not in sensitive:
             continue
-        ratio = novelty(token.encode(), text[max(0, s - SURROUND):s].encode(), text[e:e + SURROUND].encode())
-        if ratio >= MIN_RATIO:
-            found.append((s, e))
-    return found
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        j = k
+        while j < len(taken) and taken[j][0] < e:
+            if taken[j][0] - s >= MIN_TOKEN:
+                out.append((s, taken[j][0]))
+            s, j = max(s, taken[j][1]), j + 1
+        if e - s >= MIN_TOKEN:
+            out.append((s, e))
+    return out
+
+
+def _novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(s, e) for s, e in _candidates(text, taken) if MIN_RATIO <= novelty(
+        text[s:e].encode(), text[max(0, s - SURROUND):s].encode(), text[e:e + SURROUND].encode())]
 
 
 def scan(text: str, data: bytes, hex_runs) -> dict[str, list[tuple[int, int]]]:

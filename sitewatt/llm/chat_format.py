@@ -4,10 +4,14 @@ States are roles. A turn's lines are observed by features (speaker marker, lengt
 character, number of lines); the role is kept within a turn, so a turn is one step whose
 log-likelihoods add up over its lines. Start, transition and emission tables are smoothed
 counts of at most ``max_rows`` labelled turns (of the conversations with the smallest
-hashed ids). Viterbi is run in chunks of ``CHUNK`` turn numbers, so a conversation
-of any length is spread over tasks: each chunk becomes a max-plus matrix (best
-path from the state before it to its last state); the few matrices of a
-conversation are chained; each chunk is then decoded between its known border states.
+hashed ids). Viterbi is run in chunks of ``CHUNK`` positions, so a conversation
+of any length, with any turn numbers, is spread over tasks: each chunk becomes a
+max-plus matrix (best path from the state before it to its last state); the matrices
+of a conversation are chained; each chunk is then decoded between its known border
+states. Positions come from counts: rows that agree in conversation, turn and text are
+counted, dealt by ranges of that order and numbered within a range from the counts of
+the ranges before. Equal rows are interchangeable, so only how many of them get a role
+matters, and no task holds or orders all of them.
 
 Turns render as ``<|role|>``, the text without its speaker marker, ``<|end|>``.
 
@@ -23,9 +27,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewatt.llm.common import materialize
+
 ROLES = ("system", "user", "assistant")
 MARKERS = {"system": "system", "sys": "system", "user": "user", "human": "user", "q": "user", "question": "user",
            "assistant": "assistant", "bot": "assistant", "ai": "assistant", "a": "assistant", "answer": "assistant"}
@@ -34,6 +41,7 @@ LINE_KINDS = 4 * 16 * 4
 TURN_KINDS = 16 * 8
 CHUNK = 512
 MAX_ROWS = 20_000
+SEEN = ["system_seen", "user_seen", "assistant_seen"]
 
 
 def observe(text: str | None) -> tuple[int, list[int]]:
@@ -82,20 +90,18 @@ def train(turns: DataFrame, max_rows: int = MAX_ROWS) -> dict[str, np.ndarray]:
 def _likelihoods(model):
     def work(batches):
         for b in batches:
-            rows = []
-            for t in b.column(b.num_columns - 1).to_pylist():
+            seen = np.zeros((b.num_rows, 3))
+            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 k, lines = observe(t)
-                rows.append(model["kind"][:, k] + model["line"][:, lines].mean(axis=1))
-            flat = pa.array(np.concatenate(rows) if rows else np.zeros(0), pa.float64())
-            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 3)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(ends, flat)],
-                                             names=b.schema.names[:-1] + ["seen"])
+                seen[i] = model["kind"][:, k] + model["line"][:, lines].mean(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, seen.T.copy())], names=b.schema.names[:-1] + SEEN)
     return work
 
 
 def _ordered(table: pa.Table):
-    table = table.sort_by([("turn", "ascending"), ("th", "ascending")])
-    return table, np.array(table["seen"].to_pylist()).reshape(-1, 3)
+    """A chunk's runs of equal turns in order, and the log-likelihoods of each of its turns."""
+    table = table.sort_by("at")
+    return table, np.repeat(np.column_stack([table[c].to_numpy() for c in SEEN]), table["times"].to_numpy(), axis=0)
 
 
 def _chunk_matrix(model):
@@ -115,7 +121,7 @@ def _chunk_matrix(model):
 def _chain(table: pa.Table) -> pa.Table:
     """State before and at the end of each chunk of one conversation."""
     table = table.sort_by("chunk")
-    m = np.array(table["m"].to_pylist()).reshape(-1, 4, 3)
+    m = pc.list_flatten(table["m"]).to_numpy().reshape(-1, 4, 3)
     best, back = [m[0, 3]], []
     for x in m[1:]:
         step = best[-1][:, None] + x[:3]
@@ -132,7 +138,7 @@ def _chain(table: pa.Table) -> pa.Table:
 
 
 def _decode(model):
-    """Roles of a chunk's turns between its border states."""
+    """How many turns of each run of a chunk get which role, between its border states."""
     def work(table: pa.Table) -> pa.Table:
         table, seen = _ordered(table)
         before, end = table["before"][0].as_py(), table["end"][0].as_py()
@@ -145,20 +151,47 @@ def _decode(model):
         path = [end]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
-        return table.select(["conv", "turn", "th"]).append_column("role", pa.array([ROLES[s] for s in reversed(path)]))
+        run = np.repeat(np.arange(table.num_rows), table["times"].to_numpy())
+        times = np.bincount(run * 3 + path[::-1], minlength=table.num_rows * 3)
+        some = np.flatnonzero(times)
+        return (table.select(["conv", "turn", "th", "salt"]).take(some // 3)
+                .append_column("role", pa.array([ROLES[s] for s in some % 3])).append_column("times", pa.array(times[some])))
     return work
 
 
 def _render(batches):
     for b in batches:
-        *carried, roles, texts = b.columns
+        *carried, roles, times, texts = b.columns
         out = []
         for role, text in zip(roles.to_pylist(), texts.to_pylist()):
             lines = (text or "").split("\n")
             m = MARKER.match(lines[0])
             lines[0] = lines[0][m.end():] if m else lines[0]
             out.append(f"<|{role}|>\n" + "\n".join(lines) + "\n<|end|>")
-        yield pa.RecordBatch.from_arrays([*carried, roles, pa.array(out, pa.string())], names=b.schema.names[:-1] + ["rendered"])
+        yield pa.RecordBatch.from_arrays([*carried, roles, times, pa.array(out, pa.string())], names=b.schema.names[:-1] + ["rendered"])
+
+
+def _chunks(seen: DataFrame) -> DataFrame:
+    """Runs of equal turns with their position ``at``, cut at borders of CHUNK positions."""
+    key = ["conv", "turn", "th"]
+    runs = seen.groupBy(*key).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in SEEN])
+    # Written, so that both passes see the same ranges.
+    runs = materialize(runs.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "chat-runs")
+    before = lambda *by: F.sum("n").over(Window.partitionBy(*by[0]).orderBy(*by[1])) - F.col("n")
+    parts = runs.groupBy("conv", "part").agg(F.sum("n").alias("n"))  # one row a range
+    parts = parts.select("conv", "part", before(["conv"], ["part"]).alias("start"))
+    placed = runs.withColumn("own", before(["conv", "part"], ["turn", "th"])).join(parts, ["conv", "part"])
+    placed = placed.withColumn("first", F.col("start") + F.col("own")).withColumn("end", F.col("first") + F.col("n"))
+    chunk = F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor((F.col("end") - 1) / CHUNK))).alias("chunk")
+    at = F.greatest("first", F.col("chunk") * CHUNK)
+    return placed.select(*key, "n", "first", "end", *SEEN, chunk).select(
+        *key, "chunk", at.alias("at"), (F.least("end", (F.col("chunk") + 1) * CHUNK) - at).alias("times"),
+        F.pmod("chunk", _salts()).alias("salt"), *SEEN)
+
+
+def _salts():
+    """Into how many parts the ``n`` equal turns of a run are dealt when they get their text."""
+    return F.floor(F.col("n") / CHUNK) + 1
 
 
 def chat_format(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -166,20 +199,19 @@ def chat_format(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     keyed = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("conv"),
                          F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn"),
                          F.xxhash64("text").alias("th"), "text")
-    keyed = keyed.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
-    rows = keyed.select("conv", "turn", "th", "chunk", "text").mapInArrow(
-        _likelihoods(model), "conv long, turn long, th long, chunk long, seen array<double>")
-    matrix = rows.groupBy("conv", "chunk").applyInArrow(_chunk_matrix(model), "conv long, chunk long, m array<double>")
+    chunks = _chunks(keyed.mapInArrow(_likelihoods(model), "conv long, turn long, th long, " + ", ".join(f"{c} double" for c in SEEN)))
+    matrix = chunks.groupBy("conv", "chunk").applyInArrow(_chunk_matrix(model), "conv long, chunk long, m array<double>")
     border = matrix.groupBy("conv").applyInArrow(_chain, "conv long, chunk long, before long, end long")
-    roles = (rows.join(border, ["conv", "chunk"]).groupBy("conv", "chunk")
-             .applyInArrow(_decode(model), "conv long, turn long, th long, role string"))
-    # Rows that agree in conversation, turn and text may get different roles: number them.
-    number = F.row_number().over(Window.partitionBy("conv", "turn", "th").orderBy("k"))
-    a = roles.withColumn("k", F.col("role")).withColumn("i", number).drop("k")
-    b = keyed.withColumn("k", F.lit(0)).withColumn("i", number).select("conv", "turn", "th", "i", "text")
+    roles = (chunks.join(border, ["conv", "chunk"]).groupBy("conv", "chunk")
+             .applyInArrow(_decode(model), "conv long, turn long, th long, salt long, role string, times long"))
+    texts = keyed.groupBy("conv", "turn", "th").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    texts = texts.select("conv", "turn", "th", "text", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)).alias("salt"))
     back = lambda c, v: F.when(F.col(c) != F.lit(v), F.col(c)).alias("conv_id" if c == "conv" else c)
-    joined = b.join(a, ["conv", "turn", "th", "i"]).select(back("conv", -(1 << 63)), back("turn", (1 << 63) - 1), "role", "text")
-    return joined.mapInArrow(_render, "conv_id long, turn long, role string, rendered string")
+    joined = texts.join(roles, ["conv", "turn", "th", "salt"]).select(
+        back("conv", -(1 << 63)), back("turn", (1 << 63) - 1), "role", "times", "text")
+    shown = joined.mapInArrow(_render, "conv_id long, turn long, role string, times long, rendered string")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("i")
+    return shown.select("conv_id", "turn", "role", "rendered", each).drop("i")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -264,6 +264,37 @@ def test_chat_format(spark, monkeypatch):
     assert shown == 0 and chat_format.chat_format(df.limit(0), model).count() == 0
 
 
+def test_chat_format_holds_no_more_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "CHUNK", 4)
+    chunk_matrix = chat_format._chunk_matrix
+
+    def guarded(model):
+        f = chunk_matrix(model)
+
+        def work(table):
+            assert table.num_rows <= 4
+            return f(table)
+        return work
+
+    monkeypatch.setattr(chat_format, "_chunk_matrix", guarded)
+    r = random.Random(10)
+    shown = lambda t: ("x" * (20, 200)[(t or 0) % 2] + ".")
+    rows = [(1, t, "assistant" if t % 2 else "user", shown(t)) for t in range(6)] * 30
+    rows += [(1, None, None, "y" * r.randint(1, 300)) for _ in range(60)] + [(2, 3, None, "z%d" % i) for i in range(50)]
+    rows += [(None, r.choice([None, 1, 1 << 40]), None, shown(i)) for i in range(100)] + [(3, -5, "user", "q?"), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat_format.train(df)
+    want = Counter()
+    hashed = [tuple(x) for x in df.selectExpr("conv_id", "turn", "xxhash64(text)", "text").collect()]
+    for c in {x[0] for x in hashed}:
+        own = sorted((x for x in hashed if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2]))
+        seen = [model["kind"][:, k] + model["line"][:, ls].mean(axis=1) for k, ls in (chat_format.observe(x[3]) for x in own)]
+        for x, s in zip(own, _viterbi(model, np.array(seen))):
+            role = chat_format.ROLES[s]
+            want[c, x[1], role, f"<|{role}|>\n{x[3] or ''}\n<|end|>"] += 1
+    assert Counter(tuple(x) for x in chat_format.chat_format(df.repartition(5), model).collect()) == want
+
+
 def test_sampled_pieces(docs_of):
     rows = ROWS + [(70, "a  b\n\n c ▁x <s> é漢字🙂 \x00 <0x41>"), (None, "null key")]
     pieces = sampled_pieces.encode_sampled(docs_of(rows), seed=9)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewatt.llm import textcodes as tc
-from sitewatt.llm.common import materialize
+from sitewatt.llm.common import WORD, materialize
 from sitewatt.llm.components import components
 
 BLOCK = 256
@@ -328,7 +328,17 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group (5-word shingles, 0.8) the row of the smallest id stays."""
-    found = ngram_join(docs, n=5, percent=80).filter("doc = component").select("doc").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.withColumn("__doc", key).join(found.withColumnRenamed("doc", "__doc"), "__doc", "left_semi").drop("__doc")
+    """Pipeline stage: of each group (5-word shingles, 0.8) the row of the smallest id (null first), then text hash, stays.
+
+    A document is an (id, text) here: texts that share an id are not one document, copies
+    of a row are; rows without id and words are documents of their own.
+    """
+    alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    rows = docs.filter(~alone).withColumn("__row", row)
+    found = ngram_join(rows, "__row", n=5, percent=80).select(F.col("doc").alias("__row"), "component").distinct()
+    own = rows.select("__row", F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).distinct()
+    first = own.join(found, "__row").groupBy("component").agg(F.min(F.struct("id", "th", "__row")).alias("first"))
+    one = rows.groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("one"))
+    kept = one.join(first.select("first.__row"), "__row", "left_semi").select("one.*")
+    return kept.unionByName(docs.filter(alone))

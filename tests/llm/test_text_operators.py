@@ -107,6 +107,24 @@ def test_ngram_join(docs_of, monkeypatch, n, percent, block, small):
         assert ngram_join.ngram_join(docs_of([])).count() == 0
 
 
+def test_ngram_stage_keeps_one_row_of_each_group(spark, docs_of):
+    near = next(t for d, t in ROWS if d == 50)
+    alone = [(None, None), (None, ""), (None, "")]
+    rows = [x for x in ROWS if x[0] != 60] + [(50, near)] * 3 + [(None, "lone words " * 9), (None, "lone words " * 9),
+                                              (None, "other text without an id"), (80, near), (80, ROWS[0][1]), (61, ""), (60, None)]
+    distinct = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    groups = {}
+    for i, _, c in cases.linked([(i, t) for i, (_, t) in enumerate(distinct)], 5, 80):
+        groups.setdefault(c, []).append(distinct[i])
+    got = Counter((r["doc_id"], r["text"]) for r in ngram_join.stage(spark, docs_of(rows + alone), "").collect())
+    assert got[None, None] == 1 and got[None, ""] == 2
+    kept = [x for x in got.elements() if x not in alone]
+    assert len(kept) == len(groups) and len(set(kept)) == len(kept)
+    for g in groups.values():
+        own = [x for x in g if x in kept]
+        assert len(own) == 1 and own[0][0] == min(g, key=lambda x: (x[0] is not None, x[0] or 0))[0]
+
+
 def test_signatures_lose_no_link():
     r = np.random.default_rng(2)
     for percent in (80, 90):

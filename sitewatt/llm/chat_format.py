@@ -1,8 +1,8 @@
 """Chat formatting: speaker roles recovered by a hidden Markov model, then rendered.
 
 States are roles. A turn's lines are observed by features (speaker marker, length, last
-character, number of lines); the role is kept within a turn, so a turn is one step whose
-log-likelihoods add up over its lines. Start, transition and emission tables are smoothed
+character, number of lines); a row is one turn and one step, its line evidence the mean
+of its lines' log-likelihoods: texts are not split where the speaker changes. Start, transition and emission tables are smoothed
 counts of at most ``max_rows`` labelled turns (of the conversations with the smallest
 hashed ids). Viterbi is run in chunks of ``CHUNK`` positions, so a conversation
 of any length, with any turn numbers, is spread over tasks: each chunk becomes a

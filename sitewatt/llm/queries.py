@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sitewatt.llm import (
     block_search,
+    bpe_fragments,
     chat_format,
     ngram_join,
     packing,
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_chat_format": chat_format.op9,
     "op10_sampled_pieces": sampled_pieces.op10,
+    "op13_bpe_fragments": bpe_fragments.op13,
 }
 ORACLE = {"op1_quality_rules": quality_rules.SQL}

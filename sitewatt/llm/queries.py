@@ -7,6 +7,7 @@ from sitewatt.llm import (
     bpe_fragments,
     chat_format,
     cover_codes,
+    interaction_audit,
     ngram_join,
     packing,
     quality_rules,
@@ -28,7 +29,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_chat_format": chat_format.op9,
     "op10_sampled_pieces": sampled_pieces.op10,
+    "op11_interaction_audit": interaction_audit.op11,
     "op12_cover_codes": cover_codes.op12,
     "op13_bpe_fragments": bpe_fragments.op13,
 }
-ORACLE = {"op1_quality_rules": quality_rules.SQL}
+ORACLE = {"op1_quality_rules": quality_rules.SQL, "op11_interaction_audit": interaction_audit.SQL}

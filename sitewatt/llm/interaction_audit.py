@@ -202,19 +202,15 @@ def mask_counters(spark: SparkSession, docs_path: str, labels: DataFrame | None
 
 def audit(counters: DataFrame) -> DataFrame:
     """Every order of the filters, step by step, for every part."""
-    bit = {f: 1 << i for i, f in enumerate(FILTERS)}
-    steps = []
-    for order in itertools.permutations(FILTERS):
-        before = 0
-        for k, f in enumerate(order):
-            steps.append(("".join(order), k + 1, before, bit[f]))
-            before |= bit[f]
-    literal = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(b).alias("before"), F.lit(f).alias("own"))
-                        for o, s, b, f in steps])
+    orders = F.lit(",".join(map("".join, itertools.permutations(FILTERS))))
     few = counters.groupBy("part", "mask").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("flags").bitwiseAND(1) != 0, F.col("n")).otherwise(0)).alias("good"),
         F.sum(F.when(F.col("flags").bitwiseAND(2) != 0, F.col("n")).otherwise(0)).alias("toxic"))
-    rows = few.select("*", F.inline(literal))
+    rows = (few.select("*", F.explode(F.split(orders, ",")).alias("filter_order"))
+            .select("*", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))).alias("step")))
+    place = [F.instr("filter_order", f) for f in FILTERS]
+    rows = rows.withColumns({"own": sum((F.when(p == F.col("step"), 1 << i).otherwise(0) for i, p in enumerate(place)), F.lit(0)),
+                             "before": sum((F.when(p < F.col("step"), 1 << i).otherwise(0) for i, p in enumerate(place)), F.lit(0))})
     earlier = F.col("mask").bitwiseAND(F.col("before")) != 0
     fails = F.col("mask").bitwiseAND(F.col("own")) != 0
     total = lambda when, what="n": F.sum(F.when(when, F.col(what)).otherwise(0)).cast("long")

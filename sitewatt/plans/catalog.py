@@ -545,12 +545,11 @@ def q_enriched(spark, sf_dir):
     time, enriched with the time-of-day emission factor, carbon and status."""
     c = Ctx(spark, sf_dir)
     s = raw_samples(c.fx.table("events"))
-    state = F.when(F.col("st") == 0, "maintenance").when(F.col("st") == 1, "standby").otherwise("running")
     measured = s.select(
         F.col("event_ts").alias("ts"), "asset_id", "event_id",
         (F.col("cpu_c") / 100).alias("cpu_usage"), (F.col("power_c") / 100).alias("power_w"),
         (F.col("inlet_c") / 100).alias("inlet_temp_c"), (F.col("outlet_c") / 100).alias("outlet_temp_c"),
-        state.alias("operational_state"))
+        F.col("state").alias("operational_state"))
     out = enrich_telemetry(measured.drop("event_id"), c.assets)
     return out.select(*[F.col(x).cast("double").alias(x) if x not in ("ts", "asset_id", "status_level", "operational_state")
                         else F.col(x) for x in out.columns])

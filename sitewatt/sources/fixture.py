@@ -5,8 +5,8 @@ source, orders -> workflow run, events -> telemetry samples. Everything here is
 lazy DataFrame over the given tables, so its work grows with them; the same
 mapping is written in SQL for the DuckDB oracle (``sitewatt.plans.oracle``).
 
-Integer arithmetic is used up to the final casts so that no rounding can differ
-between engines.
+Measures, states and phases are derived from the tables' own columns. Integer
+arithmetic is used up to the final casts so that no rounding can differ between engines.
 """
 
 from __future__ import annotations
@@ -16,18 +16,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatt.functions.scalar import status_level
+from sitewatt.functions.scalar import emission_factor, status_level
 from sitewatt.operators.joins import checked_broadcast
 from sitewatt.operators.sinks import first_wins
 
-# ---------------------------------------------------------------------------
-# Fixed values of the mapping.
-PHASES = ["baseline", "running", "scheduler", "gpu_training", "fpga_inference", "optimised"]
-# ---------------------------------------------------------------------------
-
 # Bump when the derivation or the stored layout changes: stored copies are keyed
 # on it and on the input files, so an older copy is never reused.
-MODEL_VERSION = 5
+MODEL_VERSION = 6
 
 #: Tables the registered views are derived from; their content keys stored copies and views.
 MODEL_TABLES = ["events", "customer", "nation", "region"]
@@ -69,33 +64,34 @@ def assets_from(customer: DataFrame, nation: DataFrame, region: DataFrame) -> Da
 
 
 def raw_samples(events: DataFrame) -> DataFrame:
-    """Measured values per event, before de-duplication, as integer hundredths."""
-    e, u = F.col("event_id"), F.col("user_id")
-    cpu_c = F.lit(800) + (e * 7919 + u * 104729) % 9101
-    nom = F.lit(330) + (u % 34) * 10
-    inlet_c = F.lit(2000) + (e * 31 + u * 17) % 500
-    ef_e4 = F.lit(2400) + (e * 53) % 1901
-    st = (e * 11 + u) % 20
+    """Measured values per event, before de-duplication, as integer hundredths.
+
+    CPU load is the event's ``value`` (percent, at most 100), the rack's air is warmed
+    by the ``k`` of its ``props``, the operational state follows its ``event_type``;
+    power and outlet temperature follow from the load as the writer computes them.
+    Samples are kept by the minute."""
+    u = F.col("user_id")
+    load = F.round(F.col("value") * 100).cast("bigint")
+    k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("bigint")
     base = events.select(
         "event_id",
         F.col("ts").alias("event_ts"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
-        u.alias("asset_id"), cpu_c.alias("cpu_c"), nom.alias("nom"), inlet_c.alias("inlet_c"),
-        ef_e4.alias("ef_e4"), st.alias("st"))
+        F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"),
+        u.alias("asset_id"), F.least(load, F.lit(10000)).alias("cpu_c"), (F.lit(330) + (u % 34) * 10).alias("nom"),
+        (F.lit(2000) + k * 5).alias("inlet_c"), k.alias("k"),
+        F.when(F.col("event_type") == "error", "maintenance").when(F.col("event_type") == "signup", "standby")
+         .otherwise("running").alias("state"))
     p0 = F.when(F.col("asset_id") % 4 == 3, 115).otherwise(100) * F.col("nom") * (F.lit(4860) + F.col("cpu_c"))
     cpu = F.col("cpu_c")
     power_c = ((p0 - p0 % 13500) / 13500).cast("bigint")
-    outlet_c = (F.col("inlet_c") + 510 + ((cpu - cpu % 18) / 18).cast("bigint")
-                + (F.col("event_id") * 13) % 400)
+    outlet_c = F.col("inlet_c") + 510 + ((cpu - cpu % 18) / 18).cast("bigint") + F.col("k") * 4
     return base.select("*", power_c.alias("power_c"), outlet_c.alias("outlet_c"))
 
 
 def telemetry_from(events: DataFrame) -> DataFrame:
     """Telemetry facts; the first event per ``(ts, asset_id)`` wins (SNK-1)."""
-    s = raw_samples(events)
+    s = raw_samples(events).withColumn("ef_e4", F.round(emission_factor("ts") * 10000).cast("bigint"))
     c0 = F.col("power_c") * F.col("ef_e4") + 50000
-    state = (F.when(F.col("st") == 0, "maintenance").when(F.col("st") == 1, "standby")
-              .otherwise("running"))
     rows = s.select(
         "ts", "asset_id", "event_id",
         (F.col("cpu_c") / 100).cast("decimal(18,2)").alias("cpu_usage"),
@@ -105,7 +101,7 @@ def telemetry_from(events: DataFrame) -> DataFrame:
         (F.col("ef_e4") / 10000).cast("decimal(18,4)").alias("emission_factor_kg_per_kwh"),
         ((c0 - c0 % 100000) / 100000 / 10000).cast("decimal(18,4)").alias("carbon_kg"),
         F.col("nom").cast("decimal(18,2)").alias("nominal_power_w"),
-        state.alias("operational_state"),
+        F.col("state").alias("operational_state"),
     )
     rows = rows.withColumn("status_level", status_level(
         "cpu_usage", "outlet_temp_c", "power_w", "nominal_power_w", "operational_state"))
@@ -131,11 +127,21 @@ def sources_from(supplier: DataFrame, nation: DataFrame) -> DataFrame:
                     (k % 4 == 0).alias("user_added")))
 
 
-def runs_from(orders: DataFrame) -> DataFrame:
-    """Workflow runs: each order is a run sitting in one of the six phases."""
-    idx = (F.col("o_orderkey") % 6).cast("int")
-    phase = F.element_at(F.array(*[F.lit(p) for p in PHASES]), idx + 1)
-    return orders.select(F.col("o_orderkey").alias("run_id"), phase.alias("phase"))
+def runs_from(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Workflow runs: an order is a run, its lines are the run's jobs.
+
+    The phase follows from the status of the order and of its lines: an open order is
+    at the baseline until a line is finished, a partial one passes from the scheduler to
+    training when half of its lines are finished, a finished one is optimised once no
+    line is open. An order without lines has finished none and has none open."""
+    done = (lineitem.groupBy("l_orderkey")
+            .agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("l_linestatus") == "F").alias("finished")))
+    jobs, finished = F.coalesce("jobs", F.lit(0)), F.coalesce("finished", F.lit(0))
+    phase = (F.when(F.col("o_orderstatus") == "O", F.when(finished == 0, "baseline").otherwise("running"))
+             .when(F.col("o_orderstatus") == "P", F.when(2 * finished < jobs, "scheduler").otherwise("gpu_training"))
+             .otherwise(F.when(finished < jobs, "fpga_inference").otherwise("optimised")))
+    return (orders.join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            .select(F.col("o_orderkey").alias("run_id"), phase.alias("phase")))
 
 
 @dataclass
@@ -170,7 +176,7 @@ class Fixture:
         """One row: the newest telemetry timestamp. Equal to ``max(ts)`` of the
         de-duplicated facts, read from one column of the raw events."""
         return self.table("events").agg(
-            F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("ts"))
+            F.date_trunc("minute", F.max("ts")).cast("timestamp_ntz").alias("ts"))
 
     @property
     def sources(self) -> DataFrame:
@@ -178,7 +184,7 @@ class Fixture:
 
     @property
     def runs(self) -> DataFrame:
-        return runs_from(self.table("orders"))
+        return runs_from(self.table("orders"), self.table("lineitem"))
 
 
 def load_fixture(spark: SparkSession, sf_dir: str) -> Fixture:

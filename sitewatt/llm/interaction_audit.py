@@ -143,13 +143,12 @@ def _update(key, frames, state):
 
 
 def _session(spark: SparkSession) -> SparkSession:
-    """A session of its own for the query's settings, so none of the caller's change."""
+    """A session of its own for the query, so that none of the caller's settings change. It takes over the
+    caller's state store (``session.cluster_conf`` names RocksDB; the default holds the packed state, some
+    60 bytes a text, in the executors' memory)."""
     own = spark.newSession()
-    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass",
-                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass"):
+        own.conf.set(key, spark.conf.get(key))
     return own
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewatt.operators.filters import time_range
+
 
 def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
-                   method: str = "max_by", partition_col: str | None = None) -> DataFrame:
-    """Newest row per key (``DISTINCT ON (key) ... ORDER BY key, ts DESC``).
+                   method: str = "max_by", partition_col: str | None = None, as_of=None) -> DataFrame:
+    """Newest row per key (``DISTINCT ON (key) ... ORDER BY key, ts DESC``), with
+    ``as_of`` the newest at or before that instant.
 
     One contract for both plans: one row per key, a null key is a key, a null
     ``order`` comes before all others, rows that tie on ``order`` are decided by their
@@ -26,6 +29,8 @@ def latest_per_key(df: DataFrame, keys=("asset_id",), order: str = "ts",
     keys = list(keys)
     if method not in ("max_by", "semi"):
         raise ValueError(f"unknown method {method!r}")
+    if as_of is not None:
+        df = time_range(df, None, as_of, order, partition_col)
     rows = df
     if method == "semi":
         newest = df.groupBy(*keys).agg(F.max(order).alias("_newest"))

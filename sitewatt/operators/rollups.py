@@ -90,6 +90,26 @@ def site_summary(latest: DataFrame) -> DataFrame:
         "critical_assets", "warning_assets")
 
 
+LEVELS = ["rack", "room", "site"]
+
+
+def rollup_all_levels(latest: DataFrame, assets: DataFrame) -> DataFrame:
+    """Rack, room and site rollups in one aggregation: ``level`` and the names of the level (null above it),
+    then the measures of the separate rollups. One Expand, one exchange of per-task partial rows."""
+    j = with_assets(latest, assets)
+    rack = ["room_id", "room_name", "rack_id", "rack_name"]
+    sets = [[F.col(c) for c in g] for g in (rack, rack[:2], [])]
+    s = F.col("status_level")
+    out = j.groupingSets(sets, *[F.col(c) for c in rack]).agg(
+        F.grouping_id().alias("_gid"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("assets"),
+        rounded(avg_exact("cpu_usage"), 2).alias("avg_cpu_usage"), rounded(F.sum("power_w"), 2).alias("power_w"),
+        rounded(avg_exact("inlet_temp_c"), 2).alias("avg_inlet_temp_c"), rounded(avg_exact("outlet_temp_c"), 2).alias("avg_outlet_temp_c"),
+        rounded(F.sum("carbon_kg"), 4).alias("carbon_kg"),
+        count_where(s == "critical").alias("critical_assets"), count_where(s == "warning").alias("warning_assets"))
+    level = F.when(F.col("_gid") == 0, "rack").when(F.col("_gid") == 3, "room").otherwise("site")
+    return out.select(level.alias("level"), *[c for c in out.columns if c != "_gid"])
+
+
 def scoped_stat(latest: DataFrame, assets: DataFrame, column: str, fn: str, digits: int,
                 room: str = ALL, rack: str = ALL, server: str = ALL, as_of=None,
                 default=0) -> DataFrame:
@@ -150,9 +170,10 @@ def high_carbon_count(latest: DataFrame, assets: DataFrame, threshold: float = 0
         as_of_column(as_of).alias("time"), "value")
 
 
-def range_avg(kpi: DataFrame, column: str, digits: int, start=None, end=None, as_of=None) -> DataFrame:
+def range_avg(kpi: DataFrame, column: str, digits: int, start=None, end=None, as_of=None,
+              partition_col: str | None = None) -> DataFrame:
     """Average of one KPI column over a time range; no rows -> null (no coalesce)."""
-    df = time_range(kpi, start, end)
+    df = time_range(kpi, start, end, partition_col=partition_col)
     return df.agg(rounded(avg_exact(column), digits).alias("value")).select(
         as_of_column(as_of).alias("time"), "value")
 
@@ -171,15 +192,15 @@ RANGE_AVGS_LONG = [
 # ---------------------------------------------------------------------------
 
 
-def range_avgs_wide(kpi: DataFrame, start=None, end=None) -> DataFrame:
+def range_avgs_wide(kpi: DataFrame, start=None, end=None, partition_col: str | None = None) -> DataFrame:
     """Eight range averages in one row (one scan)."""
-    df = time_range(kpi, start, end)
+    df = time_range(kpi, start, end, partition_col=partition_col)
     return df.agg(*[rounded(avg_exact(c), d).alias(n) for c, n, d in RANGE_AVGS_WIDE])
 
 
-def range_avgs_long(kpi: DataFrame, start=None, end=None) -> DataFrame:
+def range_avgs_long(kpi: DataFrame, start=None, end=None, partition_col: str | None = None) -> DataFrame:
     """Six range averages as ``metric, value`` rows: one aggregate, then unpivot."""
-    df = time_range(kpi, start, end)
+    df = time_range(kpi, start, end, partition_col=partition_col)
     wide = df.agg(*[rounded(avg_exact(c), d).alias(f"m{i}") for i, (c, _, d) in enumerate(RANGE_AVGS_LONG)])
     pairs = [F.struct(F.lit(n).alias("metric"), F.col(f"m{i}").alias("value"))
              for i, (_, n, _) in enumerate(RANGE_AVGS_LONG)]

@@ -638,3 +638,5 @@ def q_peak_outlet_rollup(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return TS.series_from_partials(_rollup(c), c.assets, [("Peak Outlet", "outlet_temp_c", "max", 1),
                                                           ("Lowest Inlet", "inlet_temp_c", "min", 1)])
+
+from sitewatt.plans import history  # noqa: E402, F401

@@ -127,6 +127,15 @@ def sources_from(supplier: DataFrame, nation: DataFrame) -> DataFrame:
                     (k % 4 == 0).alias("user_added")))
 
 
+# Fixed values of the replay: order dates run through the telemetry's time, a day in 18 minutes.
+FIRST_ORDER, FIRST_SAMPLE, MINUTES_A_DAY = "1995-01-01", "2024-01-01 00:00:00", 18
+
+
+def replayed(order_date: str) -> F.Column:
+    """The instant of the telemetry's time that an order date stands for."""
+    return F.expr(f"timestampadd(MINUTE, {MINUTES_A_DAY} * datediff({order_date}, date'{FIRST_ORDER}'), timestamp_ntz'{FIRST_SAMPLE}')")
+
+
 def runs_from(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Workflow runs: an order is a run, its lines are the run's jobs.
 

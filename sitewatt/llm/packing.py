@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewatt.llm import textcodes as tc
-from sitewatt.llm.common import materialize
+from sitewatt.llm.common import materialize, pipeline_stage
 
 WINDOW = 1024
 END_ID = 0
 SALTS = 64              # at least; more where a task would order over SALT_ROWS pieces
 SALT_ROWS = 200_000
-CACHE_CHUNKS = 500_000  # a generation of a worker's cache; two are held (under 200 MB)
+RUN = 4096              # copies of one row that are ranked together
+CACHE_CHUNKS = 400_000  # a generation of a worker's cache; two are held (under 200 MB)
+CACHE_BYTES = 48        # of a chunk that is remembered
 
 _encoders: dict = {}
 
@@ -85,16 +87,15 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray
     if not len(start):
         return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
     end = np.append(start[1:], len(data))
-    key, first, which = np.unique(tc.range_hash(tc.prefix_hash(tc.byte_codes(data)), start, end),
-                                  return_index=True, return_inverse=True)
+    key, first, which = np.unique(tc.word_hashes(data, start, end), return_index=True, return_inverse=True)
     raw = data.tobytes()
-    young, old = cache
-    ids = [young.get(k) or old.get(k) for k in key.tolist()]
+    young, old = cache  # by the chunk's own bytes
+    words = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
+    ids = [young.get(w) or old.get(w) for w in words]
     new = [i for i, x in enumerate(ids) if x is None]
-    texts = [raw[start[first[i]]:end[first[i]]].decode() for i in new]
-    for i, e in zip(new, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+    for i, e in zip(new, tokenizer.encode_batch_fast([words[i].decode() for i in new], add_special_tokens=False)):
         ids[i] = np.array(e.ids, "<u4").tobytes()
-    young.update(zip(key.tolist(), ids))
+    young.update((w, x) for w, x in zip(words, ids) if len(w) <= CACHE_BYTES)
     if len(young) > CACHE_CHUNKS:
         cache[:] = {}, young
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -217,14 +218,22 @@ RESULT_NAMES = [f.split()[0] for f in RESULT.split(", ")]
 
 
 def _ranks(df: DataFrame, by: list[str], order: list[str], salts: int) -> DataFrame:
-    """Adds ``rank`` (from 0) within ``by``: a rank within a salt plus the salts before."""
-    df = df.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    sizes = df.groupBy(*by, "salt").agg(F.count("*").alias("n"))
+    """Adds ``rank`` (from 0) within ``by``: a rank within a salt plus the salts before.
+
+    Equal rows are counted first and ranked as runs of at most RUN copies, so a row that
+    repeats without end is spread over the salts like any other rows.
+    """
+    same = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
+    runs = same.select("*", F.explode(F.expr(f"sequence(0L, copies - 1, {RUN}L)")).alias("first"))
+    runs = runs.withColumn("n", F.least(F.col("copies") - F.col("first"), F.lit(RUN))).drop("copies")
+    runs = runs.withColumn("salt", F.pmod(F.xxhash64(*order, "first"), F.lit(salts)))
+    sizes = runs.groupBy(*by, "salt").agg(F.sum("n").alias("total"))
     w = Window.orderBy("salt") if not by else Window.partitionBy(*by).orderBy("salt")
-    sizes = sizes.select(*by, "salt", (F.sum("n").over(w) - F.col("n")).alias("before"))  # one row a salt
-    own = F.row_number().over(Window.partitionBy(*by, "salt").orderBy(*order)) - 1
-    return (df.withColumn("own", own).join(sizes, [*by, "salt"])
-            .withColumn("rank", (F.col("own") + F.col("before")).cast("long")).drop("own", "before", "salt"))
+    sizes = sizes.select(*by, "salt", (F.sum("total").over(w) - F.col("total")).alias("before"))  # one row a salt
+    own = Window.partitionBy(*by, "salt").orderBy(*order, "first").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = runs.withColumn("own", F.sum("n").over(own) - F.col("n")).join(sizes, [*by, "salt"])
+    return ranked.select(*df.columns, (F.col("own") + F.col("before")).alias("at"), "n").select(
+        *df.columns, F.explode(F.expr("sequence(at, at + n - 1)")).alias("rank"))
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None) -> DataFrame:
@@ -247,6 +256,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the packed pieces."""
     return pack(docs)

@@ -139,7 +139,7 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocab
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     size = np.diff(np.append(start, len(data)))
     prefix = tc.prefix_hash(tc.byte_codes(data))
-    _, first, which = np.unique(tc.range_hash(prefix, start, start + size), return_index=True, return_inverse=True)
+    _, first, which = np.unique(tc.word_hashes(data, start, start + size), return_index=True, return_inverse=True)
     row = np.searchsorted(offsets, start, "right") - 1
     own = tc.mix(keys[row].astype(np.int64).view(np.uint64) ^ tc.mix(np.array([seed], np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
     own = tc.mix(own + (start - offsets[row]).astype(np.uint64))

@@ -11,9 +11,12 @@ subtraction and one multiplication with the inverse power of its start.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
+LONG = 64
 CHUNK_BYTES = 1 << 15  # keeps the arrays of a chunk in the processor cache
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -94,7 +97,18 @@ def words(data: np.ndarray, offsets: np.ndarray):
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_hash(byte_codes(data)), starts, ends)
+    """Hashes of byte ranges of any length.
+
+    A polynomial modulo a power of two can be forced to collide by strings of some
+    hundred characters whatever its base, so ranges beyond LONG take a keyed digest.
+    """
+    out = range_hash(prefix_hash(byte_codes(data)), starts, ends)
+    far = np.flatnonzero(ends - starts > LONG)
+    if len(far):
+        raw = data.tobytes()
+        digest = [hashlib.blake2b(raw[s:e], digest_size=8, key=b"long").digest() for s, e in zip(starts[far].tolist(), ends[far].tolist())]
+        out[far] = np.frombuffer(b"".join(digest), "<u8")
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -24,6 +24,25 @@ def corpus(seed=3, words=120):
     return rows
 
 
+def doubling(length):
+    """The two doubling strings of ``length`` (a power of two): they collide in polynomial hashes modulo 2**64."""
+    t = "a"
+    while len(t) < length:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def forced():
+    """Pairs of texts that differ in one long word of equal polynomial hash, among words of their own."""
+    r = random.Random(9)
+    rows = []
+    for k, length in enumerate((64, 256, 1024, 4096)):
+        same = " ".join("".join(r.choice("klmnop") for _ in range(6)) for _ in range(70))
+        a, b = doubling(length)
+        rows += [(900 + 2 * k, f"{a} {same}"), (901 + 2 * k, f"{b} {same}"), (950 + 2 * k, a), (951 + 2 * k, b)]
+    return rows
+
+
 def words(t):
     return WORD.findall(t or "")
 

@@ -17,7 +17,7 @@ from sitewatt.llm import (block_search, chat_format, components, ngram_join, pac
                           secret_scan, substring_dedup, suffix_dedup, toxicity)
 from sitewatt.llm import textcodes as tc
 
-ROWS = cases.corpus()
+ROWS = cases.corpus() + cases.forced()
 
 
 @pytest.fixture(scope="session")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewatt.llm import textcodes as tc
+from sitewatt.llm.common import pipeline_stage
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -113,9 +114,11 @@ def scan(text: str, data: bytes, hex_runs) -> dict[str, list[tuple[int, int]]]:
         spans["assign"] = [m.span() for m in ASSIGN.finditer(text) if len(m.group(2)) >= MIN_ASSIGN]
     if b"AKIA" in data:
         spans["access"] = [m.span() for m in ACCESS.finditer(text)]
+    at = points = 0  # bytes and code points before the run: counted once, from run to run
     for s, e in hex_runs:
-        p = len(data[:s].decode())
-        spans["hex"].append((p, p + int(e - s)))
+        points += len(data[at:s].decode())
+        spans["hex"].append((points, points + int(e - s)))
+        at, points = e, points + int(e - s)
     if any(h in low for h in CONTEXT_HINTS):
         spans["novel"] = _novel(text, spans["assign"] + spans["access"] + spans["hex"])
     return spans
@@ -213,6 +216,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are masked in the text, ``n_chars`` follows."""
     out = mask_secrets(docs)

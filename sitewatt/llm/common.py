@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import gc
 import uuid
 
@@ -13,6 +15,33 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders written by the pipeline stage that is running, and what each application's last stage left.
+_own: contextvars.ContextVar = contextvars.ContextVar("stage_tables", default=None)
+_left: dict[str, set[str]] = {}
+
+
+def pipeline_stage(fn):
+    """A stage ``(spark, docs, sf_dir)`` whose intermediate tables go when the next stage starts.
+
+    By then a stage's result has been written and is the next one's ``docs``; tables
+    that ``docs`` itself reads stay.
+    """
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        name = lambda folder: folder.rsplit("/", 1)[1]
+        read = set(map(name, tables_of(docs)))
+        drop_folders(spark, {f for f in _left.pop(app, set()) if name(f) not in read})
+        own: set[str] = set()
+        token = _own.set(own)
+        try:
+            return fn(spark, docs, sf_dir)
+        finally:
+            _own.reset(token)
+            _left[app] = own
+    return run
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
@@ -22,6 +51,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
+    if _own.get() is not None:
+        _own.get().add(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

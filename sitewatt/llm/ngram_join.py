@@ -17,7 +17,8 @@ set walks the trie with the overlap so far, shared by all sets below a branch;
 a branch is left when its lengths cannot fit or when the overlap plus what can still
 follow (on either side) cannot reach the threshold. Sets already connected are not
 compared again, so a group of near copies costs a row of links, not all pairs.
-Groups of more than BLOCK nodes are joined in salted blocks, each with the group's
+Each node first meets the smallest of its groups, so each text is sent once; groups that
+then still hold several pieces are joined again. Groups of more than BLOCK nodes are joined in salted blocks, each with the group's
 smallest node and PIVOTS others, which tie the blocks together; only pieces still apart are
 compared across blocks.
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewatt.llm import textcodes as tc
-from sitewatt.llm.common import WORD, materialize
+from sitewatt.llm.common import WORD, materialize, pipeline_stage
 from sitewatt.llm.components import components
 
 BLOCK = 256
@@ -268,16 +269,18 @@ def _across(member: DataFrame) -> DataFrame:
     """Cells that bring together pieces of one candidate group from different blocks.
 
     The group's largest piece is dealt to blocks, and so are the others; each block
-    of the others meets each block of the largest and of the others once.
+    of the others meets each block of the largest and of the others once. A group of one
+    block's size is one cell.
     """
     pieces = member.groupBy("cand", "label").agg(F.count("*").alias("n"))
     main = pieces.groupBy("cand").agg(F.max(F.struct("n", F.col("label"))).alias("m"), F.sum("n").alias("size"))
-    main = main.select("cand", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mk"),
+    main = main.select("cand", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mk"), "size",
                        F.ceil((F.col("size") - F.col("m.n")) / BLOCK).alias("ok")).filter("ok > 0")
     x = member.join(main, "cand").withColumn("is_main", F.col("label") == F.col("main"))
     x = x.withColumn("salt", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mk")).otherwise(F.col("ok"))))
     others = F.expr("sequence(0L, ok - 1)")
-    cells = (F.when(F.col("is_main"), F.transform(others, lambda o: F.struct(o.alias("o"), (-1 - F.col("salt")).alias("p"))))
+    here = F.array(F.struct(F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("p")))
+    cells = (F.when(F.col("size") <= BLOCK, here).when(F.col("is_main"), F.transform(others, lambda o: F.struct(o.alias("o"), (-1 - F.col("salt")).alias("p"))))
              .otherwise(F.concat(
                  F.transform(F.expr("sequence(0L, mk - 1)"), lambda m: F.struct(F.col("salt").alias("o"), (-1 - m).alias("p"))),
                  F.transform(others, lambda o: F.struct(F.greatest("salt", o).alias("o"), F.least("salt", o).alias("p"))))))
@@ -285,6 +288,39 @@ def _across(member: DataFrame) -> DataFrame:
             .select("node", "cand", "label", "cell.o", "cell.p"))
 
 
+def _links(keyed: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that connect what all links inside the candidate groups connect, in two rounds.
+
+    First every node meets the smallest of its groups only, so each text is sent once.
+    Then only groups that still hold several pieces, and a node that met another group
+    first, are joined with all their nodes.
+    """
+    first = member.groupBy("node").agg(F.min(F.struct("cand", "low")).alias("f")).select("node", "f.*")
+    first = materialize(first, "ngram-first")
+    sizes = first.groupBy("cand").agg(F.count("*").alias("size"), F.array_distinct(F.array_compact(F.array(
+        F.min(F.when(F.col("low"), F.col("node"))),
+        *[F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)]))).alias("pivots"))
+    sizes = materialize(sizes.filter("size > 1"), "ngram-groups")
+    first = first.drop("low")
+    links = (_with_texts(keyed, _in_blocks(first, sizes)).groupBy("cand", "salt")
+             .applyInArrow(_join_group(n, percent, False), "u long, v long"))
+    links = materialize(links, "ngram-links")
+
+    def joined_on(left: DataFrame) -> DataFrame:
+        far = (_with_texts(keyed, _across(left)).groupBy("cand", "o", "p")
+               .applyInArrow(_join_group(n, percent, True), "u long, v long"))
+        return materialize(links.union(far), "ngram-links")
+
+    large = sizes.filter(F.col("size") > BLOCK).select("cand")
+    if not large.isEmpty():  # else every group was one block: all its links are found
+        links = joined_on(_labels(first.join(large, "cand", "left_semi"), links))
+    met = first.select("node", F.col("cand").alias("met"))
+    labelled = materialize(_labels(member.drop("low").join(met, "node"), links), "ngram-pieces")
+    still = labelled.groupBy("cand").agg((F.min("label") < F.max("label")).alias("apart"), F.max(F.col("met") != F.col("cand")).alias("new"))
+    left = labelled.join(still.filter("apart and new").select("cand"), "cand", "left_semi").drop("met")
+    return links if left.isEmpty() else joined_on(left)
+
+
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """``(doc, size, component)``, one row per row of ``docs`` (doc: the id, null as NO_ID)."""
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
@@ -296,20 +332,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     shared = materialize(shared.select("sig", "low"), "ngram-shared")
     star = sigs.join(shared, "sig").select(F.col("low").alias("cand"), F.col("set").alias("h1")).distinct()
     member = materialize(reps.join(star, "h1").select("node", "cand", (F.col("h1") == F.col("cand")).alias("low")), "ngram-members")
-    sizes = member.groupBy("cand").agg(F.count("*").alias("size"), F.array_distinct(F.array_compact(F.array(
-        F.min(F.when(F.col("low"), F.col("node"))),
-        *[F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)]))).alias("pivots"))
-    sizes = materialize(sizes, "ngram-groups")
-    member = member.drop("low")
-    links = (_with_texts(keyed, _in_blocks(member, sizes)).groupBy("cand", "salt")
-             .applyInArrow(_join_group(n, percent, False), "u long, v long"))
-    links = materialize(links, "ngram-links")
-    large = sizes.filter(F.col("size") > BLOCK).select("cand")
-    if not large.isEmpty():  # else every group was one block: all its links are found
-        big = _labels(member.join(large, "cand", "left_semi"), links)
-        far = (_with_texts(keyed, _across(big)).groupBy("cand", "o", "p")
-               .applyInArrow(_join_group(n, percent, True), "u long, v long"))
-        links = materialize(links.union(far), "ngram-links")
+    links = _links(keyed, member, n, percent)
 
     nodes = rows.filter("size > 0").join(reps, ["h1", "h2"])
     several = nodes.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u < w").select("doc", "u")
@@ -327,6 +350,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return out.select(null("doc").alias("doc_id"), F.col("size").alias("n_shingles"), null("component").alias("component_id"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group (5-word shingles, 0.8) the row of the smallest id (null first), then text hash, stays.
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewatt.llm.common import materialize
+from sitewatt.llm.common import materialize, pipeline_stage
 
 SYMBOLS = r"[#*$%&|<>]"
 SPACES = r"[ \t-\r]+"
@@ -170,6 +170,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go."""
     out = quality_rules(docs.withColumn("__text_kept", F.col("text")))

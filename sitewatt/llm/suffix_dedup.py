@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewatt.llm import repeats
+from sitewatt.llm.common import pipeline_stage
 
 WINDOW = 100
 SPEC = repeats.Spec(words=False, window=WINDOW, k=50, by_document=False)
@@ -222,6 +223,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated strings are cut out, ``n_chars`` follows; every row stays."""
     out = remove_repeats(docs)

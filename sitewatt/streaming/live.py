@@ -17,7 +17,7 @@ from sitewatt.operators.alerts import ASSET_COLUMNS, evaluate_alerts
 from sitewatt.operators.enrich import enrich_telemetry
 from sitewatt.operators.joins import checked_broadcast
 from sitewatt.operators.kpi import kpi_formulas
-from sitewatt.operators.latest import latest_per_key
+from sitewatt.operators.keyed_table import KeyedTable
 from sitewatt.operators.rollups import kpi_inputs
 from sitewatt.operators.sinks import last_wins
 from sitewatt.schemas import KPI_COLUMNS, TELEMETRY
@@ -99,76 +99,25 @@ def _listed(spark: SparkSession, path: str) -> list:
     return [st.getPath() for st in fs.listStatus(hpath)] if fs.exists(hpath) else []
 
 
-class LatestStateTable:
-    """STR-6: maintain the latest-per-asset table with ``foreachBatch`` and run
-    batch operators (rollups, active alerts, site summary) on it.
+class LatestStateTable(KeyedTable):
+    """STR-6: the latest row of every asset, maintained with ``foreachBatch``; batch operators
+    (rollups, active alerts, site summary) run on ``current``.
 
-    Each micro-batch is reduced to its own latest rows, merged last-wins with the
-    newest committed version and written as a version of its own. Versions are
-    numbered by what is stored, not by the stream's epochs, so a backfilled state, a new
-    checkpoint or another stream never replace what is there. Merging a replayed
-    epoch again changes nothing, so the sink is idempotent. The last ``KEEP``
-    versions stay for readers that have opened them.
+    A micro-batch is reduced to its own latest rows and merged last-wins into the key
+    buckets it touches; others are neither read nor written. Versions are numbered by what
+    is stored, not by the stream's epochs, so a backfilled state, a new checkpoint or another
+    stream never replace what is there, and an epoch that comes again changes nothing.
     """
 
-    KEEP = 3
-
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
-
-    def _versions(self, spark: SparkSession, committed: bool = True) -> list[int]:
-        out = []
-        for p in _listed(spark, self.path):
-            name = p.getName()
-            if name.startswith("v") and name[1:].isdigit() and (not committed or any(
-                    f.getName() == "_SUCCESS" for f in _listed(spark, p.toString()))):
-                out.append(int(name[1:]))
-        return sorted(out)
-
-    def current(self, spark: SparkSession) -> DataFrame | None:
-        vs = self._versions(spark)
-        return spark.read.parquet(f"{self.path}/v{vs[-1]}") if vs else None
-
-    def _commit(self, state: DataFrame) -> None:
-        spark = state.sparkSession
-        state.write.parquet(f"{self.path}/v{max(self._versions(spark, committed=False), default=-1) + 1}")
-        for v in self._versions(spark)[:-self.KEEP]:
-            hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
-            hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
-
-    def replace(self, facts: DataFrame, keys=("asset_id",), ts: str = "ts") -> None:
-        """A new version made of ``facts`` alone."""
-        self._commit(latest_per_key(facts, list(keys), ts, method="max_by"))
-
-    def merge(self, batch: DataFrame, epoch_id: int | None = None, keys=("asset_id",), ts: str = "ts") -> None:
-        """Last-wins merge of one micro-batch into the newest committed version.
-
-        The batch's own latest rows are computed once (persisted for the merge); they
-        and the stored rows of the same keys go through checked broadcasts: the
-        stored state is scanned once and kept unless the batch has a newer row for its
-        key; it is never shuffled. An unexpectedly large batch falls back to shuffle joins.
-        """
-        spark = batch.sparkSession
-        keys = list(keys)
-        fresh = latest_per_key(batch, keys, ts, method="max_by").persist()
-        try:
-            old = self.current(spark)
-            if old is None:
-                self._commit(fresh)
-                return
-            fresh_ts = checked_broadcast(fresh.select(*keys, F.col(ts).alias("_new_ts")))
-            kept_old = (old.join(fresh_ts, keys, "left")
-                        .where(F.col("_new_ts").isNull() | (F.col(ts) > F.col("_new_ts"))).drop("_new_ts"))
-            old_ts = old.join(fresh_ts.select(*keys), keys, "left_semi").select(*keys, F.col(ts).alias("_old_ts"))
-            newer = (fresh.join(checked_broadcast(old_ts), keys, "left")
-                     .where(F.col("_old_ts").isNull() | (F.col(ts) >= F.col("_old_ts"))).drop("_old_ts"))
-            self._commit(kept_old.unionByName(newer.select(*old.columns)))
-        finally:
-            fresh.unpersist()
+    def __init__(self, path: str, keys=("asset_id",), ts: str = "ts", buckets: int = 256):
+        super().__init__(path, keys, ts, buckets)
+
+    def merge_epoch(self, batch: DataFrame, epoch_id: int | None = None) -> None:
+        self.merge(batch)
 
     def start(self, stream: DataFrame, name: str = "latest_state", trigger: dict | None = None):
         cp = os.path.join(checkpoint_dir(stream.sparkSession), name)
-        w = (stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", cp)
+        w = (stream.writeStream.foreachBatch(self.merge_epoch).option("checkpointLocation", cp)
              .queryName(name))
         return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 

@@ -127,12 +127,14 @@ def test_latest_state_merge_out_of_order(spark, scratch):
     t0, t1, t2 = (dt.datetime(2024, 1, 1, h) for h in (1, 2, 3))
     table = L.LatestStateTable(os.path.join(scratch, "state"))
     b1, _ = frames(spark, [tm_row(t1, 1, cpu="10"), tm_row(t1, 2, cpu="20")], [])
-    table.merge(b1, 1)
+    table.merge_epoch(b1, 1)
     b2, _ = frames(spark, [tm_row(t0, 1, cpu="99"), tm_row(t2, 2, cpu="22"), tm_row(t0, 3, cpu="30")], [])
-    table.merge(b2, 2)
+    table.merge_epoch(b2, 2)
     got = {r["asset_id"]: (r["ts"], str(r["cpu_usage"])) for r in table.current(spark).collect()}
     assert got == {1: (t1, "10.00"), 2: (t2, "22.00"), 3: (t0, "30.00")}
-    table.merge(b2, 2)  # a replayed epoch rewrites the same version: idempotent
+    before = table.versions(spark)
+    table.merge_epoch(b2, 2)  # a replayed epoch changes nothing
+    assert table.versions(spark) == before
     assert {r["asset_id"]: r["ts"] for r in table.current(spark).collect()} == {1: t1, 2: t2, 3: t0}
 
 

@@ -182,37 +182,100 @@ def start_live_sink(df: DataFrame, out_dir: str, table: str, name: str, trigger:
 RAW_COLUMNS = ["ts", "asset_id", "cpu_usage", "power_w", "inlet_temp_c", "outlet_temp_c", "operational_state"]
 
 
+def _follow(spark: SparkSession, path: str, schema, trigger: dict, query) -> DataFrame:
+    """Stream of what a live sink commits to ``path``. A finite trigger reads what its writer has written by then."""
+    if "processingTime" not in trigger:
+        query.awaitTermination()
+    # the sink's log decides which files count: it must be there before the first look at the folder
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_spark_metadata")
+    log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(log)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+ROLLUP_LEVELS = {"bucket_rollup_1h": "1 hour", "bucket_rollup_1d": "1 day"}
+
+
 def start_live_loop(raw_stream: DataFrame, assets: DataFrame, out_dir: str, delay: str = "1 hour",
                         trigger: dict | None = None, name: str = "live") -> dict:
-    """The live loop as three streaming queries (each with its own checkpoint
-    under ``spark.checkpoint.dir``):
+    """The live loop as streaming queries, each with its own checkpoint under
+    ``spark.checkpoint.dir``:
 
     * ``ingest``: measured samples -> first-wins de-duplication within the
       watermark -> enrichment (emission factor, carbon, status) -> exactly-once
-      append to date-partitioned Parquet facts (``<out_dir>/live/telemetry_metrics``);
+      append to date-partitioned Parquet facts (``<out_dir>/live/telemetry_metrics``). The only
+      query that reads the samples and the only one with de-duplication state; the
+      others follow the facts it commits, so a crash between sinks repeats nothing;
     * ``latest``: the latest-state table maintained by ``foreachBatch``
       (``<out_dir>/latest_state``), for rollups, alerts and site stats;
     * ``kpi``: KPI snapshots per timestamp once the watermark passes it
       (``<out_dir>/live/sustainability_kpi_snapshots``);
     * ``rollup``: 5-minute per-asset partial aggregates for trend panels
-      (``<out_dir>/live/bucket_rollup_5m``, date-partitioned).
+      (``<out_dir>/live/bucket_rollup_5m``, date-partitioned), and from its closed buckets
+      ``bucket_rollup_1h``, from whose closed buckets ``bucket_rollup_1d``.
 
-    Backfilled history stands under ``<out_dir>/history``: the streaming file sink
-    reads its own log only, so the two never share a folder. ``read_store`` gives both.
+    A row the ingest accepts is never late for its followers: their watermark comes from
+    rows committed before. Backfilled history stands under ``<out_dir>/history``: the streaming
+    file sink reads its own log only, so the two never share a folder. ``read_store`` gives both.
     Returns the started queries and the output paths.
     """
+    spark = raw_stream.sparkSession
     trig = trigger or {"processingTime": "10 seconds"}
     facts_path, kpi_path, rollup_path = (_table_path(out_dir, "live", t) for t in (FACTS, KPIS, ROLLUP))
     clean = dedup_stream(raw_stream.select(*RAW_COLUMNS), delay)
-    facts = enrich_stream(clean, assets)
-    ingest = start_live_sink(facts.withColumn("dt", F.to_date("ts")), out_dir, FACTS, f"{name}_ingest", trig, ["dt"])
+    facts = enrich_stream(clean, assets).withColumn("dt", F.to_date("ts"))
+    started = {}
+
+    def sink(df: DataFrame, table: str, query: str, partition_by=None):
+        started[query] = start_live_sink(df, out_dir, table, f"{name}_{query}", trig, partition_by)
+        run = sorted((p.getName() for p in _listed(spark, _table_path(out_dir, "live", table)) if p.getName().startswith(f"run={name}_{query}-")),
+                     key=lambda r: int(r.rpartition("-")[2]))[-1]
+        return f"{_table_path(out_dir, 'live', table)}/{run}"
+
+    def committed(path: str, schema, query: str) -> DataFrame:
+        return _follow(spark, path, schema, trig, started[query])
+
+    facts_run = sink(facts, FACTS, "ingest", ["dt"])
+    follow = lambda: committed(facts_run, facts.schema, "ingest").drop("dt")
     table = LatestStateTable(f"{out_dir.rstrip('/')}/latest_state")
-    latest = table.start(facts, name=f"{name}_latest", trigger=trig)
-    kpi = start_live_sink(kpi_stream(facts, delay, watermarked=True), out_dir, KPIS, f"{name}_kpi", trig)
-    rollup = start_live_sink(rollup_stream(facts, "5 minutes", delay, watermarked=True).withColumn("dt", F.to_date("time")),
-                             out_dir, ROLLUP, f"{name}_rollup", trig, ["dt"])
-    return {"ingest": ingest, "latest": latest, "kpi": kpi, "rollup": rollup, "facts_path": facts_path,
-            "kpi_path": kpi_path, "rollup_path": rollup_path, "latest_table": table}
+    started["latest"] = table.start(follow(), name=f"{name}_latest", trigger=trig)
+    sink(kpi_stream(follow(), delay), KPIS, "kpi")
+    rolled = rollup_stream(follow(), "5 minutes", delay).withColumn("dt", F.to_date("time"))
+    run, query = sink(rolled, ROLLUP, "rollup", ["dt"]), "rollup"
+    for level, width in ROLLUP_LEVELS.items():
+        rolled = combine_rollup(committed(run, rolled.schema, query).drop("dt"), width).withColumn("dt", F.to_date("time"))
+        query = "rollup_" + level.rpartition("_")[2]
+        run = sink(rolled, level, query, ["dt"])
+    return {**started, "facts_path": facts_path, "kpi_path": kpi_path, "rollup_path": rollup_path, "latest_table": table}
+
+
+def _wider(schema) -> list:
+    """Aggregates that combine partial rows of a rollup; sums keep their type."""
+    fn = {"sum": F.sum, "n": F.sum, "max": F.max, "min": F.min}
+    return [fn[f.name.split("_")[0]](f.name).cast(f.dataType).alias(f.name)
+            for f in schema if f.name.split("_")[0] in fn and "_" in f.name]
+
+
+def combine_rollup(stream: DataFrame, width: str, delay: str = "0 seconds") -> DataFrame:
+    """A coarser rollup from the closed buckets of a finer one (``time``, ``asset_id``, partials).
+
+    Closed buckets arrive in the order of their ends, so no delay is needed."""
+    s = event_time(stream, "time").withWatermark("time", delay)
+    return (s.groupBy(F.window("time", width).alias("w"), "asset_id").agg(*_wider(stream.schema))
+            .select(F.col("w.start").alias("time"), "asset_id", *[c for c in stream.columns if c not in ("time", "asset_id")]))
+
+
+def rollup_chain(stream: DataFrame, widths=("5 minutes", "1 hour", "1 day"), delay: str = "1 hour",
+                 watermarked: bool = False, measures=None) -> DataFrame:
+    """The coarsest of ``widths`` in one append-mode query: every level aggregates the closed windows of
+    the level before through ``window_time`` and keeps one row per open window and asset."""
+    from sitewatt.operators.timeseries import ROLLUP_MEASURES
+    s = stream if watermarked else event_time(stream).withWatermark("ts", delay)
+    aggs = [a for m in measures or ROLLUP_MEASURES for a in (
+        F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"n_{m}"), F.max(m).alias(f"max_{m}"), F.min(m).alias(f"min_{m}"))]
+    level = s.groupBy(F.window("ts", widths[0]).alias("w"), "asset_id").agg(*aggs)
+    for width in widths[1:]:
+        level = level.groupBy(F.window(F.window_time("w"), width).alias("w"), "asset_id").agg(*_wider(level.schema))
+    return level.select(F.col("w.start").alias("time"), *[c for c in level.columns if c != "w"])
 
 
 def rollup_stream(stream: DataFrame, width: str = "5 minutes", delay: str = "1 hour",

@@ -1,9 +1,9 @@
 """Dimension joins with a checked broadcast, and one-row attachments.
 
-A dimension side is broadcast only after its row count is proven below a cap.
-The count is one distributed pass (partial counts per task, one tiny final
-aggregate; with no filter Parquet answers it from footers) and is memoised per
-plan and input file set. Beyond the cap the join stays a shuffle join
+A dimension side is broadcast only after its rows and bytes are proven below a cap.
+The count is one distributed pass (partial sums per task, one tiny final aggregate)
+and is memoised per plan and content of its input files, so a replaced table is
+counted anew. Beyond the cap the join stays a shuffle join
 (sort-merge, with AQE skew splitting), so nothing unbounded is ever shipped to
 every executor.
 """
@@ -13,28 +13,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default cap for broadcasting a dimension (rows of the projected side).
+# Default caps for broadcasting a dimension (rows and bytes of the projected side).
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 _decisions: dict = {}
 
 
 def _plan_key(df: DataFrame):
+    """The plan with names, sizes and times of the files it reads (one listing a folder)."""
     try:
-        return (df.semanticHash(), tuple(sorted(df.inputFiles())))
+        files = df.inputFiles()
+        spark = df.sparkSession
+        content = []
+        for folder in sorted({f.rpartition("/")[0] for f in files}):
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            for st in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where):
+                content.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+        return df.semanticHash(), tuple(sorted(content))
     except Exception:  # pragma: no cover - non-file sources
         return None
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (decision memoised per plan
-    and input file set, so a dashboard refresh does not re-check)."""
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes (fixed widths plus the strings' own lengths)."""
+    fixed, variable = 0, F.lit(0)
+    for f in df.schema:
+        if f.dataType.simpleString() in ("string", "binary"):
+            variable = variable + F.coalesce(F.octet_length(f.name), F.lit(0))
+        fixed += 16
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(variable.cast("long")).alias("b")).first()
+    return row["n"], row["n"] * fixed + (row["b"] or 0)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes (decision memoised per plan
+    and content of the input files, so a dashboard refresh does not re-check)."""
     key = _plan_key(df)
-    if key is not None and (key, max_rows) in _decisions:
-        return _decisions[(key, max_rows)]
-    ok = df.count() <= max_rows
+    if key is not None and (key, max_rows, max_bytes) in _decisions:
+        return _decisions[(key, max_rows, max_bytes)]
+    rows, size = _size(df)
+    ok = rows <= max_rows and size <= max_bytes
     if key is not None:
-        _decisions[(key, max_rows)] = ok
+        _decisions[(key, max_rows, max_bytes)] = ok
     return ok
 
 

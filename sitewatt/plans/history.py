@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitewatt.operators import kpi as KPI
@@ -10,12 +12,15 @@ from sitewatt.operators import timeseries as TS
 from sitewatt.operators import topk as K
 from sitewatt.operators.asof import asof_join
 from sitewatt.operators.episodes import alert_episodes
+from sitewatt.operators.key_index import append_absent, key_bitmaps
+from sitewatt.operators.keyed_table import KeyedTable
 from sitewatt.operators.latest import latest_per_key
 from sitewatt.operators.moving import forecast_backtest
+from sitewatt.operators.quality import write_checked
 from sitewatt.operators.ranges import prefix_sums, range_means, range_sums
 from sitewatt.plans.catalog import QUERIES, SCOPE_ROOM, Ctx, _kpi, _kpi_stored, _rollup, query
 from sitewatt.session import checkpoint_dir
-from sitewatt.sources.fixture import materialize_derived, replayed
+from sitewatt.sources.fixture import TELEMETRY, input_signature, materialize_derived, replayed, sent_samples
 
 AS_OF = "2024-01-15 12:00:00"
 KPI_AVERAGES = {n: c for c, n, _ in R.RANGE_AVGS_WIDE}
@@ -155,3 +160,48 @@ def q_top_power_per_rack(spark, sf_dir):
 def q_hottest_per_room(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return K.top_per_group(c.latest, c.assets, "room_name", "outlet_temp_c", 3, K.HOTTEST_SPEC)
+
+
+# ---------------------------------------------------------------------------
+# Ingestion: checks in flight, first-wins appends against the key index, keyed upserts.
+INDEXED_UNTIL, SENT_FROM = "2024-01-20 00:00:00", "2024-01-18 00:00:00"
+
+
+@query("ingest_quality")
+def q_ingest_quality(spark, sf_dir):
+    """Counts of one checked load of all events; facts and rejects are written in the same pass."""
+    c = Ctx(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/sitewatt-ingest-{uuid.uuid4().hex}"
+    counts = write_checked(sent_samples(c.fx.table("events")), path, ["ts", "asset_id"], "event_id", c.assets, "asset_id", TELEMETRY)
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
+
+
+@query("new_samples")
+def q_new_samples(spark, sf_dir):
+    """What a batch that re-sends two known days and brings later ones adds to the facts."""
+    c = Ctx(spark, sf_dir)
+    index = _stored(c, "sample_index", lambda: key_bitmaps(c.tm.where(F.col("ts") < F.lit(INDEXED_UNTIL).cast("timestamp_ntz"))), "dt")
+    batch = sent_samples(c.fx.table("events").where(F.col("ts") >= F.lit(SENT_FROM).cast("timestamp_ntz")))
+    return append_absent(index, batch, "event_id").select(*TELEMETRY)
+
+
+@query("inventory_upsert")
+def q_inventory_upsert(spark, sf_dir):
+    """The asset inventory after two batches of orders were merged into it: every asset with its last run."""
+    c = Ctx(spark, sf_dir)
+
+    def build():
+        customers, orders = c.fx.table("customer"), c.fx.table("orders")
+        key = input_signature(spark, sf_dir, ["customer", "orders"])
+        table = KeyedTable(f"{checkpoint_dir(spark)}/sitewatt-model/inventory-{key}", ["asset_id"], "last_run_at", buckets=16)
+        names = customers.select(F.col("c_custkey").alias("asset_id"), F.col("c_name").alias("asset_name"))
+        runs = (orders.join(names, F.col("o_custkey") == F.col("asset_id"))
+                .select("asset_id", "asset_name", F.col("o_orderdate").cast("timestamp_ntz").alias("last_run_at"),
+                        F.col("o_orderkey").alias("last_run"), F.col("o_totalprice").alias("last_price")))
+        late = F.col("last_run_at") >= F.lit("1998-01-01").cast("timestamp_ntz")
+        none = [F.lit(None).cast(t).alias(n) for n, t in runs.dtypes[2:]]
+        table.merge(names.select("*", *none))
+        table.merge(runs.where(~late))
+        table.merge(runs.where(late))
+        return table.current(spark)
+    return c._once("inventory", build)

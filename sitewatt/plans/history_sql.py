@@ -8,6 +8,7 @@ from sitewatt.plans.oracle import (
     MODEL_COEFS,
     ORACLE,
     SCOPE_ROOM,
+    _TM_COLS,
     _bucket,
     _coefs_for,
     _filters,
@@ -151,3 +152,24 @@ SELECT room_name, ROW_NUMBER() OVER (PARTITION BY room_name ORDER BY l.outlet_te
   a.asset_name AS server, a.room_name AS room, a.rack_name AS rack, CAST(ROUND(l.outlet_temp_c, 1) AS DOUBLE) AS outlet_c,
   CAST(ROUND(l.cpu_usage, 1) AS DOUBLE) AS cpu_percent, l.status_level AS status
 FROM latest_asset_metrics l JOIN assets a USING (asset_id) QUALIFY rank <= 3""")
+
+
+# ---------------------------------------------------------------------------
+# Ingestion.
+ORACLE["ingest_quality"] = _with("""
+sent AS (SELECT ts, asset_id, COUNT(*) AS copies FROM raw GROUP BY ts, asset_id)""", f"""
+SELECT COUNT(*) AS rows, (SELECT COUNT(*) FROM raw) AS samples, {", ".join(f"COUNT(*) - COUNT({c}) AS {c}_nulls" for c in _TM_COLS)},
+  (SELECT COUNT(*) FROM raw) - COUNT(*) AS copies, (SELECT COUNT(*) FROM sent WHERE copies > 1) AS repeated_keys,
+  COUNT(*) FILTER (WHERE asset_id IS NOT NULL AND asset_id NOT IN (SELECT asset_id FROM assets)) AS orphans,
+  COUNT(*) FILTER (WHERE asset_id IN (SELECT asset_id FROM assets) AND {" AND ".join(f"{c} IS NOT NULL" for c in _TM_COLS)}) AS valid_rows
+FROM telemetry_metrics""")
+ORACLE["new_samples"] = _with("""
+sent AS (
+  SELECT t.* FROM telemetry_metrics t
+  WHERE EXISTS (SELECT 1 FROM events e WHERE e.ts >= TIMESTAMP '2024-01-18' AND e.user_id = t.asset_id AND date_trunc('minute', e.ts) = t.ts)
+)""", "SELECT * FROM sent WHERE ts >= TIMESTAMP '2024-01-20'")
+ORACLE["inventory_upsert"] = """
+SELECT c_custkey AS asset_id, c_name AS asset_name, o_orderdate AS last_run_at, o_orderkey AS last_run, o_totalprice AS last_price
+FROM customer LEFT JOIN (
+  SELECT DISTINCT ON (o_custkey) * FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey DESC
+) ON o_custkey = c_custkey"""

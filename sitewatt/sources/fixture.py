@@ -88,8 +88,17 @@ def raw_samples(events: DataFrame) -> DataFrame:
     return base.select("*", power_c.alias("power_c"), outlet_c.alias("outlet_c"))
 
 
+TELEMETRY = ["ts", "asset_id", "cpu_usage", "power_w", "inlet_temp_c", "outlet_temp_c",
+             "emission_factor_kg_per_kwh", "carbon_kg", "status_level", "operational_state"]
+
+
 def telemetry_from(events: DataFrame) -> DataFrame:
     """Telemetry facts; the first event per ``(ts, asset_id)`` wins (SNK-1)."""
+    return first_wins(sent_samples(events), ["ts", "asset_id"], "event_id").select(*TELEMETRY)
+
+
+def sent_samples(events: DataFrame) -> DataFrame:
+    """Telemetry rows as they come in, with the ``event_id`` that orders them; a key may come twice."""
     s = raw_samples(events).withColumn("ef_e4", F.round(emission_factor("ts") * 10000).cast("bigint"))
     c0 = F.col("power_c") * F.col("ef_e4") + 50000
     rows = s.select(
@@ -103,11 +112,8 @@ def telemetry_from(events: DataFrame) -> DataFrame:
         F.col("nom").cast("decimal(18,2)").alias("nominal_power_w"),
         F.col("state").alias("operational_state"),
     )
-    rows = rows.withColumn("status_level", status_level(
-        "cpu_usage", "outlet_temp_c", "power_w", "nominal_power_w", "operational_state"))
-    deduped = first_wins(rows, ["ts", "asset_id"], "event_id")
-    return deduped.select("ts", "asset_id", "cpu_usage", "power_w", "inlet_temp_c", "outlet_temp_c",
-                          "emission_factor_kg_per_kwh", "carbon_kg", "status_level", "operational_state")
+    return rows.withColumn("status_level", status_level(
+        "cpu_usage", "outlet_temp_c", "power_w", "nominal_power_w", "operational_state")).select("event_id", *TELEMETRY)
 
 
 def sources_from(supplier: DataFrame, nation: DataFrame) -> DataFrame:

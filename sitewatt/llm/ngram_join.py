@@ -17,8 +17,7 @@ set walks the trie with the overlap so far, shared by all sets below a branch;
 a branch is left when its lengths cannot fit or when the overlap plus what can still
 follow (on either side) cannot reach the threshold. Sets already connected are not
 compared again, so a group of near copies costs a row of links, not all pairs.
-Each node first meets the smallest of its groups, so each text is sent once; groups that
-then still hold several pieces are joined again. Groups of more than BLOCK nodes are joined in salted blocks, each with the group's
+Groups of more than BLOCK nodes are joined in salted blocks, each with the group's
 smallest node and PIVOTS others, which tie the blocks together; only pieces still apart are
 compared across blocks.
 
@@ -31,6 +30,8 @@ carried along, columns named like a result replaced.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -257,7 +258,7 @@ def _in_blocks(member: DataFrame, sizes: DataFrame) -> DataFrame:
     x = member.join(sizes, "cand").withColumn("k", F.ceil(F.col("size") / BLOCK))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("k")))
     salts = F.when((F.col("k") > 1) & F.array_contains("pivots", F.col("node")), F.expr("sequence(0L, k - 1)")).otherwise(own)
-    return x.select("node", "cand", F.explode(salts).alias("salt"))
+    return x.select("node", "words", "cand", F.explode(salts).alias("salt"))
 
 
 def _labels(member: DataFrame, links: DataFrame) -> DataFrame:
@@ -284,56 +285,56 @@ def _across(member: DataFrame) -> DataFrame:
              .otherwise(F.concat(
                  F.transform(F.expr("sequence(0L, mk - 1)"), lambda m: F.struct(F.col("salt").alias("o"), (-1 - m).alias("p"))),
                  F.transform(others, lambda o: F.struct(F.greatest("salt", o).alias("o"), F.least("salt", o).alias("p"))))))
-    return (x.select("node", "cand", "label", F.explode(cells).alias("cell"))
-            .select("node", "cand", "label", "cell.o", "cell.p"))
+    return (x.select("node", "words", "cand", "label", F.explode(cells).alias("cell"))
+            .select("node", "words", "cand", "label", "cell.o", "cell.p"))
 
 
-def _links(keyed: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links that connect what all links inside the candidate groups connect, in two rounds.
+def _compare(keyed: DataFrame, dealt: DataFrame, by: list[str], join, corpus: int) -> DataFrame:
+    """Links inside the groups ``by`` of ``dealt`` (node, ``words`` and the group's columns), joined by ``join``.
 
-    First every node meets the smallest of its groups only, so each text is sent once.
-    Then only groups that still hold several pieces, and a node that met another group
-    first, are joined with all their nodes.
+    Texts are sent in passes over disjoint groups, each of about as many words as the whole
+    corpus holds, however often a text is wanted: a pass's shuffle files go when its links are written.
     """
-    first = member.groupBy("node").agg(F.min(F.struct("cand", "low")).alias("f")).select("node", "f.*")
-    first = materialize(first, "ngram-first")
-    sizes = first.groupBy("cand").agg(F.count("*").alias("size"), F.array_distinct(F.array_compact(F.array(
+    passes = -(-(dealt.agg(F.sum("words")).first()[0] or 0) // max(corpus, 1))
+    found = []
+    for k in range(max(1, passes)):
+        some = dealt.filter(F.pmod(F.xxhash64(*by), F.lit(max(1, passes))) == k).drop("words")
+        links = _with_texts(keyed, some).groupBy(*by).applyInArrow(join, "u long, v long")
+        found.append(materialize(links, "ngram-links"))
+    return functools.reduce(DataFrame.union, found)
+
+
+def _links(keyed: DataFrame, member: DataFrame, n: int, percent: int, corpus: int) -> DataFrame:
+    """Links that connect what all links inside the candidate groups connect."""
+    sizes = member.groupBy("cand").agg(F.count("*").alias("size"), F.array_distinct(F.array_compact(F.array(
         F.min(F.when(F.col("low"), F.col("node"))),
         *[F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)]))).alias("pivots"))
-    sizes = materialize(sizes.filter("size > 1"), "ngram-groups")
-    first = first.drop("low")
-    links = (_with_texts(keyed, _in_blocks(first, sizes)).groupBy("cand", "salt")
-             .applyInArrow(_join_group(n, percent, False), "u long, v long"))
-    links = materialize(links, "ngram-links")
-
-    def joined_on(left: DataFrame) -> DataFrame:
-        far = (_with_texts(keyed, _across(left)).groupBy("cand", "o", "p")
-               .applyInArrow(_join_group(n, percent, True), "u long, v long"))
-        return materialize(links.union(far), "ngram-links")
-
+    sizes = materialize(sizes, "ngram-groups")
+    member = member.drop("low")
+    links = _compare(keyed, _in_blocks(member, sizes), ["cand", "salt"], _join_group(n, percent, False), corpus)
     large = sizes.filter(F.col("size") > BLOCK).select("cand")
-    if not large.isEmpty():  # else every group was one block: all its links are found
-        links = joined_on(_labels(first.join(large, "cand", "left_semi"), links))
-    met = first.select("node", F.col("cand").alias("met"))
-    labelled = materialize(_labels(member.drop("low").join(met, "node"), links), "ngram-pieces")
-    still = labelled.groupBy("cand").agg((F.min("label") < F.max("label")).alias("apart"), F.max(F.col("met") != F.col("cand")).alias("new"))
-    left = labelled.join(still.filter("apart and new").select("cand"), "cand", "left_semi").drop("met")
-    return links if left.isEmpty() else joined_on(left)
+    if large.isEmpty():  # every group was one block: all its links are found
+        return links
+    big = _labels(member.join(large, "cand", "left_semi"), links)
+    return links.union(_compare(keyed, _across(big), ["cand", "o", "p"], _join_group(n, percent, True), corpus))
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """``(doc, size, component)``, one row per row of ``docs`` (doc: the id, null as NO_ID)."""
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     rows = materialize(keyed.mapInArrow(_sizes(n), "doc long, size long, h1 long, h2 long"), "ngram-sizes")
-    reps = materialize(rows.filter("size > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node")), "ngram-nodes")
+    reps = materialize(rows.filter("size > 0").groupBy("h1", "h2").agg(
+        F.min("doc").alias("node"), F.max("size").alias("words")), "ngram-nodes")
 
     sigs = keyed.select("text").mapInArrow(_sig_rows(n, percent), "sig long, set long")
     shared = sigs.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high")
     shared = materialize(shared.select("sig", "low"), "ngram-shared")
     star = sigs.join(shared, "sig").select(F.col("low").alias("cand"), F.col("set").alias("h1")).distinct()
-    member = materialize(reps.join(star, "h1").select("node", "cand", (F.col("h1") == F.col("cand")).alias("low")), "ngram-members")
-    links = _links(keyed, member, n, percent)
+    member = materialize(reps.join(star, "h1").select("node", "words", "cand", (F.col("h1") == F.col("cand")).alias("low")),
+                         "ngram-members")
+    links = _links(keyed, member, n, percent, rows.agg(F.sum("size")).first()[0] or 0)
 
+    reps = reps.drop("words")
     nodes = rows.filter("size > 0").join(reps, ["h1", "h2"])
     several = nodes.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u < w").select("doc", "u")
     same_id = nodes.join(several, "doc").select("u", F.col("node").alias("v")).filter("u <> v")

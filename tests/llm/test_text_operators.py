@@ -1,6 +1,7 @@
 """Each operator against a brute-force version over untidy small inputs, and over empty tables."""
 
 import datetime
+import hashlib
 import math
 import random
 import re
@@ -107,6 +108,18 @@ def test_ngram_join(docs_of, monkeypatch, n, percent, block, small):
         assert ngram_join.ngram_join(docs_of([])).count() == 0
 
 
+def test_ngram_join_in_passes(docs_of, monkeypatch):
+    compare, used = ngram_join._compare, []
+
+    def small(keyed, dealt, by, join, corpus):
+        used.append(by)
+        return compare(keyed, dealt, by, join, corpus // 7)
+    monkeypatch.setattr(ngram_join, "_compare", small)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    got = rows_of(ngram_join.ngram_join(docs_of(ROWS), n=5, percent=80), "doc", "size", "component")
+    assert got == cases.linked(ROWS, 5, 80) and len(used) == 2
+
+
 def test_ngram_stage_keeps_one_row_of_each_group(spark, docs_of):
     near = next(t for d, t in ROWS if d == 50)
     alone = [(None, None), (None, ""), (None, "")]
@@ -155,6 +168,35 @@ def test_secret_scan(docs_of):
     assert secret_scan.secret_scan(docs_of([])).count() == 0
 
 
+def plain_secrets(text):
+    """Base spans of the contract by plain regular expressions, rendered."""
+    t, found = text or "", []
+    for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"""
+                         r"""|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return found, ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_secret_base_spans_equal_plain_regexes(spark, scratch):
+    r = random.Random(12)
+    bits = ["password", "PassWd", "Secret", "TOKEN", "api_key", "ApiKey", "apikey", "'", '"', " ", "  ", ":", "=", "\n", "é", "日", "\u212a",
+            "abc", "abcdef", "x.y/z=", "hunter2hunter", "AKIA", "AKIA" + "Z9" * 8, "AKIA" + "Z" * 15, "AKIAAKIA" + "Q" * 14,
+            "0a" * 12, "0a" * 11, "deadbeef" * 4, "DEADBEEF" * 4, "f" * 200, "-", "_", "+"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(300)]
+    texts += [None, "", "é" * 5000 + ("0b" * 13 + " é ") * 3000, "password=" * 9, "token:abcdefsecret=ghijkl"] + [t for _, t in ROWS]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]  # two rows share an id
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    got = sorted((x["doc_id"], x["n_assign"], x["n_access"], x["n_hex"], x["base_sha256"]) for x in secret_scan.op3(spark, scratch).collect())
+    want = []
+    for d, t in rows:
+        found, text = plain_secrets(t)
+        want.append((d, *(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want) and sum(x[1] for x in want) > 50 and sum(x[3] for x in want) > 50
+
+
 def test_secret_scan_measures_every_long_token(docs_of):
     r = random.Random(8)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -193,6 +235,20 @@ def test_packing(docs_of):
     assert packing.pack(docs_of([])).count() == 0
 
 
+def test_packing_spreads_equal_rows(docs_of, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 7)
+    rows = [(1, "same words again")] * 500 + [(None, None)] * 300 + [(2, ROWS[0][1])] * 3
+    got = packing.pack(docs_of(rows)).collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 500, None: 300, 2: 3}
+    at = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert at.get(r["sequence_id"], 0) == r["offset"]
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 1024 and sorted(at) == list(range(len(at)))
+    ranked = packing._ranks(packing.pack(docs_of(rows)).select(*packing.RESULT_NAMES[:5]), [], ["doc_id", "start", "ids_crc32"], 8)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(803))
+
+
 def test_best_fill_is_the_best():
     r = random.Random(4)
     for _ in range(200):
@@ -224,6 +280,86 @@ def test_block_search(spark):
     assert block_search.block_search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def plain_fit(rows, labels, size, grades, steps, l1, rate):
+    """The ordinal model by plain loops over rows and features."""
+    sig = lambda z: 1 / (1 + math.exp(-max(-40, min(40, z))))
+    w, base, gaps = [0.0] * size, 0.0, [1.0] * (grades - 2)
+    sw, sb, sg = [1e-8] * size, 1e-8, [1e-8] * (grades - 2)
+    for _ in range(steps):
+        theta = [base + sum(math.exp(g) for g in gaps[:j]) for j in range(grades - 1)]
+        gw, gt = [0.0] * size, [0.0] * (grades - 1)
+        for x, y in zip(rows, labels):
+            z = sum(w[i] for i in x)
+            fu = sig(theta[y] - z) if y < grades - 1 else 1.0
+            fl = sig(theta[y - 1] - z) if y else 0.0
+            p = max(fu - fl, 1e-12)
+            du, dl = fu * (1 - fu) / p, fl * (1 - fl) / p
+            for i in x:
+                gw[i] += du - dl
+            if y < grades - 1:
+                gt[y] -= du
+            if y:
+                gt[y - 1] += dl
+        for i in range(size):
+            sw[i] += gw[i] ** 2
+            step = rate / math.sqrt(sw[i])
+            v = w[i] - step * gw[i]
+            w[i] = math.copysign(max(abs(v) - step * l1, 0), v)
+        sb += sum(gt) ** 2
+        base -= rate * sum(gt) / math.sqrt(sb)
+        for j in range(grades - 2):
+            g = sum(gt[j + 1:]) * math.exp(gaps[j])
+            sg[j] += g * g
+            gaps[j] -= rate * g / math.sqrt(sg[j])
+    return w, [base + sum(math.exp(g) for g in gaps[:j]) for j in range(grades - 1)]
+
+
+def graded(n, seed):
+    """Rows of features with true grades 0, 1, 2: the more words of the second half, the worse."""
+    r = random.Random(seed)
+    rows, grades = [], []
+    for _ in range(n):
+        k = r.choice([0, 0, 1, 2, 3, 4])
+        rows.append(sorted(r.sample(range(16), 5) + r.sample(range(16, 32), k)))
+        grades.append(min(2, (k + 1) // 2))
+    return rows, grades
+
+
+def flat(rows):
+    return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.array([i for x in rows for i in x])
+
+
+def test_toxicity_fit_equals_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "BITS", 5)
+    rows, y = graded(60, 1)
+    w, theta = toxicity.fit(*flat(rows), np.array(y), steps=40)
+    pw, ptheta = plain_fit(rows, y, 32, 3, 40, 0.25, 0.3)
+    assert np.allclose(w, pw, atol=1e-8) and np.allclose(theta, ptheta, atol=1e-8)
+
+
+def test_toxicity_orders_true_grades(monkeypatch):
+    monkeypatch.setattr(toxicity, "BITS", 5)
+    w, theta = toxicity.fit(*flat(graded(600, 2)[0]), np.array(graded(600, 2)[1]))
+    assert theta[0] < theta[1]
+    rows, y = graded(300, 3)
+    z = np.array([w[x].sum() for x in rows])
+    severity = (1 / (1 + np.exp(theta[None] - z[:, None]))).sum(axis=1)
+    means = [severity[np.array(y) == g].mean() for g in range(3)]
+    assert means[0] < 0.3 and 0.7 < means[1] < 1.3 and means[2] > 1.7
+    assert np.mean(np.round(severity) == y) > 0.9
+
+
+def test_toxicity_repeated_rows_and_wide_texts(spark, docs_of):
+    rows = [(i, "rude words here" if i % 2 else "kind words there") for i in range(40)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (77, 1)], "doc_id long, toxic int")
+    once, twice = toxicity.train(docs_of(rows), lab), toxicity.train(docs_of(rows * 3), lab)
+    assert np.array_equal(once[0], twice[0]) and np.array_equal(once[1], twice[1])
+    wide = [(100, " ".join(map(str, range(5000))))]
+    with_wide = toxicity.train(docs_of(rows + wide), lab.union(spark.createDataFrame([(100, 1)], lab.schema)))
+    assert np.array_equal(once[0], with_wide[0])  # scored, not learnt from
+    assert toxicity.score(docs_of(rows * 2 + wide), once).count() == 81
+
+
 def test_toxicity_held_out(spark, docs_of):
     r = random.Random(6)
     plain = ["word%d" % i for i in range(60)]

@@ -11,13 +11,14 @@ and what stands there. A document that comes with a larger id counts as a copy a
 once; when a smaller id arrives, the documents that held the place are retracted from
 their part counters (minus one at the old mask, plus one with the copy bit) and the
 newcomer takes the place. The counters are the sums of these deltas, appended exactly
-once per micro-batch; a restarted query goes on from its checkpoint.
+once per micro-batch; a restarted query goes on from its checkpoint. Labels are joined to
+the deltas once, when the stream has ended.
 
-Scale: texts never leave the first map step, only their 128-bit digest does. Before
-the shuffle by text every Arrow batch is combined: of a text that many rows share, its
-smallest id stays one row and the others are counted (they are copies whatever else
-comes), so a hot text costs each map task a few rows. The number of buckets grows with
-the table. The final table is made of at most 32 masks a part.
+Scale: texts never leave the first map step, only their 128-bit digest does. Of a text
+that many rows of an Arrow batch share only the smallest id goes to the text's bucket; the
+others are copies whatever else comes, and are spread over the buckets by their id. So a hot
+text costs each batch of rows one row in its bucket. The number of buckets grows with the
+table. The final table is made of at most 32 masks a part.
 
 Defined cases: null text is the empty text; null part is the empty string; a null id is
 smaller or larger than none: never a copy and never makes one; rows that share the
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from sitewatt.llm import textcodes as tc
 from sitewatt.llm.common import drop_folders, materialize
 from sitewatt.session import checkpoint_dir
 
@@ -61,48 +63,43 @@ def own_mask(raw: bytes) -> int:
     return (len(words) < 100) | (100 * len(set(words)) < 80 * len(words)) << 1 | (100 * upper > 10 * points) << 2 | marks << 3
 
 
-def _features(batches):
-    for b in batches:
-        mask, d0, d1 = [], [], []
-        texts = b.column(1).cast(pa.large_binary())
-        for at in range(0, len(texts), ROWS):
-            for raw in texts.slice(at, ROWS).to_pylist():
-                raw = raw or b""
-                mask.append(own_mask(raw))
-                digest = hashlib.blake2b(raw, digest_size=16).digest()
-                d0.append(int.from_bytes(digest[:8], "little", signed=True))
-                d1.append(int.from_bytes(digest[8:], "little", signed=True))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(mask, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64())],
-            names=["doc_id", "part", "mask", "d0", "d1"])
+def _rows(buckets: int):
+    """One row per document (equal rows of an Arrow batch counted once): its mask and digest, and where it goes.
 
-
-FEATURES = "doc_id long, part string, mask int, d0 long, d1 long"
-HELD = ["d0", "d1", "doc_id", "part", "mask", "flags"]
-
-
-def _combine(buckets: int):
-    """Equal texts of an Arrow batch: the smallest id stays, the others are counted."""
+    Of the documents of a batch that share a text, those with the smallest id go to the text's bucket. The others
+    are copies whatever else comes: they carry the copy bit already and go to a bucket by their id.
+    """
     def work(batches):
         for b in batches:
-            named = b.column(0).is_valid()
-            t = b.set_column(0, "doc_id", b.column(0).fill_null(0)).to_pandas().assign(named=named.to_numpy(zero_copy_only=False))
-            nameless = t[~t["named"]].assign(d0=0, d1=0).groupby([*HELD, "named"], as_index=False).size()
-            t = t[t["named"]]
-            least = t.groupby(["d0", "d1"])["doc_id"].transform("min")
-            first = t[t["doc_id"] == least].groupby([*HELD, "named"], as_index=False).size()
-            later = (t[t["doc_id"] > least].groupby(["d0", "d1", "part", "mask", "flags", "named"], as_index=False)
-                     .agg(doc_id=("doc_id", "min"), size=("doc_id", "size")))
-            rows = pd.concat([x for x in (first, later, nameless) if len(x)] or [first]).rename(columns={"size": "n"})
-            rows["bucket"] = rows["d0"] % buckets
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], f.type) for c, f in zip(_COMBINED.names, _COMBINED)], schema=_COMBINED)
+            ids = b.column(0)
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
+            mask, d0, d1 = [], [], []
+            texts = b.column(1).cast(pa.large_binary())
+            for at in range(0, len(texts), ROWS):
+                for raw in texts.slice(at, ROWS).to_pylist():
+                    raw = raw or b""
+                    mask.append(own_mask(raw))
+                    digest = hashlib.blake2b(raw, digest_size=16).digest()
+                    d0.append(int.from_bytes(digest[:8], "little", signed=True))
+                    d1.append(int.from_bytes(digest[8:], "little", signed=True))
+            t = pd.DataFrame({"d0": np.array(d0, np.int64), "d1": np.array(d1, np.int64),
+                              "doc_id": ids.fill_null(0).to_numpy(zero_copy_only=False), "part": b.column(2).to_pylist(),
+                              "mask": np.array(mask, np.int64), "named": named})
+            t = t.groupby([*HELD, "named"], as_index=False).size().rename(columns={"size": "n"})
+            least = t.where(t["named"]).groupby(["d0", "d1"])["doc_id"].transform("min")
+            t["claims"] = t["named"] & (t["doc_id"] == least)
+            t["mask"] |= np.where(t["named"] & ~t["claims"], COPY, 0)
+            bucket = np.where(t["claims"], t["d0"], tc.mix(t["doc_id"].to_numpy(np.int64).view(np.uint64)).view(np.int64) ^ t["d0"])
+            t["bucket"] = np.mod(bucket, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(t[f.name], f.type) for f in _ROWS], schema=_ROWS)
     return work
 
 
-COMBINED = "bucket long, d0 long, d1 long, doc_id long, part string, mask int, flags int, named boolean, n long"
-_COMBINED = pa.schema([("bucket", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("doc_id", pa.int64()), ("part", pa.string()),
-                       ("mask", pa.int32()), ("flags", pa.int32()), ("named", pa.bool_()), ("n", pa.int64())])
-DELTAS = "part string, mask int, flags int, delta long"
+HELD = ["d0", "d1", "doc_id", "part", "mask"]
+_ROWS = pa.schema([("bucket", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("doc_id", pa.int64()), ("part", pa.string()),
+                   ("mask", pa.int64()), ("named", pa.bool_()), ("claims", pa.bool_()), ("n", pa.int64())])
+ROWS_SCHEMA = "bucket long, d0 long, d1 long, doc_id long, part string, mask long, named boolean, claims boolean, n long"
+DELTAS = "doc_id long, named boolean, part string, mask long, delta long"
 
 
 def _pack(held: pd.DataFrame) -> bytes:
@@ -114,32 +111,33 @@ def _pack(held: pd.DataFrame) -> bytes:
 
 
 def advance(held: pd.DataFrame | None, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """What a bucket holds after ``new`` rows, and the changes of the part counters.
+    """What a bucket holds after ``new`` rows, and the changes of the part counters by document.
 
-    ``held``: the rows at the smallest id of each text seen so far; rows of ``new`` that
-    are not ``named`` have no id.
+    ``held``: the rows at the smallest id of each text seen so far. Rows of ``new`` that do not
+    claim a place (copies for certain, and rows without id) are counted as they are.
     """
-    nameless = ~new["named"].astype(bool)
-    deltas = [new[nameless].assign(delta=lambda t: t["n"])]
-    rows = new[~nameless].drop(columns="named").assign(old=False)
+    claims = new["claims"].astype(bool)
+    rows = new[claims].assign(old=False)
     if held is not None:
-        rows = pd.concat([held.assign(old=True), rows])
+        rows = pd.concat([held.assign(old=True, named=True), rows])
     rows = rows.reset_index(drop=True).astype({"old": bool})
     late = rows["doc_id"] > rows.groupby(["d0", "d1"])["doc_id"].transform("min")
-    marked = rows["mask"] | COPY
-    deltas += [rows[~rows["old"]].assign(mask=rows["mask"].where(~late, marked), delta=rows["n"]),
-               rows[rows["old"] & late].assign(delta=-rows["n"]),                      # retracted
-               rows[rows["old"] & late].assign(mask=marked, delta=rows["n"])]
-    changes = pd.concat([d for d in deltas if len(d)] or deltas[:1]).groupby(["part", "mask", "flags"], as_index=False)["delta"].sum()
+    rows = rows.assign(copied=rows["mask"] | COPY, late=late, delta=rows["n"])
+    moved, came = rows[rows["old"] & late], rows[~rows["old"]]
+    deltas = [new[~claims].assign(delta=new.loc[~claims, "n"].to_numpy()),
+              came.assign(mask=np.where(came["late"], came["copied"], came["mask"])),
+              moved.assign(delta=-moved["delta"].to_numpy()),          # retracted
+              moved.assign(mask=moved["copied"].to_numpy())]
+    changes = pd.concat([d for d in deltas if len(d)] or deltas[:1])
     kept = rows[~late].groupby(HELD, as_index=False)["n"].sum()
-    return kept, changes[changes["delta"] != 0]
+    return kept, changes[["doc_id", "named", "part", "mask", "delta"]].reset_index(drop=True)
 
 
 def _update(key, frames, state):
     held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
     held, changes = advance(held, pd.concat(list(frames), ignore_index=True))
     state.update((_pack(held),))
-    yield changes[["part", "mask", "flags", "delta"]]
+    yield changes
 
 
 def _session(spark: SparkSession) -> SparkSession:
@@ -172,27 +170,20 @@ def mask_counters(spark: SparkSession, docs_path: str, labels: DataFrame | None
     else:
         source = source.parquet(docs_path)
     docs = source.select(F.col(doc_id).cast("long"), F.col(text), F.coalesce(F.col(part).cast("string"), F.lit("")))
-    docs = docs.mapInArrow(_features, FEATURES)
-    if labels is None:
-        docs = docs.withColumn("flags", F.lit(0))
-    else:  # null ids match nothing: they are spread over the tasks instead of meeting in one
-        one = own.read.schema(labels.schema).parquet(*labels.inputFiles()) if labels.inputFiles() else labels
-        one = one.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(
-            (F.max(F.when(F.col("quality") == 1, 1).otherwise(0)) + F.max(F.when(F.col("toxic") == 1, 2).otherwise(0))).alias("flags"))
-        spread = F.when(F.col("doc_id").isNull(), F.col("d0")).otherwise(0)
-        docs = (docs.withColumn("__spread", spread)
-                .join(one.withColumn("__none", F.lit(0).cast("long")),
-                      (F.col("doc_id") == F.col("__id")) & (F.col("__spread") == F.col("__none")), "left")
-                .withColumn("flags", F.coalesce("flags", F.lit(0))))
-    combined = docs.select("doc_id", "part", "mask", "flags", "d0", "d1").mapInArrow(
-        _combine(max(1, -(-rows // bucket))), COMBINED)
-    deltas = combined.groupBy("bucket").applyInPandasWithState(
+    deltas = docs.mapInArrow(_rows(max(1, -(-rows // bucket))), ROWS_SCHEMA).groupBy("bucket").applyInPandasWithState(
         _update, DELTAS, "held binary", "append", GroupStateTimeout.NoTimeout)
     query = (deltas.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/deltas")
              .option("checkpointLocation", f"{folder}/query").trigger(availableNow=True).start())
     query.awaitTermination()
     own.createDataFrame([], DELTAS).write.mode("append").parquet(f"{folder}/none")
     found = spark.read.schema(DELTAS).parquet(f"{folder}/none", *([f"{folder}/deltas"] if files else []))
+    found = found.withColumn("doc_id", F.expr("if(named, doc_id, null)"))
+    if labels is None:
+        found = found.withColumn("flags", F.lit(0))
+    else:
+        one = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+            (F.max(F.when(F.col("quality") == 1, 1).otherwise(0)) + F.max(F.when(F.col("toxic") == 1, 2).otherwise(0))).alias("flags"))
+        found = found.join(one, "doc_id", "left").withColumn("flags", F.coalesce("flags", F.lit(0)))
     counters = found.groupBy("part", "mask", "flags").agg(F.sum("delta").alias("n")).where("n != 0")
     counters = materialize(counters, "audit-counters")
     drop_folders(spark, {folder})

@@ -103,9 +103,11 @@ def test_empty_tables(spark, scratch):
 
 def test_retraction_moves_counts():
     import pandas as pd
-    row = lambda i, part: {"d0": 1, "d1": 2, "doc_id": i, "part": part, "mask": 1, "flags": 0, "named": True, "n": 1}
+    row = lambda i, part: {"d0": 1, "d1": 2, "doc_id": i, "part": part, "mask": 1, "named": True, "claims": True, "n": 1}
     held, changes = A.advance(None, pd.DataFrame([row(9, "en")]))
-    assert changes.to_dict("records") == [{"part": "en", "mask": 1, "flags": 0, "delta": 1}]
+    assert changes.to_dict("records") == [{"doc_id": 9, "named": True, "part": "en", "mask": 1, "delta": 1}]
     held, changes = A.advance(held, pd.DataFrame([row(4, "de")]))
-    assert sorted(map(tuple, changes.values.tolist())) == [("de", 1, 0, 1), ("en", 1, 0, -1), ("en", 17, 0, 1)]
+    assert sorted(map(tuple, changes.values.tolist())) == [(4, True, "de", 1, 1), (9, True, "en", 1, -1), (9, True, "en", 17, 1)]
     assert held["doc_id"].tolist() == [4]
+    held, changes = A.advance(held, pd.DataFrame([row(6, "fr") | {"mask": 17, "claims": False}]))
+    assert changes.values.tolist() == [[6, True, "fr", 17, 1]] and held["doc_id"].tolist() == [4]

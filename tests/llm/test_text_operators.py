@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import cases
 from sitewatt.llm import (block_search, chat_format, components, ngram_join, packing, quality_rules, repeats, sampled_pieces,
@@ -381,41 +383,110 @@ def test_toxicity_held_out(spark, docs_of):
     assert toxicity.score(docs_of(rows[:3]), empty).filter("severity > 0.01").count() == 0
 
 
-def _viterbi(model, seen):
-    best, back = model["start"] + seen[0], []
-    for e in seen[1:]:
-        step = best[:, None] + model["move"]
-        back.append(step.argmax(axis=0))
-        best = step.max(axis=0) + e
-    path = [int(best.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
+def plain_lines(text):
+    """Marker, kind of each line and kind of the text, one line at a time."""
+    lines = (text or "").split("\n")
+    marks, kinds = [], []
+    for line in lines:
+        last = line.rstrip(" \t\r\x0b\x0c")[-1:]
+        marks.append(chat_format.marker(line)[1])
+        kinds.append(min(15, len(line).bit_length()) * 4 + (1 if last == "?" else 2 if last in (".", "!") else 3 if last == ":" else 0))
+    return marks, kinds, min(15, len(text or "").bit_length()) * 8 + min(7, len(lines) - 1)
+
+
+def plain_readings(model, text):
+    """Every reading of a text, (log-likelihood, [(line, role), ...]), by trying all of them."""
+    marks, kinds, turn = plain_lines(text)
+    out = []
+    for starts in itertools.product(*[[None, 0, 1, 2] if m else [None] for m in marks[1:]]):
+        for first in range(3):
+            role, score, path = first, chat_format.MARK_FIRST[first, marks[0]] + model["line"][first, kinds[0]], [(0, first)]
+            for i, s in enumerate(starts, 1):
+                if s is None:
+                    score += math.log(1 - chat_format.INNER) + chat_format.MARK_LATER[marks[i]]
+                else:
+                    score += math.log(chat_format.INNER) + model["move"][role, s] + chat_format.MARK_FIRST[s, marks[i]]
+                    role = s
+                    path.append((i, s))
+                score += model["line"][role, kinds[i]]
+            score += model["kind"][first, turn] if len(path) == 1 else len(path) * chat_format.EVEN
+            out.append((score, path))
+    return out
+
+
+def plain_parse(model, texts):
+    """Best reading of each text of a conversation, by Viterbi over the roles the texts end with."""
+    best = {None: (0.0, [])}
+    for t in texts:
+        new = {}
+        readings = plain_readings(model, t)
+        for before, (score, done) in best.items():
+            for own, path in readings:
+                first, last = path[0][1], path[-1][1]
+                total = score + own + (model["start"][first] if before is None else model["move"][before, first])
+                if last not in new or total > new[last][0]:
+                    new[last] = (total, [*done, path])
+        best = new
+    return max(best.values(), key=lambda x: x[0])[1]
+
+
+def plain_turns(text, path):
+    lines = (text or "").split("\n")
+    for (lo, role), (hi, _) in zip(path, [*path[1:], (len(lines), 0)]):
+        m = chat_format.marker(lines[lo])[0]
+        name = chat_format.ROLES[role]
+        body = "\n".join([lines[lo][m.end() if m else 0:], *lines[lo + 1:hi]])
+        yield lo, name, f"<|{name}|>\n{body}\n<|end|>"
+
+
+def plain_chat(df, model):
+    """What chat_format returns, by plain loops."""
+    want = Counter()
+    hashed = [tuple(x) for x in df.selectExpr("conv_id", "turn", "xxhash64(text)", "text").collect()]
+    for c in {x[0] for x in hashed}:
+        own = sorted((x for x in hashed if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2]))
+        for x, path in zip(own, plain_parse(model, [x[3] for x in own])):
+            for part, role, shown in plain_turns(x[3], path):
+                want[c, x[1], part, role, shown] += 1
+    return want
 
 
 def test_chat_format(spark, monkeypatch):
     r = random.Random(7)
     rows = []
-    for c in range(60):
+    for c in range(40):
         for t in range(r.randint(1, 30)):
             role = "user" if t % 2 == 0 else "assistant"
             rows.append((c, t, role, ("User: " if r.random() < 0.2 and role == "user" else "") + "x" * (20 if role == "user" else 200) + "."))
     rows += [(None, None, None, None), (None, 3, "user", ""), (0, 0, "user", rows[0][3])]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     model = chat_format.train(df)
-    whole = rows_of(chat_format.chat_format(df.filter("conv_id > 0"), model), "conv_id", "turn", "role")
+    whole = chat_format.chat_format(df, model)
+    assert Counter(map(tuple, whole.collect())) == plain_chat(df, model)
     monkeypatch.setattr(chat_format, "CHUNK", 4)
     parts = chat_format.chat_format(df, model)
-    assert rows_of(parts.filter("conv_id > 0"), "conv_id", "turn", "role") == whole
-    assert parts.count() == len(rows)
-    for c in range(1, 60):
-        own = sorted((x for x in rows if x[0] == c), key=lambda x: x[1])
-        seen = np.array([model["kind"][:, k] + model["line"][:, ls].mean(axis=1) for k, ls in (chat_format.observe(x[3]) for x in own)])
-        assert [chat_format.ROLES[s] for s in _viterbi(model, seen)] == [w[2] for w in whole if w[0] == c]
+    assert Counter(map(tuple, parts.collect())) == Counter(map(tuple, whole.collect()))
     truth = {(x[0], x[1]): x[2] for x in rows}
-    assert sum(truth[c, t] == role for c, t, role in whole) >= 0.95 * len(whole)
-    shown = parts.filter("rendered like '%User:%'").count()
-    assert shown == 0 and chat_format.chat_format(df.limit(0), model).count() == 0
+    known = [x for x in whole.collect() if x["conv_id"]]
+    assert sum(truth[x["conv_id"], x["turn"]] == x["role"] for x in known) >= 0.95 * len(known)
+    assert parts.filter("rendered like '%User:%'").count() == 0 and chat_format.chat_format(df.limit(0), model).count() == 0
+
+
+def test_chat_format_splits_texts_at_speakers(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "CHUNK", 3)
+    labelled = [(c, t, "assistant" if t % 2 else "user", "yyyy zz " * (30 if t % 2 else 2) + ".") for c in range(20) for t in range(8)]
+    model = chat_format.train(spark.createDataFrame(labelled, "conv_id long, turn long, role string, text string"))
+    transcript = "User: how are you?\nsecond line\nAssistant: fine, thanks.\n\nand you?\nHuman: me too.\n### Assistant: good"
+    r = random.Random(3)
+    bits = ["User: hi there?", "assistant: yes.", "no marker here", "Q: what is it?", "A: that", "System: rules:", "", "a note: not one", "é: x", "> q"]
+    rows = [(1, 0, transcript), (2, 0, "plain text\nof two lines."), (2, 1, "Bot: an answer\nuser: a question?"), (3, None, None), (3, 1, "")]
+    rows += [(4 + i % 6, i, "\n".join(r.choice(bits) for _ in range(r.randint(1, 6)))) for i in range(50)] + [(4, 0, "user: a\nbot: b")] * 9
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = chat_format.chat_format(df.withColumn("role", F.lit(7)).withColumn("part", F.lit("x")), model).collect()
+    assert Counter(map(tuple, got)) == plain_chat(df, model)
+    one = sorted((x["part"], x["role"], x["rendered"]) for x in got if x["conv_id"] == 1)
+    assert [x[:2] for x in one] == [(0, "user"), (2, "assistant"), (5, "user"), (6, "assistant")]
+    assert one[1][2] == "<|assistant|>\nfine, thanks.\n\nand you?\n<|end|>"
 
 
 def test_chat_format_holds_no_more_than_a_chunk(spark, monkeypatch):
@@ -438,15 +509,8 @@ def test_chat_format_holds_no_more_than_a_chunk(spark, monkeypatch):
     rows += [(None, r.choice([None, 1, 1 << 40]), None, shown(i)) for i in range(100)] + [(3, -5, "user", "q?"), (3, 0, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     model = chat_format.train(df)
-    want = Counter()
-    hashed = [tuple(x) for x in df.selectExpr("conv_id", "turn", "xxhash64(text)", "text").collect()]
-    for c in {x[0] for x in hashed}:
-        own = sorted((x for x in hashed if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2]))
-        seen = [model["kind"][:, k] + model["line"][:, ls].mean(axis=1) for k, ls in (chat_format.observe(x[3]) for x in own)]
-        for x, s in zip(own, _viterbi(model, np.array(seen))):
-            role = chat_format.ROLES[s]
-            want[c, x[1], role, f"<|{role}|>\n{x[3] or ''}\n<|end|>"] += 1
-    assert Counter(tuple(x) for x in chat_format.chat_format(df.repartition(5), model).collect()) == want
+    got = Counter(map(tuple, chat_format.chat_format(df.repartition(5), model).collect()))
+    assert got == plain_chat(df, model)
 
 
 def test_sampled_pieces(docs_of):

@@ -31,6 +31,9 @@ from sitewatt.llm import textcodes as tc
 RANK_SHIFT = 2000.0
 FALLBACK = 1e-7
 CHUNK = 1 << 19
+LOOKUPS = 1 << 14        # pieces looked up in one call
+FEW = 64                 # long words of a chunk that are walked one by one
+WALK = 1 << 16           # positions drawn at a time
 
 _vocabularies: dict = {}
 
@@ -108,30 +111,71 @@ def _filter(data, prefix, at, n, vocab: Vocabulary, sharpness: float):
     share = np.zeros((len(total), width), np.float32)
     piece = np.zeros((len(total), width), np.int32)
     running = len(n)
-    for t in range(1, int(n[0]) + 1):
+    lengths = np.arange(1, width + 1)
+    t = 1
+    while t <= n[0]:
         while n[running - 1] < t:
             running -= 1
-        here = base[:running] + t
-        reach = min(t, width)
-        step = np.empty((reach, running))
-        for length in range(1, reach + 1):
-            s = at[:running] + t - length
-            ids, w = vocab.find(tc.range_hash(prefix, s, s + length))
-            if length == 1:
-                low = ids < 0
-                ids = np.where(low, vocab.fallback[data[s]], ids)
-                w = np.where(low, np.log(FALLBACK), w)
-            step[length - 1] = sharpness * w + total[here - length]
-            piece[here, length - 1] = ids
-        best = step.max(axis=0)
-        np.exp(step - best, out=step)
-        np.cumsum(step, axis=0, out=step)
-        total[here] = best + np.log(step[-1])
-        share[here, :reach] = (step / step[-1]).T
-        share[here, reach - 1:] = 2.0
+        # Pieces that end at the next ``span`` positions of the words still running, looked up in one call.
+        span = int(min(n[running - 1] - t + 1, max(1, LOOKUPS // (width * running))))
+        ends = t + np.arange(span)
+        fits = lengths[None, :] <= ends[:, None]                      # end x length
+        e = at[None, None, :running] + ends[:, None, None]
+        s = np.maximum(e - lengths[None, :, None], at[None, None, :running])
+        e = np.broadcast_to(e, s.shape)
+        ids, w = vocab.find(tc.range_hash(prefix, s.ravel(), e.ravel()))
+        ids, w = ids.reshape(s.shape), w.reshape(s.shape)
+        low = ids[:, 0] < 0
+        ids[:, 0] = np.where(low, vocab.fallback[data[s[:, 0]]], ids[:, 0])
+        w[:, 0] = np.where(low, np.log(FALLBACK), w[:, 0])
+        if running == 1:  # the rest of one long word: the same steps on its own rows
+            here = int(base[0]) + t
+            piece[here:here + span] = ids[:, :, 0]
+            weights = sharpness * w[:, :, 0]
+            for k in range(span):
+                reach, h = min(t + k, width), here + k
+                step = weights[k, :reach] + total[h - reach:h][::-1]
+                best = step.max()
+                step = np.exp(step - best).cumsum()
+                total[h] = best + np.log(step[-1])
+                share[h, :reach - 1] = step[:-1] / step[-1]
+                share[h, reach - 1:] = 2.0
+            t += span
+            continue
+        for k in range(span):
+            reach = int(fits[k].sum())
+            here = base[:running] + t + k
+            step = sharpness * w[k, :reach] + total[here[None, :] - lengths[:reach, None]]
+            piece[here, :reach] = ids[k, :reach].T
+            best = step.max(axis=0)
+            np.exp(step - best, out=step)
+            np.cumsum(step, axis=0, out=step)
+            total[here] = best + np.log(step[-1])
+            share[here, :reach] = (step / step[-1]).T
+            share[here, reach - 1:] = 2.0
+        t += span
     return base, share, piece
 
 
+def _draws(rand, left: np.ndarray) -> np.ndarray:
+    """The number in [0, 1) that a word (``rand``) draws with ``left`` bytes left."""
+    mixed = tc.mix(rand + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return ((mixed >> np.uint64(40)) / float(1 << 24)).astype(np.float32)
+
+
+def _walk(share, piece, row: int, n: int, start: int, rand):
+    """Places and pieces of one word, from its end; ``row``: its first row in the tables."""
+    picks = np.concatenate([(share[row + lo + 1:row + min(n, lo + WALK) + 1] <= _draws(rand, np.arange(lo + 1, min(n, lo + WALK) + 1))[:, None])
+                            .sum(axis=1) for lo in range(0, n, WALK)]).tolist()
+    left, places = n, []
+    while left:
+        left -= picks[left - 1] + 1
+        places.append(left)
+    ends = np.array([n, *places[:-1]])
+    places = np.array(places)
+    return start + places, piece[row + ends, ends - places - 1]
+
+
 def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocabulary, seed: int = 0, sharpness: float = 1.0):
     """Piece ids of all rows end to end and the pieces before each row."""
     start = _segments(data, offsets)
@@ -155,11 +199,14 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocab: Vocab
         base, share, piece = _filter(data, prefix, start[first[some]], size[first[some]], vocab, sharpness)
         table[some] = base
         active = np.flatnonzero(table[which] >= 0)
+        if high == len(data) and len(active) <= FEW:  # long words: all draws at once, then a walk
+            for k in active.tolist():
+                drawn.append(_walk(share, piece, int(table[which[k]]), int(size[k]), int(start[k]), own[k]))
+            continue
         begin, left, word, rand = start[active], size[active], table[which[active]], own[active]
         while len(left):
             flat = word + left
-            u = ((tc.mix(rand + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) / float(1 << 24)).astype(np.float32)
-            pick = (share[flat] <= u[:, None]).sum(axis=1)
+            pick = (share[flat] <= _draws(rand, left)[:, None]).sum(axis=1)
             left = left - pick - 1
             drawn.append((begin + left, piece[flat, pick]))
             go = left > 0

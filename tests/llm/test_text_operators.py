@@ -544,3 +544,23 @@ def test_sampled_pieces_follow_the_lattice():
     for way, w in ways:
         p = math.exp(w) / total
         assert abs(got[way] / n - p) <= 5 * math.sqrt(p * (1 - p) / n) + 1e-4
+
+
+def test_sampled_pieces_of_long_words(monkeypatch):
+    v = sampled_pieces.vocabulary(sampled_pieces.model_path())
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdeé漢") for _ in range(n)) for n in (21, 300, 5000)] + [cases.doubling(1024)[0], "short words too"]
+
+    def drawn():
+        out = []
+        for first, data, offsets in tc.chunks(pa.array(texts * 2), 1 << 20):
+            ids, before = sampled_pieces.sample(data, offsets, np.arange(first, first + len(offsets) - 1), v, seed=3)
+            out += [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:])]
+        return out
+    whole = drawn()
+    assert [sampled_pieces.decode(x, v).decode() for x in whole] == texts * 2 and whole[0] != whole[5]
+    monkeypatch.setattr(sampled_pieces, "WALK", 100)
+    monkeypatch.setattr(sampled_pieces, "LOOKUPS", 700)
+    assert drawn() == whole
+    monkeypatch.setattr(sampled_pieces, "FEW", 0)  # all words step together
+    assert drawn() == whole

@@ -189,6 +189,62 @@ class _Trie:
                 todo.append((i, j, d1, k))
                 i = j
 
+    def arrays(self, code: np.ndarray, start: np.ndarray) -> "_Walk":
+        return _Walk(self, code, start)
+
+
+class _Walk:
+    """The trie as arrays, walked a level at a time."""
+
+    def __init__(self, trie: _Trie, code: np.ndarray, start: np.ndarray):
+        cols = np.array([n[:6] for n in trie.nodes], np.int64).reshape(-1, 6).T
+        self.lo, self.hi, d0, self.depth, self.least, self.most = cols
+        self.leaf = np.array([n[6] for n in trie.nodes], bool)
+        self.length = self.depth - d0
+        self.edges = code[_ranges(start[self.lo] + d0, self.length)]      # the nodes' own elements, end to end
+        self.at = np.cumsum(self.length) - self.length
+        self.some = np.flatnonzero(self.length)
+        last = start[self.lo] + self.depth - 1
+        self.last = np.where(self.depth > 0, code[np.maximum(last, 0)] if len(code) else 0, -1)
+        count = np.array([len(c) for c in trie.children], np.int64)
+        self.count, self.first = count, np.cumsum(count) - count
+        self.child = np.array([k for c in trie.children for k in c], np.int64)
+
+    def walk(self, i: int, own: np.ndarray, mark: np.ndarray, size: np.ndarray, piece: np.ndarray, percent: int) -> np.ndarray:
+        """Earlier sets of other pieces that set ``i`` links with. Overlaps with the nodes' own elements are summed along the branches, a branch is
+        left when its sizes cannot fit or its overlap and what can still follow cannot reach the threshold."""
+        a, out = len(own), []
+        hits = np.zeros(len(self.lo), np.int64)
+        if len(self.some):
+            hits[self.some] = np.add.reduceat(mark[self.edges], self.at[self.some], dtype=np.int64)
+        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            lo, least, most = self.lo[nodes], self.least[nodes], self.most[nodes]
+            go = (lo < i) & (100 * most >= percent * a) & (100 * a >= percent * least)
+            go &= ~((self.hi[nodes] - lo == 1) & (piece[lo] == piece[i]))
+            nodes, overlap = nodes[go], overlap[go]
+            overlap = overlap + hits[nodes]
+            leaf = self.leaf[nodes]
+            ends, both = nodes[leaf], overlap[leaf]
+            members = np.minimum(self.hi[ends], i) - self.lo[ends]
+            j = _ranges(self.lo[ends], members)
+            linked = (100 + percent) * np.repeat(both, members) >= percent * (a + size[j])
+            out.append(j[linked & (piece[j] != piece[i])])
+            nodes, overlap = nodes[~leaf], overlap[~leaf]
+            left = a - np.searchsorted(own, self.last[nodes], "right")
+            rest = np.minimum(left, self.most[nodes] - self.depth[nodes])
+            go = (100 + percent) * (overlap + rest) >= percent * (a + np.maximum(self.least[nodes], self.depth[nodes]))
+            nodes, overlap = nodes[go], overlap[go]
+            overlap = np.repeat(overlap, self.count[nodes])
+            nodes = self.child[_ranges(self.first[nodes], self.count[nodes])]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., for ``size`` numbers each."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
 
 def trie_join(ids: list, sets: list[np.ndarray], percent: int, same: list | None = None) -> list[tuple]:
     """Links (id, id) that connect exactly what all links within the group connect.
@@ -202,43 +258,24 @@ def trie_join(ids: list, sets: list[np.ndarray], percent: int, same: list | None
         first: dict = {}
         piece = [first.setdefault(same[i], k) for k, i in enumerate(order)]
 
-    def find(i):
-        while piece[i] != i:
-            piece[i] = piece[piece[i]]
-            i = piece[i]
-        return i
-
-    trie = _Trie(sets)
-    links = []
-    for i, x in enumerate(sets):
-        a = len(x)
-        if a == 0:
+    piece = np.array(piece, np.int64)
+    size = np.array([len(x) for x in sets], np.int64)
+    # Elements as numbers in their order, so that a set's own are marked in one table.
+    code = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    trie, links = _Trie(sets).arrays(code, ends - size), []
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    for i in range(len(sets)):
+        own = code[ends[i] - size[i]:ends[i]]
+        if not len(own):
             continue
-        stack = [(0, 0)]
-        while stack:
-            k, overlap = stack.pop()
-            lo, hi, d0, d1, least, most, leaf = trie.nodes[k]
-            if lo >= i or 100 * most < percent * a or 100 * a < percent * least:
-                continue
-            if hi - lo == 1 and find(lo) == find(i):
-                continue
-            edge = sets[lo][d0:d1]
-            left = a
-            if len(edge):
-                at = np.searchsorted(x, edge)
-                overlap += int(np.count_nonzero(x[np.minimum(at, a - 1)] == edge))
-                left = a - int(at[-1]) if not leaf else a
-            elif d0:
-                left = a - int(np.searchsorted(x, sets[lo][d0 - 1], "right"))
-            if leaf:
-                for j in range(lo, min(hi, i)):
-                    b = len(sets[j])
-                    if (100 + percent) * overlap >= percent * (a + b) and find(j) != find(i):
-                        piece[find(i)] = find(j)
-                        links.append((ids[j], ids[i]))
-                continue
-            if (100 + percent) * (overlap + min(left, most - d1)) >= percent * (a + max(least, d1)):
-                stack += [(c, overlap) for c in trie.children[k]]
+        mark[own] = True
+        found = trie.walk(i, own, mark, size, piece, percent)
+        mark[own] = False
+        for j in found.tolist():
+            if piece[j] != piece[i]:
+                links.append((ids[j], ids[i]))
+                piece[piece == piece[i]] = piece[j]
     return links
 
 

@@ -131,6 +131,8 @@ def _lines(model, mark, kind, turn, keep: bool = False):
 
 def read_lines(model, mark, kind, turn, first: int, last: int) -> list[tuple[int, int]]:
     """(line, role) of each turn start of a text on its best path from role ``first`` to ``last``."""
+    if not mark[1:].any():
+        return [(0, first)]
     _, choices, single = _lines(model, mark, kind, turn, True)
     if first == last and single[first] or not choices:
         return [(0, first)]
@@ -287,7 +289,7 @@ def _render(model):
                     lines = raw[offsets[i]:offsets[i + 1]].decode().split("\n")
                     turns = []
                     for (lo, role), (hi, _) in zip(starts, [*starts[1:], (len(lines), 0)]):
-                        m = marker(lines[lo])[0]
+                        m = marker(lines[lo])[0] if mark[edge[i] + lo] else None
                         body = [lines[lo][m.end():] if m else lines[lo], *lines[lo + 1:hi]]
                         turns.append({"part": lo, "role": ROLES[role], "rendered": f"<|{ROLES[role]}|>\n" + "\n".join(body) + "\n<|end|>"})
                     out.append(turns)

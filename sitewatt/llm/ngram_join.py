@@ -43,6 +43,8 @@ from sitewatt.llm.components import components
 
 BLOCK = 256
 PIVOTS = 8
+CELL = 4096
+CELL_BYTES = 16 << 20
 NO_ID = -(1 << 63)
 
 
@@ -109,20 +111,70 @@ def _signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int):
     return np.concatenate(rows), np.concatenate(sigs)
 
 
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray):
+    """Parity sketches of sets given as (row, element): 64-bit words laid end to end, and the words of each row.
+
+    A sketch has the power of two of bits from twice the set's size on, at least 64; the lower
+    bits of an element's hash name its bin, so a sketch folds to one of half the bits.
+    """
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64))
+    count = np.where(size > 0, bits >> 6, 0)
+    at = np.cumsum(count) - count
+    x = tc.mix(h ^ np.uint64(0xA0761D6478BD642F)) & (bits[row] - 1).astype(np.uint64)
+    out = np.zeros(int(count.sum()), np.uint64)
+    np.bitwise_xor.at(out, at[row] + (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+    return out, count
+
+
+def near_pairs(size: np.ndarray, sketch: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs whose sketches let them link connect."""
+    size = np.asarray(size, np.int64)
+    length = np.array([len(x) for x in sketch], np.int64)
+    piece, found = np.arange(len(size)), []
+    for width in np.unique(length):
+        # Sets of this width, then longer ones, folded, that are small enough to link with one of them.
+        own = np.flatnonzero(length == width)
+        own = own[np.argsort(size[own], kind="stable")]
+        longer = np.flatnonzero((length > width) & (size * percent <= 100 * size[own[-1]]))
+        longer = longer[np.argsort(size[longer], kind="stable")]
+        folded = [np.bitwise_xor.reduce(sketch[k].reshape(-1, width), axis=0) for k in longer]
+        at = np.concatenate([own, longer])
+        bits = np.stack([sketch[k] for k in own] + folded)
+        sizes = size[at]  # ascending: longer sketches are of larger sets
+        for i in range(len(own)):
+            end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+            if end <= i + 1:
+                continue
+            differ = np.bitwise_count(bits[i + 1:end] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            may = (100 + percent) * differ <= (100 - percent) * (sizes[i] + sizes[i + 1:end])
+            for j in at[i + 1:end][may].tolist():
+                if piece[j] != piece[at[i]]:
+                    found.append((j, int(at[i])))
+                    piece[piece == piece[j]] = piece[at[i]]
+    return found
+
+
 def _sizes(n: int):
     def work(batches):
         for b in batches:
-            out = [[], [], []]
+            out, words, lengths = [[], [], []], [], []
             for _, data, offsets in tc.chunks(b.column(1)):
                 row, h = shingle_sets(data, offsets, n)
                 k = len(offsets) - 1
-                out[0].append(np.bincount(row, minlength=k))
+                size = np.bincount(row, minlength=k)
+                out[0].append(size)
                 for c, x in ((1, tc.mix(h)), (2, tc.mix(h ^ np.uint64(0x5851F42D4C957F2D)))):
                     total = np.zeros(k, np.uint64)
                     np.add.at(total, row, x)
                     out[c].append(total.view(np.int64))
+                bits, count = sketches(row, h, size)
+                words.append(bits)
+                lengths.append(count)
             cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc", "size", "h1", "h2"])
+            ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *lengths])) * 8
+            data = np.concatenate([*words, np.zeros(0, np.uint64)]).astype("<u8")
+            sketch = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, sketch], names=["doc", "size", "h1", "h2", "sketch"])
     return work
 
 
@@ -290,6 +342,30 @@ def _join_group(n: int, percent: int, labelled: bool):
     return work
 
 
+def _near_group(percent: int):
+    def work(table: pa.Table) -> pa.Table:
+        sketch = [np.frombuffer(x, "<u8") for x in table["sketch"].to_pylist()]
+        node = table["node"].to_numpy()
+        pairs = np.array(near_pairs(table["words"].to_numpy(), sketch, percent), np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(node[pairs[:, 0]], pa.int64()), "v": pa.array(node[pairs[:, 1]], pa.int64())})
+    return work
+
+
+def _near(reps: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that connect what all pairs of a candidate group that may link connect.
+
+    A group of more than one block is dealt to cells, in which each two of its blocks meet once.
+    """
+    k = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("words") / 2 / CELL_BYTES))  # at most half a byte an element
+    large = materialize(member.groupBy("cand").agg(k.alias("k")).filter("k > 1"), "ngram-groups")
+    x = member.join(large, "cand", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    x = x.withColumn("s", F.pmod(F.xxhash64("h1", "h2"), F.col("k")))
+    cells = F.transform(F.expr("sequence(0L, k - 1)"), lambda o: F.struct(F.greatest("s", o).alias("o"), F.least("s", o).alias("p")))
+    x = x.select("cand", "h1", "h2", F.explode(cells).alias("cell")).select("cand", "h1", "h2", "cell.o", "cell.p")
+    x = x.join(reps, ["h1", "h2"]).select("cand", "o", "p", "node", "words", "sketch")
+    return x.groupBy("cand", "o", "p").applyInArrow(_near_group(percent), "u long, v long")
+
+
 def _in_blocks(member: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members of each candidate group by salted block; its pivots are in every block."""
     x = member.join(sizes, "cand").withColumn("k", F.ceil(F.col("size") / BLOCK))
@@ -359,19 +435,23 @@ def _links(keyed: DataFrame, member: DataFrame, n: int, percent: int, corpus: in
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """``(doc, size, component)``, one row per row of ``docs`` (doc: the id, null as NO_ID)."""
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
-    rows = materialize(keyed.mapInArrow(_sizes(n), "doc long, size long, h1 long, h2 long"), "ngram-sizes")
+    rows = materialize(keyed.mapInArrow(_sizes(n), "doc long, size long, h1 long, h2 long, sketch binary"), "ngram-sizes")
     reps = materialize(rows.filter("size > 0").groupBy("h1", "h2").agg(
-        F.min("doc").alias("node"), F.max("size").alias("words")), "ngram-nodes")
+        F.min("doc").alias("node"), F.max("size").alias("words"), F.first("sketch").alias("sketch")), "ngram-nodes")
+    rows = rows.drop("sketch")
 
     sigs = keyed.select("text").mapInArrow(_sig_rows(n, percent), "sig long, set long")
     shared = sigs.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high")
     shared = materialize(shared.select("sig", "low"), "ngram-shared")
     star = sigs.join(shared, "sig").select(F.col("low").alias("cand"), F.col("set").alias("h1")).distinct()
-    member = materialize(reps.join(star, "h1").select("node", "words", "cand", (F.col("h1") == F.col("cand")).alias("low")),
-                         "ngram-members")
+    member = materialize(reps.join(star, "h1").select("h1", "h2", "words", "cand"), "ngram-members")
+    near = components(_near(reps, member, percent), "ngram-near")
+    member = reps.groupBy("node").agg(F.sum("words").alias("words")).join(near, "node").select(
+        "node", "words", F.col("label").alias("cand"), (F.col("node") == F.col("label")).alias("low"))
+    member = materialize(member, "ngram-groups")
     links = _links(keyed, member, n, percent, rows.agg(F.sum("size")).first()[0] or 0)
 
-    reps = reps.drop("words")
+    reps = reps.drop("words", "sketch")
     nodes = rows.filter("size > 0").join(reps, ["h1", "h2"])
     several = nodes.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u < w").select("doc", "u")
     same_id = nodes.join(several, "doc").select("u", F.col("node").alias("v")).filter("u <> v")

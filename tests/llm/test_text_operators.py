@@ -155,6 +155,48 @@ def test_signatures_lose_no_link():
                 assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
 
 
+def test_sketches_lose_no_link_and_drop_the_rest():
+    r = np.random.default_rng(3)
+    for percent in (40, 80, 90):
+        for size in (1, 5, 9, 12, 31, 33, 40, 63, 65, 200, 1030):
+            a = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+            for less, more in [(k, k) for k in range(size + 1)] + [(k, 0) for k in range(size)] + [(0, k) for k in range(2 * size)]:
+                b = np.unique(np.append(a[less:], r.integers(0, 1 << 63, more).astype(np.uint64)))
+                both, sizes = len(a) - less, np.array([len(a), len(b)])
+                bits, count = ngram_join.sketches(np.repeat([0, 1], sizes), np.concatenate([a, b]), sizes)
+                found = ngram_join.near_pairs(sizes, [bits[:count[0]], bits[count[0]:]], percent)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    assert found
+                elif percent >= 80 and size >= 200 and 100 * both < (percent - 8) * (len(a) + len(b) - both):
+                    assert not found
+
+
+def _shared_passage(n):
+    """Texts of 120 words, 80 of them one passage: linked with nothing, parts of the passage alike in all."""
+    r = random.Random(4)
+    passage = " ".join(f"p{r.random():.9f}" for _ in range(80))
+    return [(i, " ".join(f"w{i}x{k}" for k in range(20)) + " " + passage + " " + " ".join(f"v{i}x{k}" for k in range(20))) for i in range(n)]
+
+
+def test_ngram_join_sends_texts_of_near_sets_only(docs_of, monkeypatch):
+    compare, sent = ngram_join._compare, []
+
+    def counted(keyed, dealt, by, join, corpus):
+        sent.append(dealt.count())
+        return compare(keyed, dealt, by, join, corpus)
+    monkeypatch.setattr(ngram_join, "_compare", counted)
+    rows = _shared_passage(60)
+    rows += [(100, rows[7][1] + " end"), (101, rows[7][1] + " end of it")]
+    got = rows_of(ngram_join.ngram_join(docs_of(rows), n=5, percent=80), "doc", "size", "component")
+    assert got == cases.linked(rows, 5, 80) and sum(sent) == 3
+
+
+def test_ngram_join_in_cells(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    got = rows_of(ngram_join.ngram_join(docs_of(ROWS), n=5, percent=80), "doc", "size", "component")
+    assert got == cases.linked(ROWS, 5, 80)
+
+
 def test_secret_scan(docs_of):
     random_key = "q8Zr3Vt9LmX2pYw7KdJ5"
     texts = [(1, 'password = "hunter2x" and TOKEN:abc then api_key=Zx9_/=+.'), (2, "AKIA" + "A" * 16 + " AKIAshort é" + "0a" * 12),

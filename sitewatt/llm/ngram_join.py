@@ -418,7 +418,7 @@ def _compare(keyed: DataFrame, dealt: DataFrame, by: list[str], join, corpus: in
 
 
 def _links(keyed: DataFrame, member: DataFrame, n: int, percent: int, corpus: int) -> DataFrame:
-    """Links that connect what all links inside the candidate groups connect."""
+    """Links that connect what all links inside the groups ``cand`` connect; ``keyed`` holds their nodes' texts."""
     sizes = member.groupBy("cand").agg(F.count("*").alias("size"), F.array_distinct(F.array_compact(F.array(
         F.min(F.when(F.col("low"), F.col("node"))),
         *[F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == r, F.col("node"))) for r in range(PIVOTS)]))).alias("pivots"))
@@ -449,7 +449,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     member = reps.groupBy("node").agg(F.sum("words").alias("words")).join(near, "node").select(
         "node", "words", F.col("label").alias("cand"), (F.col("node") == F.col("label")).alias("low"))
     member = materialize(member, "ngram-groups")
-    links = _links(keyed, member, n, percent, rows.agg(F.sum("size")).first()[0] or 0)
+    texts = keyed.join(member.select(F.col("node").alias("doc")), "doc", "left_semi")
+    links = _links(materialize(texts, "ngram-texts"), member, n, percent, rows.agg(F.sum("size")).first()[0] or 0)
 
     reps = reps.drop("words", "sketch")
     nodes = rows.filter("size > 0").join(reps, ["h1", "h2"])
